@@ -7,10 +7,11 @@ similarity as those of T independent samples. Bands of coordinates give bucket k
 the 32 bands of four with probability (1 - 0.75^4)^32 = 5e-6.
 
 Equal sets are one class first, so copies cost nothing. In a bucket each class is paired with the bucket's least class (a star, no
-more rows than members), pairs are verified on the full sets, and links join components. A leader has then met its whole bucket
-and leaves it; a bucket that still holds more than one component takes another leader, which meets the members outside its own
-component. After a few such rounds the pairs that are left, between components only, are made at once. So every pair that shares a
-bucket is tested or lies in one component already, and a group of near copies is never paired with itself. Components grow by least-label steps in Spark tables; nothing is collected.
+more rows than members), pairs are verified on the full sets, and links join components. A leader has then met its whole bucket.
+Members of buckets that still hold more than one component go through an exact prefix filter on their shingles, which pairs only
+documents of different components. So every pair that shares a bucket is tested, shown to be no link, or lies in one component
+already; a group of near copies is never paired with itself.
+Components grow by least-label steps in Spark tables; nothing is collected.
 
 Null, empty and word-free texts have an empty set and are alone. Rows with the same doc_id count as one document if their sets
 are equal, else each links by its own set and the id joins them.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Shelf, text_bytes
@@ -151,27 +152,45 @@ def _shared(buckets: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Buckets whose members other than the leader lie in more than one component; the last member by component leads next."""
+    """(id, n, comp) of the members, leaders left out, of buckets that hold more than one component without their leader."""
     label = comps.select(F.col("id").alias("c_id"), "comp")
-    left = members.drop("comp").filter(F.col("id") != F.col("lead.id")).select("key", "id", "n").join(label, F.col("id") == F.col("c_id")).drop("c_id")
-    lead = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("comp", "id", "n")).alias("top")).filter("low <> high")
-    lead = lead.select(F.col("key").alias("l_key"), F.struct("top.id", "top.n", "top.comp").alias("lead"))
-    return _by_key(left, lead, "key", "l_key")
+    left = members.filter(F.col("id") != F.col("lead.id")).select("key", "id", "n").join(label, F.col("id") == F.col("c_id")).drop("c_id")
+    mixed = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(F.col("key").alias("m_key"))
+    return _by_key(left, mixed, "key", "m_key").select("id", "n", "comp").distinct()
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(a, b) of every member with its bucket's leader, where sizes allow a link and no component holds both yet."""
-    apart = F.col("id") != F.col("lead.id")
-    if "comp" in members.columns:
-        apart &= F.col("comp") != F.col("lead.comp")
-    return members.filter(apart & _compatible(F.col("n"), F.col("lead.n"))).select(*_pair(F.col("id"), F.col("lead.id")))
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = Hashes()
+    for batch in batches:
+        sets = [set_of(data, cache).astype(np.int64) for data in batch.column(3).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(np.concatenate(sets) if sets else np.empty(0, dtype=np.int64))], names=["id", "n", "comp", "sh"])
+
+
+def _rest(open_: DataFrame, texts: DataFrame, shelf: Shelf) -> DataFrame:
+    """(a, b) of documents in different components that can be links, by an exact prefix filter.
+
+    Shingles of a document are ordered from rare to common. A link needs 6/7 of the smaller set and 3/4 of the larger one in
+    common, so the first seventh of the smaller and the first quarter of the larger share a shingle. Shingles that only one
+    document has come first and join with nothing, so documents that share no more than a common passage don't meet."""
+    rows = open_.join(texts.select(F.col("id").alias("t_id"), "text"), F.col("id") == F.col("t_id")).select("id", "n", "comp", "text")
+    rows = shelf.put(rows.mapInArrow(_shingle_rows, "id bigint, n bigint, comp bigint, sh bigint"))
+    common = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumnRenamed("sh", "c_sh")
+    own = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "sh")) - 1
+    ranked = shelf.put(_by_key(rows, common, "sh", "c_sh").withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") / 4)).drop("c"))
+    small = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 6 / 7)).select(*(F.col(c).alias(f"s_{c}") for c in ("sh", "id", "n", "comp", "place")))
+    larger = (F.col("s_n") < F.col("n")) | (F.col("s_n") == F.col("n")) & (F.col("s_id") < F.col("id"))
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("s_n") - F.col("s_place")) - 1
+    reach = most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("s_n"))
+    ranked, small = ranked.withColumn("_s", F.xxhash64("sh")), small.withColumn("_t", F.xxhash64("s_sh"))
+    met = ranked.join(small, (F.col("sh") == F.col("s_sh")) & (F.col("_s") == F.col("_t")) & larger & (F.col("comp") != F.col("s_comp")) & _compatible(F.col("n"), F.col("s_n")) & reach)
+    return met.select(*_pair(F.col("id"), F.col("s_id")))
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """(a, b) of all members of a bucket that lie in different components: what the rounds of leaders have left."""
-    x = members.select("key", "id", "n", "comp")
-    y = x.select(F.col("key").alias("k2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    return _by_key(x, y, "key", "k2").filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & _compatible(F.col("n"), F.col("n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b) of every member with its bucket's leader, where sizes allow a link."""
+    return members.filter((F.col("id") != F.col("lead.id")) & _compatible(F.col("n"), F.col("lead.n"))).select(*_pair(F.col("id"), F.col("lead.id")))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -182,10 +201,6 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, PAIRS)
 
 
-#: Rounds of one leader in each bucket before the pairs that are left are all made.
-ROUNDS = 4
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     shelf = Shelf(docs.sparkSession)
@@ -196,21 +211,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = members.select("id").distinct()
     wanted = nodes.withColumnRenamed("id", "w")
     texts = shelf.put(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).filter("id is not null and text is not null").join(wanted, F.col("id") == F.col("w"), "left_semi"))
-    comps, links, tried = None, None, None
-    for step in range(ROUNDS + 1):
-        pairs = (_stars(members) if step < ROUNDS else _rest(members)).distinct()
-        pairs = shelf.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            ok = shelf.put(_linked(pairs, texts))
-            links = ok if links is None else links.union(ok)
-            tried = pairs if tried is None else tried.union(pairs)
-            comps = shelf.put(components(nodes, links, shelf))
-        elif comps is None:
-            comps = shelf.put(nodes.select("id", F.col("id").alias("comp")))
-        if step < ROUNDS:
-            members = shelf.put(_unsettled(members, comps))
-            if members.isEmpty():
-                break
+    pairs = shelf.put(_stars(members).distinct())
+    links = shelf.put(_linked(pairs, texts))
+    comps = shelf.put(components(nodes, links, shelf))
+    open_ = shelf.put(_unsettled(members, comps))
+    if not open_.isEmpty():
+        more = shelf.put(_rest(open_, texts, shelf).distinct().join(pairs, ["a", "b"], "left_anti"))
+        found = shelf.put(_linked(more, texts))
+        if not found.isEmpty():
+            comps = shelf.put(components(nodes, links.union(found), shelf))
     label = comps.select(F.col("id").alias("c_id"), "comp")
     by_set = classes.join(label, F.col("id") == F.col("c_id"), "left").select(F.col("set_a").alias("s_a"), F.col("set_b").alias("s_b"), F.coalesce("comp", "id").alias("comp"))
     found = rows.drop("bands").join(by_set, (F.col("set_a") == F.col("s_a")) & (F.col("set_b") == F.col("s_b")) & (F.col("n") > 0), "left")
