@@ -22,7 +22,7 @@ def with_islands(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",)
     before = F.greatest("_carry", F.max("final").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     marked = rows.join(carry, [*keys, "_block"]).withColumn("_new", F.when(before.isNull() | (F.col("initial") - gap >= before), 1).otherwise(0))
     start = marked.groupBy(*keys, "_block").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(by_block), F.lit(0))).drop("_n")
-    local = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    local = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # a range: rows at one place may be sorted anew, and share an island
     return marked.join(start, [*keys, "_block"]).withColumn("_island", local + F.col("_base")).drop("_block", "_carry", "_new", "_base")
 
 
