@@ -7,7 +7,7 @@ import pytest
 
 from conftest import SF
 from strandline.operators import islands, joins, project, stats
-from strandline.plans import catalog
+from strandline.plans import registry
 from strandline.sources import bed
 
 
@@ -54,15 +54,15 @@ def test_bed_round_trip(spark, tmp_path):
     assert got(bed.read_bed(spark, str(tmp_path / "out"))) == [(1, 2), (5, 10)]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    frame = catalog.QUERIES[name](spark, SF)
+    frame = registry.QUERIES[name](spark, SF)
     cols = sorted(frame.columns)
     mine = sorted([tuple(r[c] for c in cols) for r in frame.collect()], key=str)
-    res = con.execute(catalog.ORACLE_SQL[name])
+    res = con.execute(registry.ORACLE_SQL[name])
     names = [x[0] for x in res.description]
     theirs = sorted([tuple(r[names.index(c)] for c in cols) for r in res.fetchall()], key=str)
     assert sorted(names) == cols and mine == theirs
