@@ -52,3 +52,11 @@ def flip_strand(df: DataFrame) -> DataFrame:
 def label(df: DataFrame):
     """Name, or chrom:initial-final where there is none."""
     return F.coalesce(F.col("name"), F.format_string("%s:%d-%d", "chrom", "initial", "final"))
+
+
+def stream_window(df: DataFrame, distance: int, length: int, up: bool = True) -> DataFrame:
+    """The window of a length at a distance before (up) or after each row along its strand; starts stay at 0 or above, and windows
+    that would lie before the chromosome are left out."""
+    left = F.coalesce(F.col("orientation") == "+", F.lit(False)) == F.lit(up)
+    end = F.when(left, F.col("initial") - distance).otherwise(F.col("final") + distance + length)
+    return df.withColumn("_e", end).filter("_e > 0").withColumns({"initial": F.greatest(F.col("_e") - length, F.lit(0)), "final": F.col("_e")}).drop("_e")

@@ -122,3 +122,10 @@ def tss(genes: DataFrame, end: bool = False) -> DataFrame:
     """One-position start (or end) sites along the strand, merged."""
     left = (F.col("orientation") == "+") != F.lit(end)
     return merge(genes.withColumns({"initial": F.when(left, F.col("initial")).otherwise(F.col("final") - 1), "final": F.when(left, F.col("initial") + 1).otherwise(F.col("final"))}))
+
+
+def pairs_inside(reads: DataFrame, regions: DataFrame, pair: str) -> DataFrame:
+    """(pair): pairs of one forward and one reverse read on a chromosome that lie strictly inside one region from end to end."""
+    ends = reads.groupBy(pair, "chrom").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("orientation").alias("o"), F.min("initial").alias("initial"), F.max("final").alias("final")).filter("c = 2 AND o = 2")
+    inside = (F.col("initial") > F.col("b_initial")) & (F.col("final") < F.col("b_final"))
+    return overlap_join(ends.select(pair, *PLACE), regions.select(*PLACE), on=inside).select(pair).distinct()

@@ -108,3 +108,20 @@ def strand_shift(reads: DataFrame, shifts: range) -> DataFrame:
     rev = reads.filter("orientation = '-'").select("chrom", F.col("final").alias("end")).distinct()
     moved = rev.select("chrom", F.explode(F.array(*(F.lit(k).cast("bigint") for k in shifts))).alias("shift"), "end").withColumn("at", F.col("end") - F.col("shift"))
     return moved.join(fwd, ["chrom", "at"]).groupBy("shift").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_bins(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """(keys, initial, final, n, value): bins of equal keys whose ends meet are joined, their values added."""
+    from .islands import with_islands
+
+    return with_islands(df, 1, keys).groupBy(*keys, "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.count(F.lit(1)).alias("n"), F.sum(value).alias(value)).drop("_island")
+
+
+def mean_signal(regions: DataFrame, signal: DataFrame) -> DataFrame:
+    """(_ord, mean): signal (place, value) averaged over a region's covered positions; 0 where there is no signal."""
+    from .joins import overlap_join
+
+    hit = overlap_join(regions.select("_ord", "chrom", "initial", "final"), signal.select("chrom", "initial", "final", "value"))
+    width = F.least("final", "b_final") - F.greatest("initial", "b_initial")
+    mean = hit.groupBy("_ord").agg((F.sum(F.col("b_value") * width) / F.sum(width)).alias("mean"))
+    return regions.select("_ord").join(mean, "_ord", "left").fillna(0.0, ["mean"])

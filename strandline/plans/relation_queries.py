@@ -178,3 +178,18 @@ def triplex_rna_track(s, d):
 def triplex_distances(s, d):
     kind = R.cis_class(F.col("chrom"), F.col("initial"), F.col("final"), ("chr3", 400000, 402000))
     return hits(s, d).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+WINDOWS = "SELECT _ord, chrom, greatest(e - 300, 0) AS initial, e AS final FROM (SELECT _ord, chrom, CASE WHEN orientation = '+' THEN initial - 500 ELSE final + 800 END AS e FROM genes) WHERE e > 0"
+
+
+@query(WINDOWS)
+def upstream_windows(s, d):
+    return project.stream_window(V.genes(s, d), 500, 300).select("_ord", *COLS)
+
+
+@query("""SELECT DISTINCT pair FROM (SELECT pair, chrom, min(initial) AS i, max(final) AS f FROM (SELECT *, _ord // 20 AS pair FROM reads) GROUP BY pair, chrom HAVING count(*) = 2 AND count(DISTINCT orientation) = 2) p
+JOIN (SELECT chrom, greatest(initial - 200000, 0) AS initial, final + 200000 AS final FROM genes WHERE score = 7) r USING (chrom) WHERE i > r.initial AND f < r.final""")
+def proper_pairs_inside(s, d):
+    reads = V.reads(s, d).withColumn("pair", F.floor(F.col("_ord") / 20))
+    return R.pairs_inside(reads, project.extend(V.genes(s, d).filter("score = 7"), 200000, 200000), "pair")

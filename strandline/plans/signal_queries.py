@@ -204,3 +204,16 @@ def projection_counts(s, d):
 @query()
 def jaccard_test(s, d):
     return T.jaccard_test(V.reg_a(s, d), V.reg_b(s, d), 10, 1200000)
+
+
+@query("""SELECT chrom, min(i) AS initial, max(i) + 1000 AS final, count(*) AS n, sum(value)::BIGINT AS value FROM (
+  SELECT *, i - 1000 * row_number() OVER (PARTITION BY chrom ORDER BY i) AS g FROM (SELECT chrom, initial // 1000 * 1000 AS i, count(*) AS value FROM reg_b GROUP BY ALL)) GROUP BY chrom, g""")
+def consecutive_bins(s, d):
+    b = bins(V.reg_b(s, d)).select("chrom", (F.col("bin") * 1000).alias("initial"), (F.col("bin") * 1000 + 1000).alias("final"), "value")
+    return S.merge_bins(b, ("chrom",), "value")
+
+
+@query(f"""SELECT g._ord, round(coalesce(m, 0), 6) AS mean FROM genes g LEFT JOIN (SELECT a._ord, sum(b.score * (least(a.final, b.final) - greatest(a.initial, b.initial))) / sum(least(a.final, b.final) - greatest(a.initial, b.initial)) AS m
+FROM genes a JOIN reg_b b ON {OV} GROUP BY a._ord) USING (_ord)""")
+def mean_signal(s, d):
+    return S.mean_signal(V.genes(s, d), V.reg_b(s, d).withColumn("value", F.col("score"))).select("_ord", F.round("mean", 6).alias("mean"))
