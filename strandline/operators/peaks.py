@@ -76,15 +76,18 @@ def conditional_p(x: int, y: int, alpha: float) -> float:
 
 
 def with_conditional_p(df: DataFrame, gain: Column, x: str, y: str, alpha: float) -> DataFrame:
-    """df with p, -log10: a gain is tested for few counts in y, a loss for few in x. Each distinct pair is tested once."""
+    """df with p, -log10: a gain is tested for few counts in y, a loss for few in x. A batch tests each distinct pair once, so the
+    rows, which may come from a long plan, are read once and not joined with themselves."""
 
     @F.pandas_udf(DoubleType())
     def test(low: pd.Series, high: pd.Series) -> pd.Series:
-        return pd.Series([conditional_p(int(a), int(b), alpha) for a, b in zip(low, high, strict=True)], dtype=float)
+        pairs = pd.DataFrame({"a": low, "b": high})
+        each = pairs.drop_duplicates()
+        each = each.assign(p=[conditional_p(int(a), int(b), alpha) for a, b in zip(each["a"], each["b"], strict=True)])
+        return pairs.merge(each, on=["a", "b"], how="left")["p"].astype(float)
 
-    rows = df.withColumn("_lo", F.when(gain, F.col(y)).otherwise(F.col(x)).cast("bigint")).withColumn("_hi", F.when(gain, F.col(x)).otherwise(F.col(y)).cast("bigint"))
-    each = rows.select("_lo", "_hi").distinct().withColumn("p", test("_lo", "_hi"))
-    return rows.join(each, ["_lo", "_hi"], "left").drop("_lo", "_hi")
+    low, high = F.when(gain, F.col(y)).otherwise(F.col(x)), F.when(gain, F.col(x)).otherwise(F.col(y))
+    return df.withColumn("p", test(low.cast("bigint"), high.cast("bigint")))
 
 
 def peaks(states: DataFrame, size: int, alpha: float, keep: float = 0.7) -> DataFrame:
