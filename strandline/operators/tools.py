@@ -14,8 +14,8 @@ PLACE = ("chrom", "initial", "final")
 
 def chunked(genome: DataFrame, size: int) -> DataFrame:
     """(chrom, chunk, seq) of (chrom, seq): sequences in pieces, the form in which they are stored and joined."""
-    at = F.sequence(F.lit(0), F.greatest(F.floor((F.length("seq") - 1) / size), F.lit(0)))
-    return genome.filter("seq <> ''").select("chrom", F.explode(at).cast("bigint").alias("chunk"), "seq").select("chrom", "chunk", F.substring("seq", F.col("chunk").cast("int") * size + 1, F.lit(size)).alias("seq"))
+    at = F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / size))
+    return genome.filter("seq <> ''").select("chrom", F.explode(at).alias("chunk"), "seq").select("chrom", "chunk", F.substring("seq", F.col("chunk").cast("int") * size + 1, F.lit(size)).alias("seq"))
 
 
 def sequences(regions: DataFrame, chunks: DataFrame, size: int, ex: int = 0, stranded: bool = True) -> DataFrame:
@@ -68,13 +68,17 @@ def resolved(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.select("name").join(look, F.upper("name") == F.col("_a"), "left").select("name", "gene_id")
 
 
+def _any(key: str, test, value: str) -> Column:
+    return F.exists(key, lambda c: test(c, value))
+
+
 def matches(df: DataFrame, want: dict[str, list[str]], how: str = "exact") -> DataFrame:
     """Rows that meet every key by any of its values, letter case aside: exact, inexact (contains) or regex. In an array column any
     entry may match."""
     for key, values in want.items():
         test = {"exact": lambda c, v: F.lower(c) == v.lower(), "inexact": lambda c, v: F.lower(c).contains(v.lower()), "regex": lambda c, v: c.rlike(f"(?i){v}")}[how]
         many = df.schema[key].dataType.typeName() == "array"
-        tests = [F.exists(key, lambda c, v=v: test(c, v)) if many else test(F.col(key), v) for v in values]
+        tests = [_any(key, test, v) if many else test(F.col(key), v) for v in values]
         hit = F.lit(False)
         for t in tests:
             hit = hit | F.coalesce(t, F.lit(False))

@@ -1,6 +1,6 @@
 """All queries of the library and their DuckDB SQL."""
 
-from . import model_queries, relation_queries, signal_queries  # noqa: F401  (register their queries)
+from . import model_queries, relation_queries, signal_queries, tool_queries  # noqa: F401  (register their queries)
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -100,7 +100,7 @@ def write_wig(df: DataFrame, path: str, span: int, zeros: bool = False) -> None:
     rows = df if zeros else df.filter("value <> 0")
     rows = rows.select("chrom", F.col("initial").alias("_at"), F.concat_ws(" ", (F.col("initial") + 1).cast("string"), F.col("value").cast("string")).alias("value"))
     head = rows.select("chrom").distinct().select("chrom", F.lit(-1).cast("bigint").alias("_at"), F.format_string(f"variableStep chrom=%s span={span}", "chrom").alias("value"))
-    rows.unionByName(head).withColumn("of", F.col("chrom")).repartition("chrom").sortWithinPartitions("chrom", "_at").select("of", "value").write.mode("overwrite").partitionBy("of").text(path)
+    rows.unionByName(head).withColumn("of", F.col("chrom")).repartition("of").sortWithinPartitions("of", "_at").select("of", "value").write.mode("overwrite").partitionBy("of").text(path)
 
 
 def write_narrow_peaks(df: DataFrame, path: str) -> None:
