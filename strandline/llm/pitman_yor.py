@@ -213,7 +213,7 @@ def _sweep_rows(model: Model, sweep: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Bucket(row)
-                if sweep > BURN:  # the sample of the sweep before, with the totals that belong to it
+                if sweep > BURN + 1:  # the sample of the sweep before, with the totals that belong to it; the last one is added at the end
                     row["total"] = (b.total + b.predictive(model)).tobytes()
                 rng = np.random.default_rng((row["bucket"], sweep))
                 parent = model.parent(b.seated(b.tables), b.root)
