@@ -1,15 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 A document is a sequence of line hashes. A gram is the shortest run of lines from a line on that has GRAM words; its hash is made
-of its lines' hashes. From each line on, a window holds the grams that end inside the shortest run with RUN words, and the least
-hash of every window is a fingerprint: any run of RUN words that two documents share holds a whole window, so both choose the
-same fingerprint in it. The first place of each fingerprint (by doc_id, then line) is its anchor. Later places are joined with
-the anchor, and each match is extended both ways, line by line, as far as a window reaches; beyond, the next fingerprint of the
-run takes over. Runs of RUN words or more that stand earlier elsewhere are deleted; the first copy stays.
+of its lines' hashes. A window is the shortest run with RUN words from a line on, or back from a line's end. The least gram hash
+of a window from a line on is its fingerprint; a window back from an end has that of the window which starts where it does. Equal
+windows have equal fingerprints, so only windows whose fingerprint stands at two places or more go on. Those are grouped by a hash
+of all their lines: the first place (by doc_id, text hash, then line) stays, the lines of all others are deleted. A line of a
+repeated run is in a window of the run, one from that line on or the one back from the run's end. So the lines of every run of RUN
+words or more that stands earlier elsewhere are deleted, whatever frequent lines or shorter passages it holds; the first copy stays.
 
 Lines are compared with runs of white space as one space and none at the ends. Lines without words match any others like them
 but add nothing to a run's words. A document that loses all its words is dropped; rows without text or words stay as they are.
-Hot fingerprints are counted in partial steps, then joined, where AQE splits a hot key; no group is collected.
+Hot fingerprints and windows are counted in partial steps, then joined, where AQE splits a hot key; no group is collected.
 """
 
 from __future__ import annotations
@@ -39,81 +40,52 @@ def line_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64)
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, run: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(line, gram hash) of the window minima, lines in order, each once."""
+def _run_hashes(lines: np.ndarray, base: int):
+    """The hash of any runs of lines, given by their starts and ends: polynomial prefix sums."""
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(lines), base, dtype=np.uint64))])
+    prefix, acc = np.zeros(len(lines) + 1, dtype=np.uint64), 0
+    for i, x in enumerate(lines.tolist()):
+        acc = (acc * base + x) & 0xFFFFFFFFFFFFFFFF
+        prefix[i + 1] = acc
+    return lambda start, end: mix(prefix[end] - prefix[start] * power[end - start])
+
+
+WINDOW = np.dtype([("low", "<i4"), ("high", "<i4"), ("h1", "<i8"), ("h2", "<i8")])
+
+
+def fingerprints(hashes: np.ndarray, words: np.ndarray, run: int = RUN, gram: int = GRAM) -> list[tuple[int, np.ndarray]]:
+    """(gram hash, windows that have it as their fingerprint) of each line whose gram is one, lines in order."""
     n = len(hashes)
     before = np.concatenate([[0], np.cumsum(words)])
     gram_end = np.searchsorted(before, before[:n] + gram, side="left")  # lines up to gram_end have the words
     run_end = np.searchsorted(before, before[:n] + run, side="left")
     full = int(np.searchsorted(run_end, n, side="right"))  # windows that the document holds
     if full == 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    # Polynomial prefix sums give the hash of any run of lines.
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base))])
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    spread, acc = mix(hashes), 0
-    for i, x in enumerate(spread.tolist()):
-        acc = (acc * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
-        prefix[i + 1] = acc
+        return []
+    spread = mix(hashes)
+    one, two = _run_hashes(spread, 0x9E3779B97F4A7C15), _run_hashes(mix(spread + np.uint64(1)), 0xD1342543DE82EF95)
     last = int(np.searchsorted(gram_end, n, side="right"))
-    start = np.arange(last)
     end = gram_end[:last]
-    grams = mix(prefix[end] - prefix[start] * power[end - start])
-    chosen, best = [], -1
+    grams = one(np.arange(last), end)
+    best = np.empty(full, dtype=np.int64)
     for i in range(full):
         stop = int(np.searchsorted(end, run_end[i], side="right"))  # grams i..stop-1 end inside the window
-        window = grams[i:stop]
-        best = i + len(window) - 1 - int(np.argmin(window[::-1]))  # the last of equal ones
-        if not chosen or chosen[-1] != best:
-            chosen.append(best)
-    at = np.unique(np.array(chosen, dtype=np.int64))
-    return at, grams[at]
-
-
-def _extend(own: np.ndarray, own_words: np.ndarray, at: int, other: np.ndarray, run: int) -> tuple[int, int]:
-    """Lines from, to (exclusive) around at that match other, which is the anchor's lines laid so that its line fits at.
-
-    other has the same number of lines before at as own may reach; extension stops at the first difference or past run words."""
-    low = at
-    while low > 0 and own[low - 1] == other[low - 1] and own_words[low:at].sum() < run:
-        low -= 1
-    high = at
-    while high < len(own) and own[high] == other[high] and own_words[at:high].sum() < 2 * run:
-        high += 1
-    return low, high
-
-
-def _neighbourhood(at: int, before: np.ndarray, n: int, run: int) -> tuple[int, int]:
-    """Lines around a fingerprint that extension may reach: run words back, two runs on."""
-    low = int(np.searchsorted(before, before[at] - run, side="right")) - 1
-    high = int(np.searchsorted(before, before[at] + 2 * run, side="left"))
-    return max(0, low), min(n, high)
-
-
-def merged(intervals: list[tuple], words: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Lines to delete: matches (low, high, other document, shift) joined along the same alignment, those of run words kept."""
-    gone = np.zeros(len(words), dtype=bool)
-    before = np.concatenate([[0], np.cumsum(words)])
-    place, low, high = None, 0, 0
-
-    def close() -> None:
-        if place is not None and before[high] - before[low] >= run:
-            gone[low:high] = True
-
-    for a, b, doc, shift in sorted(intervals, key=lambda x: (x[2], x[3], x[0])):
-        if (doc, shift) == place and a <= high:
-            high = max(high, b)
-        else:
-            close()
-            place, low, high = (doc, shift), a, b
-    close()
-    return gone
+        best[i] = stop - 1 - int(np.argmin(grams[i:stop][::-1]))  # the last of equal ones
+    # Windows back from a line's end: they start as late as they can.
+    high = np.arange(int(np.searchsorted(before, run, side="left")), n + 1)
+    low = np.searchsorted(before, before[high] - run, side="right") - 1
+    other = run_end[low] != high
+    low, high = np.concatenate([np.arange(full), low[other]]), np.concatenate([run_end[:full], high[other]])
+    out = np.empty(len(low), dtype=WINDOW)
+    out["low"], out["high"], out["h1"], out["h2"] = low, high, one(low, high).view(np.int64), two(low, high).view(np.int64)
+    order = np.argsort(best[low], kind="stable")
+    at, first = np.unique(best[low][order], return_index=True)
+    return list(zip(grams[at].view(np.int64).tolist(), np.split(out[order], first[1:]), strict=True))
 
 
 KEY = "k bigint, tid bigint"
-FINGERPRINTS = f"{KEY}, line int, fp bigint, low int, lines binary, words binary"
-MATCHES = f"{KEY}, low int, high int, a_k bigint, shift int"
+FINGERPRINTS = f"{KEY}, fp bigint, windows binary"
+WINDOWS = f"{KEY}, low int, high int, h1 bigint, h2 bigint"
 
 
 def _names(schema: str) -> list[str]:
@@ -126,38 +98,25 @@ def _batch(rows: list[tuple], types: tuple, schema: str) -> pa.RecordBatch:
 
 
 def _fingerprint_rows(run: int, gram: int):
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for k, tid, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                hashes, words = line_hashes(data)
-                at, fps = fingerprints(hashes, words, run, gram)
-                before = np.concatenate([[0], np.cumsum(words)])
-                for i, fp in zip(at.tolist(), fps.astype(np.int64).tolist(), strict=True):
-                    low, high = _neighbourhood(i, before, len(hashes), run)
-                    out.append((k, tid, i, fp, low, hashes[low:high].tobytes(), np.minimum(words[low:high], 65535).astype(np.uint16).tobytes()))
+                out += [(k, tid, fp, windows.tobytes()) for fp, windows in fingerprints(*line_hashes(data), run, gram)]
             yield _batch(out, types, FINGERPRINTS)
 
     return work
 
 
-def _match_rows(run: int):
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k, tid, line, low, lines, words, a_k, a_line, a_low, a_lines in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
-                own, other, w = np.frombuffer(lines, dtype=np.uint64), np.frombuffer(a_lines, dtype=np.uint64), np.frombuffer(words, dtype=np.uint16).astype(np.int64)
-                at, a_at = line - low, a_line - a_low
-                back, on = min(at, a_at), min(len(own) - at, len(other) - a_at)
-                a, b = _extend(own[at - back : at + on], w[at - back : at + on], back, other[a_at - back : a_at + on], run)
-                out.append((k, tid, line - back + a, line - back + b, a_k, line - a_line))
-            yield _batch(out, types, MATCHES)
-
-    return work
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k, tid, windows = (batch.column(i) for i in range(3))
+        data = windows.to_pylist()
+        w, n = np.frombuffer(b"".join(data), dtype=WINDOW), [len(x) // WINDOW.itemsize for x in data]
+        keys = [np.repeat(c.to_numpy(zero_copy_only=False), n) for c in (k, tid)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*keys, *(w[x] for x in WINDOW.names))], names=_names(WINDOWS))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -166,49 +125,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """(k, tid, low, high, a_k, shift): lines of a document that stand earlier, shift lines up in document a_k."""
+    """(k, tid, low, high): windows of a document that stand earlier elsewhere."""
     shelf = Shelf(docs.sparkSession)
     rows = _keyed(docs).select(F.col("_k").alias("k"), F.col("_tid").alias("tid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"))
     found = shelf.put(rows.mapInArrow(_fingerprint_rows(run, gram), FINGERPRINTS))
-    first = found.groupBy("fp").agg(F.min(F.struct("k", "line", "tid")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    anchors = first.select(F.col("fp").alias("a_fp"), F.xxhash64("fp").alias("a_salt"), F.col("a.k").alias("a_k"), F.col("a.line").alias("a_line"), F.col("a.tid").alias("a_tid"))
+    again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("a_fp"), F.xxhash64("fp").alias("a_salt"))
     # The second key makes Spark shuffle both sides for the join, which lets AQE split a hot fingerprint.
-    repeated = shelf.put(found.withColumn("salt", F.xxhash64("fp")).join(anchors, (F.col("fp") == F.col("a_fp")) & (F.col("salt") == F.col("a_salt"))).drop("salt", "a_salt", "a_fp"))
-    is_anchor = (F.col("k") == F.col("a_k")) & (F.col("line") == F.col("a_line")) & (F.col("tid") == F.col("a_tid"))
-    source = repeated.filter(is_anchor).dropDuplicates(["fp"]).select(F.col("fp").alias("s_fp"), F.xxhash64("fp").alias("s_salt"), F.col("low").alias("a_low"), F.col("lines").alias("a_lines"))
-    later = repeated.filter(~is_anchor & ~((F.col("k") == F.col("a_k")) & (F.col("tid") != F.col("a_tid")))).withColumn("salt", F.xxhash64("fp"))
-    pairs = later.join(source, (F.col("fp") == F.col("s_fp")) & (F.col("salt") == F.col("s_salt")))
-    return pairs.select("k", "tid", "line", "low", "lines", "words", "a_k", "a_line", "a_low", "a_lines").mapInArrow(_match_rows(run), MATCHES)
-
-
-def _cut(run: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, removed = [], []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                n = 0
-                if found:
-                    lines = text.split("\n")
-                    words = np.array([len(x.encode().split()) for x in lines], dtype=np.int64)
-                    gone = merged([(m["low"], m["high"], m["a_k"], m["shift"]) for m in found], words, run)
-                    n = int(gone.sum())
-                    text = "\n".join([x for x, g in zip(lines, gone, strict=True) if not g]) if n else text
-                texts.append(text)
-                removed.append(n)
-            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "_removed"])
-
-    return work
+    repeated = found.withColumn("salt", F.xxhash64("fp")).join(again, (F.col("fp") == F.col("a_fp")) & (F.col("salt") == F.col("a_salt")))
+    windows = shelf.put(repeated.select("k", "tid", "windows").mapInArrow(_window_rows, WINDOWS))
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("k", "tid", "low")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select(F.col("h1").alias("a_h1"), F.col("h2").alias("a_h2"), F.xxhash64("h1").alias("a_salt"), "a")
+    same = (F.col("h1") == F.col("a_h1")) & (F.col("h2") == F.col("a_h2")) & (F.col("salt") == F.col("a_salt"))
+    pairs = windows.withColumn("salt", F.xxhash64("h1")).join(first, same)
+    return pairs.filter(F.struct("k", "tid", "low") != F.col("a")).select("k", "tid", "low", "high")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts, removed = [], []
+        for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            n = 0
+            if found:
+                lines = text.split("\n")
+                gone = np.zeros(len(lines), dtype=bool)
+                for m in found:
+                    gone[m["low"] : m["high"]] = True
+                n = int(gone.sum())
+                text = "\n".join([x for x, g in zip(lines, gone, strict=True) if not g])
+            texts.append(text)
+            removed.append(n)
+        cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "_removed"])
 
 
 def line_dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """docs with later repeated runs cut out of text, and _removed (lines cut). No row is dropped."""
     found = Shelf(docs.sparkSession).put(matches(docs, run, gram))
-    per = found.groupBy(F.col("k").alias("_mk"), F.col("tid").alias("_mt")).agg(F.collect_list(F.struct("low", "high", "a_k", "shift")).alias("_found"))
+    per = found.groupBy(F.col("k").alias("_mk"), F.col("tid").alias("_mt")).agg(F.collect_list(F.struct("low", "high")).alias("_found"))
     joined = _keyed(docs).join(per, (F.col("_k") == F.col("_mk")) & (F.col("_tid") == F.col("_mt")), "left").select(*docs.columns, "_found")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_removed bigint"])
-    return joined.mapInArrow(_cut(run), schema)
+    return joined.mapInArrow(_cut, schema)
 
 
 def line_dedup_filter(docs: DataFrame) -> DataFrame:

@@ -202,3 +202,25 @@ def test_pitman_yor_predictives_sum_to_one(spark):
     assert len(p) == len(asked)
     end = 1 - sum(p[f"aing {w}"] / p["aing"] for w in [*known, unknown])
     assert end > 0 and abs(p[""] + sum(p[w] for w in [*known, unknown]) / end - 1) < 1e-4
+
+
+def test_line_dedup_equals_brute_force_with_hot_lines_inside_runs(spark):
+    rng = np.random.default_rng(5)
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    hot, short = line("hot", 30), [line(f"s{i}", int(rng.integers(0, 12))) for i in range(4)]
+    texts = [hot]
+    for i in range(30):  # the hot line alone stands first; each pair repeats it with 25 words of its own
+        texts += [f"a{i}\n{hot}\n{line(f'm{i}', 25)}\nb{i}", f"c{i}\n{hot}\n{line(f'm{i}', 25)}"]
+    for _ in range(60):
+        texts.append("\n".join(short[k] if k < 4 else hot if k == 4 else line(f"p{k}", 5 * k) for k in rng.integers(0, 9, 10)))
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            mine = [tuple(lines[a:b]) for b in range(a + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[a:b]) >= line_dedup.RUN]
+            for x in mine:
+                gone |= set(range(a, a + len(x))) if x in seen else set()
+            seen |= set(mine)
+        want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == want
