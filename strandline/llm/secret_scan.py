@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +32,24 @@ BASE = (
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "asn1", "ssh", "signed")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-#: Base64 alphabet, lines of a PEM body included.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:[A-Za-z0-9+/]{16,}\r?\n)*[A-Za-z0-9+/]{16,}={0,2}")
+#: Where a candidate may begin: not inside a run, and after an escaped line end rather than at its letter.
+BEGIN = r"(?:(?<![\\{0}])|(?<=\\)(?![nrt])|(?<=\\[nrt]))"
+#: Line ends inside a body: real or escaped, with white space around them.
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*")
+
+
+def _candidates(alphabet: str, begin: str, pad: str) -> re.Pattern:
+    """Runs of an alphabet over one or more lines; all lines but the last, which may be of any length, have 16 or more."""
+    return re.compile(f"{BEGIN.format(begin)}(?=[{alphabet}]{{16}})(?:[{alphabet}]{{16,}}+{BREAK.pattern})*[{alphabet}]++{pad}")
+
+
+#: Candidates and the bits of a character: base64, its url-safe form, hex in either case, and hex in lower case alone.
+ENCODED = (
+    (_candidates("A-Za-z0-9+/", "A-Za-z0-9+/", "={0,2}"), 6),
+    (_candidates("A-Za-z0-9_-", "A-Za-z0-9_-", "={0,2}"), 6),
+    (_candidates("0-9A-Fa-f", "0-9A-Fa-f", ""), 4),
+    (_candidates("0-9a-f", "0-9a-f", ""), 4),
+)
 BASE64_LEAST, HEX_LEAST = 40, 64
 
 
@@ -106,11 +123,70 @@ def is_signed_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
-def _decode(run: str) -> bytes:
-    run = re.sub(r"[\r\n]", "", run).rstrip("=")
-    if len(run) % 4 == 1:
-        return b""
-    return base64.b64decode(run + "=" * (-len(run) % 4))
+def _decode(run: str, bits: int) -> bytes:
+    if bits == 4:
+        return bytes.fromhex(run[: len(run) // 2 * 2])
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run.translate(URL_SAFE) + "=" * (-len(run) % 4))
+
+
+URL_SAFE = str.maketrans("-_", "+/")
+
+
+def _ssh_ends(data: bytes) -> list[int]:
+    """Places in data where an SSH key blob or container that begins it may end, the last first."""
+    at, ends = 0, []
+    if data.startswith(b"openssh-key-v1\0"):  # three fields, a count, so many public keys, the private part
+        at, left, counted = 15, 3, False
+        while at + 4 <= len(data):
+            n = int.from_bytes(data[at : at + 4], "big")
+            if left == 0 and not counted:
+                at, left, counted = at + 4, n + 1, True
+                continue
+            at, left = at + 4 + n, left - 1
+            if left == 0 and counted:
+                return [at, len(data)] if at <= len(data) else [len(data)]
+        return [len(data)]
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at <= len(data):
+            ends.append(at)
+    return ends[::-1]
+
+
+def _encoded_keys(text: str, m: re.Match, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(start, kind number, end) of keys that begin at a line of a candidate and end at the end of one."""
+    lines, at = [], m.start()
+    for x in BREAK.finditer(text, m.start(), m.end()):
+        lines.append((at, x.start()))
+        at = x.end()
+    lines.append((at, m.end()))
+    parts = [text[a:b].rstrip("=") for a, b in lines]
+    before = [0, *accumulate(map(len, parts))]
+    line_of = {n: i for i, n in enumerate(before)}
+    least, free = BASE64_LEAST if bits == 6 else HEX_LEAST, 0
+    for i, (start, _) in enumerate(lines):
+        if i < free or not parts[i].startswith(("M", "AAAA", "b3Bl") if bits == 6 else ("30", "000000", "6f70656e", "6F70656E", "6F70656e", "6f70656E")):
+            continue
+        head = _decode(parts[i][:24], bits)
+        if head[:1] == b"\x30":
+            got = _length(head, 1)
+            ends = [got[0] + got[1]] if got else []
+            kind, body = 3, None
+        elif head[4:7] in (b"ssh", b"ecd", b"sk-") or head.startswith(b"openssh-"):
+            body = _decode("".join(parts[i:]), bits)
+            ends, kind = _ssh_ends(body), 4
+        else:
+            continue
+        for n in ends:
+            j = line_of.get(before[i] + -(-n * 8 // bits))
+            if j is None or j <= i or lines[j - 1][1] - start < least:
+                continue
+            data = body[:n] if body is not None else _decode("".join(parts[i:j]), bits)
+            if (is_asn1_key if kind == 3 else is_ssh_key)(data):
+                yield start, kind, lines[j - 1][1]
+                free = j
+                break
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -129,17 +205,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     for m in SIGNED.finditer(text):
         if is_signed_header(m[1]):
             out.append((m.start(), 5, m.end()))
-    for m in BASE64.finditer(text):
-        if m.end() - m.start() >= BASE64_LEAST and (data := _decode(m[0])):
-            if is_asn1_key(data):
-                out.append((m.start(), 3, m.end()))
-            elif is_ssh_key(data):
-                out.append((m.start(), 4, m.end()))
-    for m in HEX.finditer(text):
-        n = m.end() - m.start()
-        if n >= HEX_LEAST and n % 2 == 0 and is_asn1_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 3, m.end()))
-    return sorted(out)
+    for pattern, bits in ENCODED:
+        for m in pattern.finditer(text):
+            if m.end() - m.start() >= (BASE64_LEAST if bits == 6 else HEX_LEAST):
+                out += _encoded_keys(text, m, bits)
+    return sorted(set(out))
 
 
 def spans(text: str) -> tuple[list, list]:

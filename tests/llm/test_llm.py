@@ -224,3 +224,33 @@ def test_line_dedup_equals_brute_force_with_hot_lines_inside_runs(spark):
         want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == want
+
+
+def test_secret_scan_candidates_of_every_form():
+    import base64
+
+    def spki(n):  # a public key of n bytes in its bit string
+        der = lambda tag, b: bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x82" + len(b).to_bytes(2, "big")) + b
+        return der(0x30, der(0x30, bytes.fromhex("06032b6570")) + der(0x03, bytes(i * 37 % 251 for i in range(n))))
+
+    def found(text):
+        return [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.confirmed_spans(text)]
+
+    seen = set()
+    for n in range(100, 160):  # last lines of every length
+        code = base64.b64encode(spki(n)).decode()
+        lines = [code[i : i + 64] for i in range(0, len(code), 64)]
+        seen.add(len(lines[-1]))
+        for gap in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+            body = gap.join(lines)
+            assert found(f"-----BEGIN PUBLIC KEY-----{gap}{body}{gap}-----END PUBLIC KEY-----{gap}") == [("asn1", body)]
+            assert found(f"x{gap}{body}{gap}and more words") == [("asn1", body)]
+        assert found(f"private_key={code}") == found(f"key: {code}\nnext") == [("asn1", code)]
+        safe = code.replace("+", "-").replace("/", "_")
+        assert found(f"key={safe} ") == [("asn1", safe)] and found(f"({safe.rstrip('=')})") == [("asn1", safe.rstrip("="))]
+        for hexed in (spki(n).hex(), spki(n).hex().upper()):
+            assert found(f"k={hexed};") == [("asn1", hexed)]
+    assert seen == set(range(4, 65, 4))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    for code in (base64.b64encode(ssh).decode(), ssh.hex(), ssh.hex().upper()):
+        assert found(f"K={code}\nwords") == [("ssh", code)]
