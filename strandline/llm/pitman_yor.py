@@ -1,16 +1,22 @@
 """Language-model scores by a hierarchical Pitman-Yor model, trained and applied in Spark.
 
-Tokens are lower-cased words and one end for each text. The restaurants: one for each class of the token before (its last three
-bytes, hashed to a fixed number of classes; the start of a text is a class too), all sharing one parent restaurant of single
-tokens, whose base is uniform over the vocabulary and one unknown token. Customers of a context restaurant are its training
-tokens; each of its tables sends one customer to the parent. Gibbs sweeps reseat the customers of every dish given all other
-tables; from the sweeps after the first ones the predictive probabilities are averaged, and their logarithms give the score.
-
-How it runs: documents form blocks by ranges of doc_id. A block's distinct (token, class) pairs, counted once, go to buckets by
-token hash, so a hot token costs a row for each block. A bucket holds everything about its tokens; sweeps are map-only tasks over
-the stored buckets that share nothing but the number of tables of each class, a vector of fixed length. The last sweep answers each
-block with one probability for each of its pairs, and the block scores its documents. Nothing that grows with the corpus passes
-through the driver.
+Tokens are lower-cased words and one end for each text. Each token, and the start of a text, is a context with a restaurant of its
+own: its customers are the training tokens that follow, its dishes are words. All of them share one parent restaurant, whose
+customers are their tables and whose base is uniform over the known words and one unknown. Number and size of restaurants grow with
+the corpus; there are no classes and no caps.
+
+Gibbs sampling, a dish at a time: given all other tables, a dish with c customers has t tables with a probability proportional to
+S(c, t), the generalised Stirling number that counts its seatings, times the weight of t - 1 further tables in its restaurant and
+of as many further customers in the parent. Up to EXACT customers t is drawn from just that law. Beyond, EXACT customers are drawn so and the
+rest sit down after them in groups of a twentieth of those seated. All dishes of a sweep see the totals of the sweep before. The
+first BURN sweeps are left out; the predictive probabilities of the next SAMPLES are averaged, and their logarithms summed.
+
+How it runs: a scan task makes blocks of documents, bounded by characters, and writes for each block its distinct (word, context)
+pairs, dealt to the cells of a grid (rows by word hash, columns by context hash), beside the pair of each token. A frequent word is
+spread over the columns and a frequent context over the rows, whatever their share. A cell holds its pairs once, with counts and
+tables. In a sweep, cells send the tables of each context and word to shards by key, which add them up, seat the parent's
+customers and send the totals back. At the end each cell answers a block with one probability for each of its pairs. Only four
+sums reach the driver. All results of a stage are tables in the shared folder.
 
 Null and empty texts have the end token alone. A null doc_id counts as the empty text for the split, so it is held out.
 """
@@ -18,243 +24,302 @@ Null and empty texts have the end token alone. A null doc_id counts as the empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Shelf
 from .words import Hashes
 
-#: Context classes; 0 is the start of a text.
-CLASSES = 4096
 #: Discount and strength of the context restaurants and of their parent.
-DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 5.0, 0.5, 20.0
+DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 2.0, 0.6, 20.0
 #: Sweeps that are not averaged, and that are.
 BURN, SAMPLES = 1, 3
+#: Customers of a dish up to which its tables are drawn from their exact law.
+EXACT = 128
 #: Additive smoothing of the base score, a fixed value.
 ADD = 0.1
-BLOCK_CHARS = 8_000_000
-#: Customers seated one by one; beyond, in groups of a twentieth of those seated.
-SINGLY = 64
+BLOCK_CHARS = 16_000_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
+#: The context at the start of a text; it sorts after every word.
+START = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Classes(dict):
-    """Word to context class; emptied when full."""
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers as planes of bytes, low bytes first: the planes of small numbers are zeros, which compress to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = k = 1 + xxhash.xxh32_intdigest(word[-3:]) % (CLASSES - 1)
-        return k
 
+def spread(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
-def tokens(texts: list[bytes], hashes: Hashes, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, context classes, and the number of tokens of each text."""
-    h, k, n = [], [], []
-    start, end = np.zeros(1, dtype=np.int64), np.array([END])
-    for data in texts:
-        words = data.lower().split()
-        h += [hashes.of(words), end]
-        k += [start, np.fromiter(map(classes.__getitem__, words), dtype=np.int64, count=len(words))]
-        n.append(len(words) + 1)
-    if not n:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(h), np.concatenate(k), np.array(n, dtype=np.int64)
 
+def top(h: np.ndarray, bits: int) -> np.ndarray:
+    """The highest bits of hashes."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
 
-def pairs_of(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct tokens; sorted distinct pairs as token place * CLASSES + class; the pair of each token."""
-    words, at = np.unique(h, return_inverse=True)
-    pairs, inverse = np.unique(at * CLASSES + k, return_inverse=True)
-    return words, pairs, inverse
-
-
-REQUESTS = "bucket bigint, block bigint, words binary, fan binary, classes binary, counts binary"
-
-
-def _request_rows(bits: int):
-    def flush(block: int, texts: list, train: list, hashes: Hashes, classes: Classes) -> pa.RecordBatch:
-        h, k, n = tokens(texts, hashes, classes)
-        words, pairs, inverse = pairs_of(h, k)
-        count = np.bincount(inverse, weights=np.repeat(np.array(train, dtype=np.float64), n), minlength=len(pairs)).astype(np.uint32)
-        word = pairs // CLASSES
-        fan = np.bincount(word, minlength=len(words)).astype(np.uint16 if CLASSES < 1 << 16 else np.uint32)
-        first = np.concatenate([[0], np.cumsum(fan.astype(np.int64))])
-        bucket = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), dtype=np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = []
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(words)], strict=True):
-            x, y = first[a], first[b]
-            rows.append((int(bucket[a]), block, words[a:b].tobytes(), fan[a:b].tobytes(), (pairs[x:y] % CLASSES).astype(np.uint16).tobytes(), count[x:y].tobytes()))
-        types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in REQUESTS.split(", ")])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes, held = Hashes(150_000), Classes(), {}
-        for batch in batches:
-            for block, train, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts, flags, size = held.get(block) or ([], [], 0)
-                texts.append(data)
-                flags.append(train)
-                held[block] = texts, flags, size + len(data)
-            # A scan that deals blocks to and fro gives several requests for a block; the bucket joins them.
-            if sum(x[2] for x in held.values()) > BLOCK_CHARS:
-                block = max(held, key=lambda b: held[b][2])
-                yield flush(block, *held.pop(block)[:2], hashes, classes)
-        for block, (texts, flags, _) in held.items():
-            yield flush(block, texts, flags, hashes, classes)
+def edges(x: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() if len(x) else []
+    return list(zip(at, [*at[1:], len(x)], strict=True))
 
-    return work
 
+class Grid(NamedTuple):
+    """Bits of the word's row and of the context's column."""
 
-STATE = "bucket bigint, words binary, fan binary, classes binary, counts binary, tables binary, root binary, total binary, n_class array<bigint>, t_class array<bigint>, root_t bigint, known bigint"
-ASKED = "bucket bigint, block bigint, places binary"
-BUILT = f"{STATE}, block bigint, places binary"
-
-
-def _ints(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
-
-
-def _build(key: tuple, t: pa.Table) -> pa.Table:
-    """Requests of a bucket to its state (one row) and the places in it that each block asked for."""
-    words_in, fan_in, k_in, c_in = _ints(t["words"], np.uint64), _ints(t["fan"], np.uint16), _ints(t["classes"], np.uint16), _ints(t["counts"], np.uint32)
-    words, at = np.unique(words_in, return_inverse=True)
-    code = np.repeat(at, fan_in) * CLASSES + k_in
-    pairs, inverse = np.unique(code, return_inverse=True)
-    count = np.bincount(inverse, weights=c_in, minlength=len(pairs)).astype(np.int64)
-    word, k = pairs // CLASSES, pairs % CLASSES
-    tables = np.minimum(count, 1)
-    per_word = np.bincount(word, weights=count, minlength=len(words)).astype(np.int64)
-    seated = np.bincount(word, weights=tables, minlength=len(words)).astype(np.int64)
-    root = np.minimum(seated, 1)
-    state = dict(
-        bucket=key[0].as_py(), words=words.tobytes(), fan=np.bincount(word, minlength=len(words)).astype(np.uint16).tobytes(), classes=k.astype(np.uint16).tobytes(),
-        counts=count.tobytes(), tables=tables.tobytes(), root=root.tobytes(), total=np.zeros(len(pairs)).tobytes(),
-        n_class=np.bincount(k, weights=count, minlength=CLASSES).astype(np.int64).tolist(), t_class=np.bincount(k, weights=tables, minlength=CLASSES).astype(np.int64).tolist(),
-        root_t=int(root.sum()), known=int((per_word > 0).sum()), block=None, places=None,
-    )
-    rows, block = [state], np.repeat(t["block"].to_numpy(), [len(x) // 2 for x in t["classes"].to_pylist()])
-    order = np.argsort(block, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else []
-    for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
-        rows.append({"bucket": state["bucket"], "block": int(block[order[a]]), "places": np.unique(inverse[order[a:b]]).astype(np.uint32).tobytes()})
-    return pa.Table.from_pylist(rows, schema=_schema(BUILT))
+    rows: int
+    columns: int
+
+    def cell(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        return top(words, self.rows) << self.columns | top(contexts, self.columns)
+
+    def shard_bits(self, side: int) -> int:
+        """A column's contexts (side 0), or a row's words (side 1), are dealt to some shards of their own."""
+        return self.rows + self.columns // 2 if side else self.columns + self.rows // 2
+
+
+TYPES = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "double": pa.float64(), "boolean": pa.bool_()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+    return pa.schema([(c.split()[0], TYPES[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def seat(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating count customers of each dish, new being the weight of a new table.
+BLOCKS = "block bigint, cell bigint, words binary, fan binary, contexts binary, at binary, counts binary, doc_ids array<bigint>, train array<boolean>, lengths binary, places binary, kind string"
 
-    Customers come one after another; beyond SINGLY of a dish they come in groups of a twentieth of those seated, a group's new
-    tables drawn at once, so that the number of steps grows with the logarithm of the count."""
-    t = np.minimum(count, 1).astype(np.float64)
-    seated, open_ = 1, np.flatnonzero(count > 1)
-    while len(open_):
-        group = np.minimum(count[open_] - seated, max(1, seated // 20) if seated >= SINGLY else 1)
-        w = new[open_]
-        p = w / (seated - discount * t[open_] + w)
-        t[open_] += rng.binomial(group, np.clip(p, 0, 1))
-        seated += max(1, seated // 20) if seated >= SINGLY else 1
-        open_ = open_[count[open_] > seated]
-    return t.astype(np.int64)
 
+def tokens(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes, and the number of tokens of each text."""
+    h, n, end = [], [], np.array([END])
+    for data in texts:
+        words = data.lower().split()
+        h += [hashes.of(words), end]
+        n.append(len(words) + 1)
+    return np.concatenate(h), np.array(n, dtype=np.int64)
 
-class Model:
-    """The totals that all buckets share: customers and tables of each class, those of the parent, tokens and distinct tokens."""
 
-    def __init__(self, n_class: np.ndarray, t_class: np.ndarray, root_t: int, known: int):
-        self.n_class, self.t_class, self.root_t, self.known = n_class, t_class, root_t, known
-        self.n = int(n_class.sum())
-        self.scale = 1.0 / (STRENGTH + n_class)
-        self.back = (STRENGTH + DISCOUNT * t_class) * self.scale
+def _block(block: int, ids: list, train: list, texts: list[bytes], grid: Grid, hashes: Hashes) -> list[dict]:
+    """A block's pairs for each cell, by cell, word and context, and the place of each token's pair in that order."""
+    h, n = tokens(texts, hashes)
+    words, at = np.unique(h, return_inverse=True)
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[np.cumsum(n) - n] = len(words)
+    known = np.append(words, START)
+    pairs, inverse = np.unique(at * len(known) + before, return_inverse=True)
+    count = np.bincount(inverse, weights=np.repeat(np.array(train, dtype=np.float64), n), minlength=len(pairs)).astype(np.int64)
+    w, u = np.divmod(pairs, len(known))
+    cell = grid.cell(known[w], known[u])
+    order = np.argsort(cell, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    w, u, cell, count = w[order], u[order], cell[order], count[order]
+    rows = [{"kind": "docs", "block": block, "doc_ids": ids, "train": train, "lengths": squeeze(n), "places": squeeze(place[inverse])}]
+    for a, b in edges(cell):
+        mine, fan = np.unique(w[a:b], return_counts=True)
+        others, where = np.unique(u[a:b], return_inverse=True)
+        rows.append({"kind": "pairs", "block": block, "cell": int(cell[a]), "words": words[mine].tobytes(), "fan": squeeze(fan), "contexts": known[others].tobytes(), "at": squeeze(where), "counts": squeeze(count[a:b])})
+    return rows
+
+
+def _block_rows(grid: Grid):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number, held, size = Hashes(150_000), TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += len(row[2])
+                if size > BLOCK_CHARS:
+                    yield pa.RecordBatch.from_pylist(_block(number, *map(list, zip(*held, strict=True)), grid, hashes), schema=_schema(BLOCKS))
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(_block(number, *map(list, zip(*held, strict=True)), grid, hashes), schema=_schema(BLOCKS))
 
-    def parent(self, seated: np.ndarray, root: np.ndarray) -> np.ndarray:
-        new = (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_t) / (self.known + 1)
-        return (seated - ROOT_DISCOUNT * root + new) / (ROOT_STRENGTH + self.t_class.sum())
+    return work
 
-    def predictive(self, count, tables, k, parent) -> np.ndarray:
-        return (count - DISCOUNT * tables) * self.scale[k] + self.back[k] * parent
 
+#: Rows of cells: their pairs (state), the pairs that a block asked for (asked), and what goes to the shards (sums).
+BUILT = "cell bigint, block bigint, words binary, fan binary, contexts binary, at binary, counts binary, places binary, side int, shard bigint, keys binary, n binary, t binary, kind string"
+SUMS = "cell bigint, side int, shard bigint, keys binary, n binary, t binary"
+SWEPT = f"{SUMS}, kind string"
+TOTALS = "cell bigint, side int, shard bigint, n binary, t binary, root binary, c_all bigint, t_all bigint, n_all bigint, known bigint"
+
+
+def _sums(cell: int, grid: Grid, keys: tuple, which: tuple, n: np.ndarray | None, t: np.ndarray) -> list[dict]:
+    """What a cell sends: customers (once) and tables of its contexts (side 0) and words (side 1), in order of their hashes."""
+    rows = []
+    for side in (0, 1):
+        add = lambda x: np.bincount(which[side], weights=x, minlength=len(keys[side])).astype(np.int64)  # noqa: B023, E731
+        tables, customers = add(t), None if n is None else add(n)
+        shard = top(keys[side], grid.shard_bits(side))
+        for a, b in edges(shard):
+            rows.append({"kind": "sums", "cell": cell, "side": side, "shard": int(shard[a]), "keys": keys[side][a:b].tobytes(), "t": squeeze(tables[a:b]), "n": None if customers is None else squeeze(customers[a:b])})
+    return rows
+
+
+def _build(grid: Grid):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        cell, w, u, c, sizes = key[0].as_py(), [], [], [], []
+        for words, fan, contexts, at, counts in zip(*(rows[x].to_pylist() for x in ("words", "fan", "contexts", "at", "counts")), strict=True):
+            at = spread(at)
+            w.append(np.repeat(np.frombuffer(words, np.uint64), spread(fan)))
+            u.append(np.frombuffer(contexts, np.uint64)[at])
+            c.append(spread(counts))
+            sizes.append(len(at))
+        words, wi = np.unique(np.concatenate(w), return_inverse=True)
+        contexts, ui = np.unique(np.concatenate(u), return_inverse=True)
+        pairs, inverse = np.unique(wi * len(contexts) + ui, return_inverse=True)
+        count = np.bincount(inverse, weights=np.concatenate(c), minlength=len(pairs)).astype(np.int64)
+        word, context = np.divmod(pairs, len(contexts))
+        out = [{"kind": "state", "cell": cell, "words": words.tobytes(), "fan": squeeze(np.bincount(word, minlength=len(words))), "contexts": contexts.tobytes(), "at": squeeze(context), "counts": squeeze(count)}]
+        for block, places in zip(rows["block"].to_pylist(), np.split(inverse, np.cumsum(sizes)[:-1]), strict=True):
+            out.append({"kind": "asked", "cell": cell, "block": block, "places": squeeze(np.diff(places, prepend=0))})  # they ascend
+        return pa.Table.from_pylist(out + _sums(cell, grid, (contexts, words), (context, word), count, np.minimum(count, 1)), schema=_schema(BUILT))
 
-def _totals(state: DataFrame) -> Model:
-    one = state.agg(F.sum("root_t"), F.sum("known")).first()
-    rows = state.select(F.posexplode(F.arrays_zip("n_class", "t_class")).alias("k", "x")).groupBy("k").agg(F.sum("x.n_class").alias("n"), F.sum("x.t_class").alias("t")).collect()
-    n, t = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-    for r in rows:
-        n[r.k], t[r.k] = r.n, r.t
-    return Model(n, t, int(one[0] or 0), int(one[1] or 0))
+    return run
 
 
-class _Bucket:
-    def __init__(self, row: dict):
-        self.fan = np.frombuffer(row["fan"], dtype=np.uint16)
-        self.word, self.k = np.repeat(np.arange(len(self.fan)), self.fan), np.frombuffer(row["classes"], dtype=np.uint16).astype(np.int64)
-        self.count, self.tables, self.root, self.total = (np.frombuffer(row[c], dtype=d) for c, d in (("counts", np.int64), ("tables", np.int64), ("root", np.int64), ("total", np.float64)))
+@cache
+def stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) for c and t up to most."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, most):
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = np.log(c - discount * t) + out[c, 1 : c + 1]
+        out[c + 1, 2 : c + 2] = np.logaddexp(out[c + 1, 2 : c + 2], out[c, 1 : c + 1])
+    return out
+
+
+def seat(count: np.ndarray, own: np.ndarray, up: np.ndarray, rise: float, scale: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with count customers. own: the weight of a new table in the dish's restaurant before the discount of the dish's
+    own tables; (up + rise * (k - 1)) * scale: the parent's probability of the dish's k-th further customer."""
+    tables, logs = np.minimum(count, 1), stirling(discount)
+    todo = np.flatnonzero(count > 1)
+    c = np.minimum(count[todo], EXACT)
+    order = np.argsort(c, kind="stable")
+    todo, c = todo[order], c[order]
+    for a, b in edges(c):
+        customers = int(c[a])
+        k = np.arange(1, customers)
+        for i in range(a, b, max(1, 1_000_000 // customers)):
+            d = todo[i : min(b, i + max(1, 1_000_000 // customers))]
+            step = np.log((own[d, None] + discount * k) * (up[d, None] + rise * (k - 1)) * scale)
+            p = logs[customers, 1 : customers + 1] + np.concatenate([np.zeros((len(d), 1)), np.cumsum(step, axis=1)], axis=1)
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            tables[d] = 1 + (p < rng.random((len(d), 1)) * p[:, -1:]).sum(axis=1)
+    seated, rest = EXACT, np.flatnonzero(count > EXACT)
+    while len(rest):
+        group, t = np.minimum(count[rest] - seated, seated // 20), tables[rest]
+        new = (own[rest] + discount * t) * (up[rest] + rise * (t - 1)) * scale
+        tables[rest] += rng.binomial(group, new / (seated - discount * t + new))
+        seated += seated // 20
+        rest = rest[count[rest] > seated]
+    return tables
+
+
+class Model(NamedTuple):
+    """What all cells share: customers and tables of the parent, training tokens, and known words."""
+
+    customers: int
+    tables: int
+    n: int
+    known: int
+
+    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's probability of words, times the next."""
+        return customers - ROOT_DISCOUNT * tables + (ROOT_STRENGTH + ROOT_DISCOUNT * self.tables) / (self.known + 1)
+
+    @property
+    def scale(self) -> float:
+        return 1.0 / (ROOT_STRENGTH + self.customers)
+
+
+def _total(model: Model | None, sweep: int):
+    """Sums of a shard to totals for each cell; a shard of words seats the parent's customers too."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        side, shard = (x.as_py() for x in key)
+        rows = rows.sort_by("cell")
+        keys, t = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()], np.concatenate([spread(x) for x in rows["t"].to_pylist()])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        add = lambda x: np.bincount(at, weights=x, minlength=len(found)).astype(np.int64)
+        tables, n = add(t), None if sweep else add(np.concatenate([spread(x) for x in rows["n"].to_pylist()]))
+        root = np.minimum(tables, 1)
+        if side and sweep:
+            others = np.full(len(found), ROOT_STRENGTH + ROOT_DISCOUNT * max(model.tables - 1, 0))
+            root = seat(tables, others, np.ones(len(found)), 0.0, 1.0 / (model.known + 1), ROOT_DISCOUNT, np.random.default_rng((shard, sweep)))
+        out = []
+        for cell, here in zip(rows["cell"].to_pylist(), np.split(at, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            out.append({"cell": cell, "side": side, "shard": shard, "t": squeeze(tables[here]), "n": None if n is None else squeeze(n[here]), "root": squeeze(root[here]) if side else None})
+        if side:
+            out[0] |= {"c_all": int(tables.sum()), "t_all": int(root.sum()), "n_all": 0 if n is None else int(n.sum()), "known": int((tables > 0).sum())}
+        return pa.Table.from_pylist(out, schema=_schema(TOTALS))
 
-    def seated(self, tables: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, weights=tables, minlength=len(self.fan))
+    return run
 
-    def predictive(self, model: Model) -> np.ndarray:
-        parent = model.parent(self.seated(self.tables), self.root)
-        return model.predictive(self.count, self.tables, self.k, parent[self.word])
 
+def _joined(rows: list[dict], side: int, column: str) -> np.ndarray:
+    return np.concatenate([spread(r[column]) for r in sorted((r for r in rows if r["side"] == side), key=lambda r: r["shard"])])
 
-def _sweep_rows(model: Model, sweep: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Bucket(row)
-                if sweep > BURN + 1:  # the sample of the sweep before, with the totals that belong to it; the last one is added at the end
-                    row["total"] = (b.total + b.predictive(model)).tobytes()
-                rng = np.random.default_rng((row["bucket"], sweep))
-                parent = model.parent(b.seated(b.tables), b.root)
-                new = (STRENGTH + DISCOUNT * model.t_class[b.k]) * parent[b.word]
-                tables = seat(b.count, new, DISCOUNT, rng)
-                customers = b.seated(tables).astype(np.int64)
-                root = seat(customers, np.full(len(customers), (ROOT_STRENGTH + ROOT_DISCOUNT * model.root_t) / (model.known + 1)), ROOT_DISCOUNT, rng)
-                row |= {"tables": tables.tobytes(), "root": root.tobytes(), "t_class": np.bincount(b.k, weights=tables, minlength=CLASSES).astype(np.int64).tolist(), "root_t": int(root.sum())}
-                yield pa.RecordBatch.from_pylist([row], schema=_schema(STATE))
 
-    return work
+class Cell:
+    """A cell's pairs. first: totals of customers, which stay as they are."""
 
+    def __init__(self, state: dict, first: list[dict]):
+        self.words, self.contexts = (np.frombuffer(state[c], np.uint64) for c in ("words", "contexts"))
+        self.word, self.context, self.count = np.repeat(np.arange(len(self.words)), spread(state["fan"])), spread(state["at"]), spread(state["counts"])
+        self.n_context, self.n_word = _joined(first, 0, "n"), _joined(first, 1, "n")
 
-ANSWERS = "bucket bigint, block bigint, logs binary, known binary"
+    def predictive(self, model: Model, tables: np.ndarray, totals: list[dict]) -> np.ndarray:
+        parent = model.parent(_joined(totals, 1, "t"), _joined(totals, 1, "root")) * model.scale
+        n, open_ = self.n_context[self.context], _joined(totals, 0, "t")[self.context]
+        return (self.count - DISCOUNT * tables + (STRENGTH + DISCOUNT * open_) * parent[self.word]) / (STRENGTH + n)
 
+    def sweep(self, model: Model, tables: np.ndarray, totals: list[dict], rng: np.random.Generator) -> np.ndarray:
+        """All tables of a dish but one leave it and the parent; then their number is drawn again."""
+        own = STRENGTH + DISCOUNT * (_joined(totals, 0, "t")[self.context] - tables)
+        left = _joined(totals, 1, "t")[self.word] - np.maximum(tables - 1, 0)
+        up = model.parent(left, np.minimum(_joined(totals, 1, "root")[self.word], left))
+        return seat(self.count, own, up, 1.0, model.scale, DISCOUNT, rng)
 
-FINAL = "bucket bigint, fan binary, logs binary, known binary"
 
+def _sweep(model: Model, sweep: int, grid: Grid):
+    def run(key: tuple, state: pa.Table, rows: pa.Table) -> pa.Table:
+        cell, number = Cell(state.to_pylist()[0], got := [r for r in rows.to_pylist() if r["n"] is not None]), key[0].as_py()
+        last = [r for r in rows.to_pylist() if r["side"] >= 0 and r["sweep"] == sweep - 1]
+        seats = [r["t"] for r in rows.to_pylist() if r["side"] < 0 and r["sweep"] == sweep - 1]
+        tables = spread(seats[0]) if seats else np.minimum(cell.count, 1)
+        tables = cell.sweep(model, tables, last or got, np.random.default_rng((number, sweep)))
+        out = [{"kind": "tables", "cell": number, "side": -1, "t": squeeze(tables)}]
+        return pa.Table.from_pylist(out + _sums(number, grid, (cell.contexts, cell.words), (cell.context, cell.word), None, tables), schema=_schema(SWEPT))
 
-def _final_rows(model: Model):
-    """State to what answers need: the averaged probability of each pair, the count of each token."""
+    return run
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Bucket(row)
-                logs = np.log10((b.total + b.predictive(model)) / SAMPLES).astype(np.float32)
-                out = {"bucket": row["bucket"], "fan": row["fan"], "logs": logs.tobytes(), "known": b.seated(b.count).astype(np.int64).tobytes()}
-                yield pa.RecordBatch.from_pylist([out], schema=_schema(FINAL))
 
-    return work
+ANSWERS = "answer_block bigint, answer_cell bigint, logs binary, known binary"
+
 
+def _answer(models: dict[int, Model]):
+    def run(key: tuple, facts: pa.Table, asked: pa.Table) -> pa.Table:
+        facts, number, total = facts.to_pylist(), key[0].as_py(), 0.0
+        cell = Cell(next(r for r in facts if r["side"] == -2), [r for r in facts if r["side"] >= 0 and r["n"] is not None])
+        for sweep, model in models.items():
+            mine = [r for r in facts if r["sweep"] == sweep]
+            total = total + cell.predictive(model, spread(next(r["t"] for r in mine if r["side"] == -1)), [r for r in mine if r["side"] >= 0])
+        logs, known = np.log10(total / len(models)).astype(np.float32), cell.n_word[cell.word]
+        places = [np.cumsum(spread(x)) for x in asked["places"].to_pylist()]
+        rows = [{"answer_block": b, "answer_cell": number, "logs": logs[p].tobytes(), "known": squeeze(known[p])} for b, p in zip(asked["block"].to_pylist(), places, strict=True)]
+        return pa.Table.from_pylist(rows, schema=_schema(ANSWERS))
 
-def _answer(key: tuple, state: pa.Table, asked: pa.Table) -> pa.Table:
-    row = state.to_pylist()[0]
-    fan, logs, known = (np.frombuffer(row[c], dtype=d) for c, d in (("fan", np.uint16), ("logs", np.float32), ("known", np.int64)))
-    word, rows = np.repeat(np.arange(len(fan)), fan), []
-    for block, places in zip(asked["block"].to_pylist(), asked["places"].to_pylist(), strict=True):
-        at = np.frombuffer(places, dtype=np.uint32)
-        rows.append({"bucket": row["bucket"], "block": block, "logs": logs[at].tobytes(), "known": known[np.unique(word[at])].tobytes()})
-    return pa.Table.from_pylist(rows, schema=_schema(ANSWERS))
+    return run
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -262,20 +327,13 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 def _score(model: Model):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        h, k, n = tokens(docs["data"].to_pylist(), Hashes(150_000), Classes())
-        words, pairs, inverse = pairs_of(h, k)
-        answers = answers.sort_by("answer_bucket")
-        logs, counts = _ints(answers["logs"], np.float32).astype(np.float64), _ints(answers["known"], np.int64)
-        if len(logs) != len(pairs) or len(counts) != len(words):
-            raise ValueError(f"block {key[0]}: {len(logs)} answers for {len(pairs)} pairs")
-        base = np.log10((counts + ADD) / (model.n + ADD * (model.known + 1)))
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        word = (pairs // CLASSES)[inverse]
-        sums = [np.add.reduceat(x, first) for x in ((counts[word] > 0).astype(np.int64), base[word], logs[inverse])]
-        return pa.table(
-            [docs["doc_id"].combine_chunks(), pa.array([not x for x in docs["train"].to_pylist()]), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), model.n)), pa.array(sums[1]), pa.array(sums[2])],
-            names=[c.split()[0] for c in SCORES.split(", ")],
-        )
+        row, answers = docs.to_pylist()[0], answers.sort_by("answer_cell")
+        logs = np.frombuffer(b"".join(answers["logs"].to_pylist()), np.float32).astype(np.float64)
+        counts = np.concatenate([spread(x) for x in answers["known"].to_pylist()])
+        base, places, n = np.log10((counts + ADD) / (model.n + ADD * (model.known + 1))), spread(row["places"]), spread(row["lengths"])
+        sums = [np.add.reduceat(x[places], np.cumsum(n) - n) for x in ((counts > 0).astype(np.int64), base, logs)]
+        columns = [row["doc_ids"], [not x for x in row["train"]], n, sums[0], np.full(len(n), model.n), sums[1], sums[2]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _schema(SCORES), strict=True)], schema=_schema(SCORES))
 
     return run
 
@@ -283,25 +341,39 @@ def _score(model: Model):
 def scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
     shelf = Shelf(docs.sparkSession)
-    low, high, chars = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
-    blocks = max(1, -(-(chars or 0) // BLOCK_CHARS))
-    low = 0 if low is None else low
-    width = max(1, -(-((low if high is None else high) - low + 1) // blocks))
-    bits = (blocks - 1).bit_length()
+    cells = -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+    bits = max(0, cells - 1).bit_length()
+    grid = Grid(bits - bits // 2, bits // 2)
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0
-    block = F.floor((F.coalesce(F.col("doc_id"), F.lit(low)) - F.lit(low)) / F.lit(width)).cast("bigint")
-    rows = docs.select("doc_id", block.alias("block"), train.alias("train"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    requests = rows.select("block", "train", "data").mapInArrow(_request_rows(bits), REQUESTS)
-    built = shelf.put(requests.groupBy("bucket").applyInArrow(_build, BUILT))
-    state = built.filter("block is null").drop("block", "places")
-    model = _totals(state)
+    rows = docs.select("doc_id", train.alias("train"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    blocks = shelf.put(rows.mapInArrow(_block_rows(grid), BLOCKS), by="kind")
+    built = shelf.put(blocks.filter("kind = 'pairs'").groupBy("cell").applyInArrow(_build(grid), BUILT), by="kind")
+    shelf.drop(blocks, "kind=pairs")
+    state = built.filter("kind = 'state'").select("cell", "words", "fan", "contexts", "at", "counts")
+    columns, facts, models = ("cell", "side", "shard", "n", "t", "root", "sweep"), [], {}
+
+    def totals(sums: DataFrame, model: Model | None, sweep: int) -> tuple[DataFrame, Model]:
+        out = shelf.put(sums.groupBy("side", "shard").applyInArrow(_total(model, sweep), TOTALS))
+        c, t, n, known = (int(x or 0) for x in out.agg(*(F.sum(x) for x in ("c_all", "t_all", "n_all", "known"))).first())
+        return out.withColumn("sweep", F.lit(sweep)).select(*columns), Model(c, t, model.n if model else n, model.known if model else known)
+
+    first, model = totals(built.filter("kind = 'sums'").select(*(c.split()[0] for c in SUMS.split(", "))), None, 0)
+    last = first
     for sweep in range(1, BURN + SAMPLES + 1):
-        after = shelf.put(state.mapInArrow(_sweep_rows(model, sweep), STATE))
-        if sweep > 1:
-            shelf.drop(state)
-        state, model = after, _totals(after)
-    asked = built.filter("block is not null").select(F.col("bucket").alias("asked_bucket"), "block", "places")
-    final = state.mapInArrow(_final_rows(model), FINAL)
-    answers = final.groupBy("bucket").cogroup(asked.groupBy("asked_bucket")).applyInArrow(_answer, ANSWERS)
-    answers = answers.select(F.col("bucket").alias("answer_bucket"), F.col("block").alias("answer_block"), "logs", "known")
-    return rows.groupBy("block").cogroup(answers.groupBy("answer_block")).applyInArrow(_score(model), SCORES)
+        known = last if sweep == 1 else first.unionByName(last)
+        swept = shelf.put(state.groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(_sweep(model, sweep, grid), SWEPT), by="kind")
+        after, model = totals(swept.filter("kind = 'sums'").drop("kind"), model, sweep)
+        shelf.drop(swept, "kind=sums")
+        seats = swept.filter("kind = 'tables'").select("cell", "side", "shard", "n", "t", F.lit(None).cast("binary").alias("root"), F.lit(sweep).alias("sweep"))
+        last = after.unionByName(seats)
+        if sweep > BURN:
+            facts.append(last)
+            models[sweep] = model
+        shelf.clean()
+    every = first.unionByName(state.withColumns({"side": F.lit(-2), "sweep": F.lit(-1)}), allowMissingColumns=True)
+    for x in facts:
+        every = every.unionByName(x, allowMissingColumns=True)
+    asked = built.filter("kind = 'asked'").select("cell", "block", "places")
+    answers = every.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_answer(models), ANSWERS)
+    texts = blocks.filter("kind = 'docs'").select("block", "doc_ids", "train", "lengths", "places")
+    return texts.groupBy("block").cogroup(answers.groupBy("answer_block")).applyInArrow(_score(model), SCORES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN = 0x9E3779B97F4A7C15
+#: Folders of this session's shelves.
+SHELVES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,20 +36,36 @@ class Shelf:
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"shelf-{uuid.uuid4().hex}")
         self.n = 0
+        SHELVES.append(self.root)
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write df and return it as read back."""
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write df, a folder for each value of by if given, and return it as read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shelf_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing will read again."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shelf_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, df: DataFrame, part: str = "") -> None:
+        """Delete a table, or a folder of it, that nothing will read again."""
+        _delete(self.spark, f"{df._shelf_path}/{part}".rstrip("/"))
+
+    def clean(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver collects their plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators of this session have written. Results that were not written or collected are lost."""
+    while SHELVES:
+        _delete(spark, SHELVES.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

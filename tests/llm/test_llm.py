@@ -171,39 +171,11 @@ def test_exact_dedup_hash():
     assert sorted(slots) == list(range(5000))
 
 
-def test_pitman_yor_is_a_distribution_and_beats_the_base(spark):
-    rows = queries.op10_pitman_yor(spark, SF).collect()
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    count = Counter(pitman_yor_token for r, t in documents(spark).items() if __import__("zlib").crc32(str(r).encode()) % 10 for pitman_yor_token in [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)), None])
-    n, v = sum(count.values()), len(count)
-    for r in rows[:20]:
-        toks = [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), documents(spark)[r.doc_id])), None]
-        assert (r.train_tokens, r.n_tokens, r.n_known) == (n, len(toks), sum(count[t] > 0 for t in toks))
-        assert abs(r.base_score - sum(np.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in toks)) < 1e-6
-
-
 def test_pipeline(spark):
     rows = queries.pipeline(spark, SF).collect()
     assert rows and {r.doc_id for r in rows} <= set(documents(spark))
 
 
-def test_pitman_yor_predictives_sum_to_one(spark):
-    """Words that end alike share a class c. With s the score of a text: p(w|c) = s("aing w") / s("aing"), p(end|c) is what they leave,
-    and the start's p(w) = s(w) / p(end|c) and p(end) = s("") must sum to one over the known words and an unknown one."""
-    known, unknown = ["aing", "bing", "cing", "ding"], "zing"
-    train = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 10][:40]
-    held = [i for i in range(400, 800) if not __import__("zlib").crc32(str(i).encode()) % 10]
-    asked = ["", *known, unknown, *(f"aing {w}" for w in [*known, unknown])]
-    rows = [(i, " ".join(known[(i * k) % 4] for k in range(i % 5))) for i in train] + list(zip(held, asked, strict=False))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    score = {r.doc_id: r.score for r in pitman_yor.scores(docs).collect()}
-    p = {t: 10 ** score[i] for i, t in zip(held, asked, strict=False)}
-    assert len(p) == len(asked)
-    end = 1 - sum(p[f"aing {w}"] / p["aing"] for w in [*known, unknown])
-    assert end > 0 and abs(p[""] + sum(p[w] for w in [*known, unknown]) / end - 1) < 1e-4
-
-
 def test_line_dedup_equals_brute_force_with_hot_lines_inside_runs(spark):
     rng = np.random.default_rng(5)
     line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
