@@ -13,10 +13,11 @@ first BURN sweeps are left out; the predictive probabilities of the next SAMPLES
 
 How it runs: a scan task makes blocks of documents, bounded by characters, and writes for each block its distinct (word, context)
 pairs, dealt to the cells of a grid (rows by word hash, columns by context hash), beside the pair of each token. A frequent word is
-spread over the columns and a frequent context over the rows, whatever their share. A cell holds its pairs once, with counts and
-tables. In a sweep, cells send the tables of each context and word to shards by key, which add them up, seat the parent's
-customers and send the totals back. At the end each cell answers a block with one probability for each of its pairs. Only four
-sums reach the driver. All results of a stage are tables in the shared folder.
+spread over the columns and a frequent context over the rows, whatever their share. A cell holds its pairs once. A pair seen
+once has one table for good, so a sweep works on the others alone: cells send the tables of each context and word to shards by key,
+which add them up, seat the parent's customers and send the totals back. At the end all keys get their totals for each sample,
+and each cell answers a block with one probability for each of its pairs. Only sums over all words reach the driver.
+Every step's result is a table in the shared folder, deleted when nothing needs it any more.
 
 Null and empty texts have the end token alone. A null doc_id counts as the empty text for the split, so it is held out.
 """
@@ -24,11 +25,12 @@ Null and empty texts have the end token alone. A null doc_id counts as the empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,19 +47,24 @@ BURN, SAMPLES = 1, 3
 EXACT = 128
 #: Additive smoothing of the base score, a fixed value.
 ADD = 0.1
-BLOCK_CHARS = 16_000_000
+#: Characters of a block, and for each cell of the grid; cells are built in so many turns, to keep what lies on disk at once small.
+BLOCK_CHARS, CELL_CHARS, TURNS = 8_000_000, 16_000_000, 4
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 #: The context at the start of a text; it sorts after every word.
 START = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Integers as planes of bytes, low bytes first: the planes of small numbers are zeros, which compress to nothing."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers from 0 as planes of bytes, low bytes first, as many as the largest needs: mostly equal bytes compress well."""
+    planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([planes]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
 def spread(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def top(h: np.ndarray, bits: int) -> np.ndarray:
@@ -125,7 +132,7 @@ def _block(block: int, ids: list, train: list, texts: list[bytes], grid: Grid, h
     for a, b in edges(cell):
         mine, fan = np.unique(w[a:b], return_counts=True)
         others, where = np.unique(u[a:b], return_inverse=True)
-        rows.append({"kind": "pairs", "block": block, "cell": int(cell[a]), "words": words[mine].tobytes(), "fan": squeeze(fan), "contexts": known[others].tobytes(), "at": squeeze(where), "counts": squeeze(count[a:b])})
+        rows.append({"kind": f"pairs{cell[a] % TURNS}", "block": block, "cell": int(cell[a]), "words": words[mine].tobytes(), "fan": squeeze(fan), "contexts": known[others].tobytes(), "at": squeeze(where), "counts": squeeze(count[a:b])})
     return rows
 
 
@@ -145,28 +152,23 @@ def _block_rows(grid: Grid):
     return work
 
 
-#: Rows of cells: their pairs (state), the pairs that a block asked for (asked), and what goes to the shards (sums).
-BUILT = "cell bigint, block bigint, words binary, fan binary, contexts binary, at binary, counts binary, places binary, side int, shard bigint, keys binary, n binary, t binary, kind string"
-SUMS = "cell bigint, side int, shard bigint, keys binary, n binary, t binary"
-SWEPT = f"{SUMS}, kind string"
-TOTALS = "cell bigint, side int, shard bigint, n binary, t binary, root binary, c_all bigint, t_all bigint, n_all bigint, known bigint"
+#: Rows of cells: all pairs (state), those seen twice or more (active), the pairs that a block asked for (asked), and keys.
+BUILT = "cell bigint, block bigint, fan binary, at binary, counts binary, word binary, places binary, words binary, contexts binary, side int, shard bigint, keys binary, n binary, once binary, active binary, kind string"
 
 
-def _sums(cell: int, grid: Grid, keys: tuple, which: tuple, n: np.ndarray | None, t: np.ndarray) -> list[dict]:
-    """What a cell sends: customers (once) and tables of its contexts (side 0) and words (side 1), in order of their hashes."""
-    rows = []
-    for side in (0, 1):
-        add = lambda x: np.bincount(which[side], weights=x, minlength=len(keys[side])).astype(np.int64)  # noqa: B023, E731
-        tables, customers = add(t), None if n is None else add(n)
-        shard = top(keys[side], grid.shard_bits(side))
-        for a, b in edges(shard):
-            rows.append({"kind": "sums", "cell": cell, "side": side, "shard": int(shard[a]), "keys": keys[side][a:b].tobytes(), "t": squeeze(tables[a:b]), "n": None if customers is None else squeeze(customers[a:b])})
-    return rows
+def _shards(grid: Grid, side: int, keys: np.ndarray, **columns: np.ndarray) -> list[dict]:
+    """Sorted keys and numbers that go with them, a row for each shard."""
+    shard = top(keys, grid.shard_bits(side))
+    return [{"side": side, "shard": int(shard[a]), "keys": keys[a:b].tobytes(), **{c: squeeze(x[a:b]) for c, x in columns.items()}} for a, b in edges(shard)]
+
+
+def _sum(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, weights=x, minlength=n).astype(np.int64)
 
 
 def _build(grid: Grid):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        cell, w, u, c, sizes = key[0].as_py(), [], [], [], []
+        w, u, c, sizes = [], [], [], []
         for words, fan, contexts, at, counts in zip(*(rows[x].to_pylist() for x in ("words", "fan", "contexts", "at", "counts")), strict=True):
             at = spread(at)
             w.append(np.repeat(np.frombuffer(words, np.uint64), spread(fan)))
@@ -176,12 +178,20 @@ def _build(grid: Grid):
         words, wi = np.unique(np.concatenate(w), return_inverse=True)
         contexts, ui = np.unique(np.concatenate(u), return_inverse=True)
         pairs, inverse = np.unique(wi * len(contexts) + ui, return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate(c), minlength=len(pairs)).astype(np.int64)
+        count = _sum(inverse, np.concatenate(c), len(pairs))
         word, context = np.divmod(pairs, len(contexts))
-        out = [{"kind": "state", "cell": cell, "words": words.tobytes(), "fan": squeeze(np.bincount(word, minlength=len(words))), "contexts": contexts.tobytes(), "at": squeeze(context), "counts": squeeze(count)}]
+        out = [{"kind": "state", "fan": squeeze(np.bincount(word, minlength=len(words))), "at": squeeze(context), "counts": squeeze(count)}]
         for block, places in zip(rows["block"].to_pylist(), np.split(inverse, np.cumsum(sizes)[:-1]), strict=True):
-            out.append({"kind": "asked", "cell": cell, "block": block, "places": squeeze(np.diff(places, prepend=0))})  # they ascend
-        return pa.Table.from_pylist(out + _sums(cell, grid, (contexts, words), (context, word), count, np.minimum(count, 1)), schema=_schema(BUILT))
+            out.append({"kind": "asked", "block": block, "places": squeeze(np.diff(places, prepend=0))})  # they ascend
+        again = count > 1
+        act_words, act_word = np.unique(word[again], return_inverse=True)
+        act_contexts, act_context = np.unique(context[again], return_inverse=True)
+        if again.any():
+            out.append({"kind": "active", "words": words[act_words].tobytes(), "contexts": contexts[act_contexts].tobytes(), "word": squeeze(act_word), "at": squeeze(act_context), "counts": squeeze(count[again])})
+        for side, keys, at in ((0, contexts, context), (1, words, word)):
+            found = [_sum(at, x, len(keys)) for x in (count, count == 1, again)]
+            out += [r | {"kind": "keys"} for r in _shards(grid, side, keys, n=found[0], once=found[1], active=found[2])]
+        return pa.Table.from_pylist([r | {"cell": key[0].as_py()} for r in out], schema=_schema(BUILT))
 
     return run
 
@@ -242,64 +252,117 @@ class Model(NamedTuple):
         return 1.0 / (ROOT_STRENGTH + self.customers)
 
 
-def _total(model: Model | None, sweep: int):
-    """Sums of a shard to totals for each cell; a shard of words seats the parent's customers too."""
+def _merged(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys of a shard's rows, and the places of each row's keys among them."""
+    keys = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        side, shard = (x.as_py() for x in key)
-        rows = rows.sort_by("cell")
-        keys, t = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()], np.concatenate([spread(x) for x in rows["t"].to_pylist()])
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        add = lambda x: np.bincount(at, weights=x, minlength=len(found)).astype(np.int64)
-        tables, n = add(t), None if sweep else add(np.concatenate([spread(x) for x in rows["n"].to_pylist()]))
-        root = np.minimum(tables, 1)
-        if side and sweep:
-            others = np.full(len(found), ROOT_STRENGTH + ROOT_DISCOUNT * max(model.tables - 1, 0))
-            root = seat(tables, others, np.ones(len(found)), 0.0, 1.0 / (model.known + 1), ROOT_DISCOUNT, np.random.default_rng((shard, sweep)))
-        out = []
-        for cell, here in zip(rows["cell"].to_pylist(), np.split(at, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-            out.append({"cell": cell, "side": side, "shard": shard, "t": squeeze(tables[here]), "n": None if n is None else squeeze(n[here]), "root": squeeze(root[here]) if side else None})
-        if side:
-            out[0] |= {"c_all": int(tables.sum()), "t_all": int(root.sum()), "n_all": 0 if n is None else int(n.sum()), "known": int((tables > 0).sum())}
-        return pa.Table.from_pylist(out, schema=_schema(TOTALS))
 
-    return run
+def _added(rows: pa.Table, column: str, places: list[np.ndarray], n: int) -> np.ndarray:
+    return _sum(np.concatenate(places), np.concatenate([spread(x) for x in rows[column].to_pylist()]), n)
 
 
-def _joined(rows: list[dict], side: int, column: str) -> np.ndarray:
-    return np.concatenate([spread(r[column]) for r in sorted((r for r in rows if r["side"] == side), key=lambda r: r["shard"])])
+def _root(model: Model, customers: np.ndarray, seed: tuple) -> np.ndarray:
+    """The parent's tables of words, given their customers."""
+    own = np.full(len(customers), ROOT_STRENGTH + ROOT_DISCOUNT * max(model.tables - 1, 0))
+    return seat(customers, own, np.ones(len(customers)), 0.0, 1.0 / (model.known + 1), ROOT_DISCOUNT, np.random.default_rng(seed))
 
 
-class Cell:
-    """A cell's pairs. first: totals of customers, which stay as they are."""
+FIRST = "cell bigint, side int, shard bigint, n binary, once binary, t binary, root binary, c_all bigint, t_all bigint, n_all bigint, known bigint, c_rest bigint, t_rest bigint"
 
-    def __init__(self, state: dict, first: list[dict]):
-        self.words, self.contexts = (np.frombuffer(state[c], np.uint64) for c in ("words", "contexts"))
-        self.word, self.context, self.count = np.repeat(np.arange(len(self.words)), spread(state["fan"])), spread(state["at"]), spread(state["counts"])
-        self.n_context, self.n_word = _joined(first, 0, "n"), _joined(first, 1, "n")
 
-    def predictive(self, model: Model, tables: np.ndarray, totals: list[dict]) -> np.ndarray:
-        parent = model.parent(_joined(totals, 1, "t"), _joined(totals, 1, "root")) * model.scale
-        n, open_ = self.n_context[self.context], _joined(totals, 0, "t")[self.context]
-        return (self.count - DISCOUNT * tables + (STRENGTH + DISCOUNT * open_) * parent[self.word]) / (STRENGTH + n)
+def _first(key: tuple, rows: pa.Table) -> pa.Table:
+    """Keys of a shard to each cell's active ones: customers, tables of pairs seen once, and of the others, one each to start with.
 
-    def sweep(self, model: Model, tables: np.ndarray, totals: list[dict], rng: np.random.Generator) -> np.ndarray:
-        """All tables of a dish but one leave it and the parent; then their number is drawn again."""
-        own = STRENGTH + DISCOUNT * (_joined(totals, 0, "t")[self.context] - tables)
-        left = _joined(totals, 1, "t")[self.word] - np.maximum(tables - 1, 0)
-        up = model.parent(left, np.minimum(_joined(totals, 1, "root")[self.word], left))
-        return seat(self.count, own, up, 1.0, model.scale, DISCOUNT, rng)
+    Words with pairs seen once alone have fixed customers in the parent; these start with as many tables as words."""
+    side, shard = (x.as_py() for x in key)
+    rows = rows.sort_by("cell")
+    found, places = _merged(rows)
+    n, once, t = (_added(rows, c, places, len(found)) for c in ("n", "once", "active"))
+    out = []
+    for cell, active, at in zip(rows["cell"].to_pylist(), rows["active"].to_pylist(), places, strict=True):
+        at = at[spread(active) > 0]
+        out.append({"cell": cell, "side": side, "shard": shard, **{c: squeeze(x[at]) for c, x in (("n", n), ("once", once), ("t", once + t), ("root", np.minimum(once + t, 1)))}})
+    if side:
+        rest = once[t == 0]
+        out[0] |= {"c_all": int((once + t).sum()), "t_all": int((n > 0).sum()), "n_all": int(n.sum()), "known": int((n > 0).sum()), "c_rest": int(rest.sum()), "t_rest": int((rest > 0).sum())}
+    return pa.Table.from_pylist(out, schema=_schema(FIRST))
+
+
+SWEPT = "cell bigint, side int, shard bigint, keys binary, once binary, t binary, kind string"
+TOTALS = "cell bigint, side int, shard bigint, t binary, root binary, c_all bigint, t_all bigint"
+
+
+def _joined(rows: list[dict], side: int, column: str) -> np.ndarray:
+    return np.concatenate([spread(r[column]) for r in sorted((r for r in rows if r["side"] == side), key=lambda r: r["shard"])])
 
 
 def _sweep(model: Model, sweep: int, grid: Grid):
+    """All tables but one leave each active dish and the parent; then their number is drawn again."""
+
     def run(key: tuple, state: pa.Table, rows: pa.Table) -> pa.Table:
-        cell, number = Cell(state.to_pylist()[0], got := [r for r in rows.to_pylist() if r["n"] is not None]), key[0].as_py()
-        last = [r for r in rows.to_pylist() if r["side"] >= 0 and r["sweep"] == sweep - 1]
-        seats = [r["t"] for r in rows.to_pylist() if r["side"] < 0 and r["sweep"] == sweep - 1]
-        tables = spread(seats[0]) if seats else np.minimum(cell.count, 1)
-        tables = cell.sweep(model, tables, last or got, np.random.default_rng((number, sweep)))
-        out = [{"kind": "tables", "cell": number, "side": -1, "t": squeeze(tables)}]
-        return pa.Table.from_pylist(out + _sums(number, grid, (cell.contexts, cell.words), (cell.context, cell.word), None, tables), schema=_schema(SWEPT))
+        state, rows = state.to_pylist()[0], rows.to_pylist()
+        fixed, last = ([r for r in rows if r["side"] >= 0 and r["sweep"] == x] for x in (0, sweep - 1))
+        word, context, count = (spread(state[c]) for c in ("word", "at", "counts"))
+        seats = next((spread(r["t"]) for r in rows if r["side"] < 0), np.ones(len(count), dtype=np.int64))
+        own = STRENGTH + DISCOUNT * (_joined(last, 0, "t")[context] - seats)
+        left = _joined(last, 1, "t")[word] - (seats - 1)
+        up = model.parent(left, np.minimum(_joined(last, 1, "root")[word], left))
+        seats = seat(count, own, up, 1.0, model.scale, DISCOUNT, np.random.default_rng((key[0].as_py(), sweep)))
+        out = [{"kind": "tables", "side": -1, "t": squeeze(seats)}]
+        for side, keys, at in ((0, state["contexts"], context), (1, state["words"], word)):
+            keys = np.frombuffer(keys, np.uint64)
+            out += [r | {"kind": "sums"} for r in _shards(grid, side, keys, t=_sum(at, seats, len(keys)), once=_joined(fixed, side, "once"))]
+        return pa.Table.from_pylist([r | {"cell": key[0].as_py()} for r in out], schema=_schema(SWEPT))
+
+    return run
+
+
+def _total(model: Model, sweep: int):
+    """Tables of a shard's active keys to totals for each cell; a shard of words seats the parent's customers too."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        side, shard = (x.as_py() for x in key)
+        rows = rows.sort_by("cell")
+        found, places = _merged(rows)
+        t = _added(rows, "t", places, len(found))
+        once = np.zeros(len(found), dtype=np.int64)
+        for at, x in zip(places, rows["once"].to_pylist(), strict=True):
+            once[at] = spread(x)  # a total already, the same from every cell
+        t += once
+        root = _root(model, t, (shard, sweep)) if side else t[:0]
+        out = [{"cell": cell, "side": side, "shard": shard, "t": squeeze(t[at]), "root": squeeze(root[at]) if side else None} for cell, at in zip(rows["cell"].to_pylist(), places, strict=True)]
+        if side:
+            out[0] |= {"c_all": int(t.sum()), "t_all": int(root.sum())}
+        return pa.Table.from_pylist(out, schema=_schema(TOTALS))
+
+    return run
+
+
+LAST = "cell bigint, side int, shard bigint, sweep int, n binary, t binary, root binary, c_all bigint, t_all bigint"
+
+
+def _last(models: dict[int, Model]):
+    """All keys of a shard to customers, and for each sample totals and the parent's tables, for each cell."""
+
+    def run(key: tuple, rows: pa.Table, sums: pa.Table) -> pa.Table:
+        side, shard = (x.as_py() for x in key)
+        rows = rows.sort_by("cell")
+        found, places = _merged(rows)
+        n, once = (_added(rows, c, places, len(found)) for c in ("n", "once"))
+        out = [{"cell": cell, "side": side, "shard": shard, "sweep": 0, "n": squeeze(n[at])} for cell, at in zip(rows["cell"].to_pylist(), places, strict=True)]
+        for sweep, model in models.items():
+            mine, t = sums.filter(pc.equal(sums["sweep"], sweep)), once.copy()
+            if len(mine):
+                keys, at = _merged(mine)
+                t[np.searchsorted(found, keys)] += _added(mine, "t", at, len(keys))
+            root = _root(model, t, (shard, sweep, 1)) if side else t[:0]
+            more = [{"cell": cell, "side": side, "shard": shard, "sweep": sweep, "t": squeeze(t[at]), "root": squeeze(root[at]) if side else None} for cell, at in zip(rows["cell"].to_pylist(), places, strict=True)]
+            if side:
+                more[0] |= {"c_all": int(t.sum()), "t_all": int(root.sum())}
+            out += more
+        return pa.Table.from_pylist(out, schema=_schema(LAST))
 
     return run
 
@@ -308,15 +371,24 @@ ANSWERS = "answer_block bigint, answer_cell bigint, logs binary, known binary"
 
 
 def _answer(models: dict[int, Model]):
+    """A cell's pairs to the averaged predictive probabilities, for each block that asked."""
+
     def run(key: tuple, facts: pa.Table, asked: pa.Table) -> pa.Table:
-        facts, number, total = facts.to_pylist(), key[0].as_py(), 0.0
-        cell = Cell(next(r for r in facts if r["side"] == -2), [r for r in facts if r["side"] >= 0 and r["n"] is not None])
+        facts, total = facts.to_pylist(), 0.0
+        state, customers = next(r for r in facts if r["side"] == -2), [r for r in facts if r["side"] >= 0 and r["sweep"] == 0]
+        context, count = spread(state["at"]), spread(state["counts"])
+        fan = spread(state["fan"])
+        word, n = np.repeat(np.arange(len(fan)), fan), _joined(customers, 0, "n")[context]
         for sweep, model in models.items():
             mine = [r for r in facts if r["sweep"] == sweep]
-            total = total + cell.predictive(model, spread(next(r["t"] for r in mine if r["side"] == -1)), [r for r in mine if r["side"] >= 0])
-        logs, known = np.log10(total / len(models)).astype(np.float32), cell.n_word[cell.word]
+            seats = np.minimum(count, 1)
+            if (count > 1).any():
+                seats[count > 1] = spread(next(r["t"] for r in mine if r["side"] == -1))
+            parent = model.parent(_joined(mine, 1, "t"), _joined(mine, 1, "root")) * model.scale
+            total = total + (count - DISCOUNT * seats + (STRENGTH + DISCOUNT * _joined(mine, 0, "t")[context]) * parent[word]) / (STRENGTH + n)
+        logs, known = np.log10(total / len(models)).astype(np.float32), _joined(customers, 1, "n")[word]
         places = [np.cumsum(spread(x)) for x in asked["places"].to_pylist()]
-        rows = [{"answer_block": b, "answer_cell": number, "logs": logs[p].tobytes(), "known": squeeze(known[p])} for b, p in zip(asked["block"].to_pylist(), places, strict=True)]
+        rows = [{"answer_block": b, "answer_cell": key[0].as_py(), "logs": logs[p].tobytes(), "known": squeeze(known[p])} for b, p in zip(asked["block"].to_pylist(), places, strict=True)]
         return pa.Table.from_pylist(rows, schema=_schema(ANSWERS))
 
     return run
@@ -338,42 +410,56 @@ def _score(model: Model):
     return run
 
 
+def _sums(df: DataFrame, *columns: str) -> list[int]:
+    return [int(x or 0) for x in df.agg(*(F.sum(c) for c in columns)).first()]
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
     shelf = Shelf(docs.sparkSession)
-    cells = -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+    cells = -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // CELL_CHARS)
     bits = max(0, cells - 1).bit_length()
     grid = Grid(bits - bits // 2, bits // 2)
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0
     rows = docs.select("doc_id", train.alias("train"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     blocks = shelf.put(rows.mapInArrow(_block_rows(grid), BLOCKS), by="kind")
-    built = shelf.put(blocks.filter("kind = 'pairs'").groupBy("cell").applyInArrow(_build(grid), BUILT), by="kind")
-    shelf.drop(blocks, "kind=pairs")
-    state = built.filter("kind = 'state'").select("cell", "words", "fan", "contexts", "at", "counts")
-    columns, facts, models = ("cell", "side", "shard", "n", "t", "root", "sweep"), [], {}
-
-    def totals(sums: DataFrame, model: Model | None, sweep: int) -> tuple[DataFrame, Model]:
-        out = shelf.put(sums.groupBy("side", "shard").applyInArrow(_total(model, sweep), TOTALS))
-        c, t, n, known = (int(x or 0) for x in out.agg(*(F.sum(x) for x in ("c_all", "t_all", "n_all", "known"))).first())
-        return out.withColumn("sweep", F.lit(sweep)).select(*columns), Model(c, t, model.n if model else n, model.known if model else known)
-
-    first, model = totals(built.filter("kind = 'sums'").select(*(c.split()[0] for c in SUMS.split(", "))), None, 0)
-    last = first
+    turns = []
+    for turn in range(TURNS):
+        turns.append(shelf.put(blocks.filter(F.col("kind") == f"pairs{turn}").groupBy("cell").applyInArrow(_build(grid), BUILT), by="kind"))
+        shelf.drop(blocks, f"kind=pairs{turn}")
+        shelf.clean()
+
+    def built(kind: str, *columns: str) -> DataFrame:
+        return reduce(DataFrame.union, [t.filter(F.col("kind") == kind).select(*columns) for t in turns])
+
+    keys, active = built("keys", "cell", "side", "shard", "keys", "n", "once", "active"), built("active", "cell", "words", "contexts", "word", "at", "counts")
+    first = shelf.put(keys.groupBy("side", "shard").applyInArrow(_first, FIRST))
+    c, t, n, known, c_rest, t_rest = _sums(first, "c_all", "t_all", "n_all", "known", "c_rest", "t_rest")
+    model = Model(c, t, n, known)
+    fixed = first.select("cell", "side", "shard", "once", "t", "root", F.lit(0).alias("sweep"))
+    last, sums, seats, models = fixed, [], [], {}
     for sweep in range(1, BURN + SAMPLES + 1):
-        known = last if sweep == 1 else first.unionByName(last)
-        swept = shelf.put(state.groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(_sweep(model, sweep, grid), SWEPT), by="kind")
-        after, model = totals(swept.filter("kind = 'sums'").drop("kind"), model, sweep)
-        shelf.drop(swept, "kind=sums")
-        seats = swept.filter("kind = 'tables'").select("cell", "side", "shard", "n", "t", F.lit(None).cast("binary").alias("root"), F.lit(sweep).alias("sweep"))
-        last = after.unionByName(seats)
+        swept = shelf.put(active.groupBy("cell").cogroup(last.groupBy("cell")).applyInArrow(_sweep(model, sweep, grid), SWEPT), by="kind")
+        moved = swept.filter("kind = 'sums'").drop("kind")
+        totals = shelf.put(moved.groupBy("side", "shard").applyInArrow(_total(model, sweep), TOTALS))
+        c, t = _sums(totals, "c_all", "t_all")
+        model = Model(c + c_rest, t + t_rest, n, known)
+        mine = swept.filter("kind = 'tables'").select("cell", "side", "shard", "t", F.lit(sweep).alias("sweep"))
+        last = fixed.unionByName(totals.select("cell", "side", "shard", "t", "root", F.lit(sweep).alias("sweep")), allowMissingColumns=True).unionByName(mine, allowMissingColumns=True)
         if sweep > BURN:
-            facts.append(last)
+            sums.append(moved.select("side", "shard", "cell", "keys", "t", F.lit(sweep).alias("sweep")))
+            seats.append(mine)
             models[sweep] = model
         shelf.clean()
-    every = first.unionByName(state.withColumns({"side": F.lit(-2), "sweep": F.lit(-1)}), allowMissingColumns=True)
-    for x in facts:
-        every = every.unionByName(x, allowMissingColumns=True)
-    asked = built.filter("kind = 'asked'").select("cell", "block", "places")
-    answers = every.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_answer(models), ANSWERS)
+    final = shelf.put(keys.groupBy("side", "shard").cogroup(reduce(DataFrame.union, sums).groupBy("side", "shard")).applyInArrow(_last(models), LAST))
+    for r in final.groupBy("sweep").agg(F.sum("c_all").alias("c"), F.sum("t_all").alias("t")).filter("sweep > 0").collect():
+        models[r.sweep] = Model(r.c or 0, r.t or 0, n, known)
+    facts = final.select("cell", "side", "shard", "n", "t", "root", "sweep")
+    for x in (built("state", "cell", "fan", "at", "counts").withColumns({"side": F.lit(-2), "sweep": F.lit(-1)}), *seats):
+        facts = facts.unionByName(x, allowMissingColumns=True)
+    answers = shelf.put(facts.groupBy("cell").cogroup(built("asked", "cell", "block", "places").groupBy("cell")).applyInArrow(_answer(models), ANSWERS))
+    for x in (*turns, final):
+        shelf.drop(x)
+    shelf.clean()
     texts = blocks.filter("kind = 'docs'").select("block", "doc_ids", "train", "lengths", "places")
     return texts.groupBy("block").cogroup(answers.groupBy("answer_block")).applyInArrow(_score(model), SCORES)

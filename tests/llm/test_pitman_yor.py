@@ -157,6 +157,7 @@ def test_cells_and_blocks_only_deal_the_work(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(120)]
     one = score(spark, rows)
     monkeypatch.setattr(py, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(py, "CELL_CHARS", 300)
     many = score(spark, rows)
     for i in one:
         assert one[i][:5] == many[i][:5] and abs(one[i].base_score - many[i].base_score) < 1e-9
