@@ -1,12 +1,17 @@
 """Quality rules with thresholds that follow the corpus.
 
-Each document gets a few ratios. Mergeable quantile sketches (KLL) of every ratio are built per language and source, merged into
-sketches per language and one for all, and read as fences: the upper quartile and a multiple of the spread between the
-quartiles. A group with few documents takes the fence of its language, a language with few that of all. A document over its
-fence in any ratio, or failing a base rule, is rejected.
+Each document gets a few ratios. Mergeable quantile sketches (KLL) of every ratio are built per language and source from the
+documents that pass the base rules, merged into sketches per language and into one for all. A fence stands REACH times the distance
+from the median to the ninth decile above that decile, for every ratio alike; where both are the same value, it stands FLOOR above.
+The fence of a language is its own and that of all, weighed by its documents against WEIGHT; the fence of a group is its own
+and that of its language, weighed in the same way. So a group of few documents follows its language, one of many itself, and nothing
+switches at a size. A document over its fence in any ratio, or failing a base rule, is rejected.
+
+Duplicate lines are counted but have no fence: their words stand in repeated windows, so repeat_ratio judges them already.
 
 DataFrame functions only. The sketches are aggregated in partial steps, so a hot source is a row for each task; the fences are
-one row per group, joined by AQE's choice. Null language or source is a group of its own; null text counts as empty.
+one row per group, joined by AQE's choice. Null language or source is a group of its own; null text counts as empty. Columns of
+the input keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,12 +23,11 @@ from pyspark.sql import functions as F
 
 from .store import Shelf
 
-#: Ratios held against fences, and the margin by which a fence stands over the upper quartile at least.
-RATIOS = {"symbol_ratio": 0.07, "dup_line_ratio": 0.35, "repeat_ratio": 0.20, "mean_word_chars": 4.0}
-#: Interquartile ranges from the upper quartile to the fence.
-SPREAD = 6.0
-#: Documents that a group needs for fences of its own.
-LEAST = 200
+RATIOS = ("symbol_ratio", "repeat_ratio", "mean_word_chars")
+#: Quantiles that a fence is read from, its distance in multiples of theirs, and the least distance.
+BODY, TAIL, REACH, FLOOR = 0.5, 0.9, 5.0, 0.02
+#: Documents of the group above that a group's own are weighed against.
+WEIGHT = 200
 SKETCH_K = 400
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -83,11 +87,11 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, none).otherwise(let(hashes(words), from_hashes))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed under the name of a struct _m.
+def measures(text: Column) -> Column:
+    """A struct of n_symbols, n_dup_lines and, in w, n_words, word_chars and n_repeat_words.
 
     A word is a run of characters other than 0x20 and 0x09-0x0D."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(text, WORD_GAP, -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
 
@@ -99,73 +103,65 @@ def measures(docs: DataFrame) -> DataFrame:
         )
 
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
-    m = F.struct(
-        let(words, of_words).alias("w"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        dup.alias("n_dup_lines"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-    )
-    return docs.withColumn("_m", m)
+    return F.struct(let(words, of_words).alias("w"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"), dup.alias("n_dup_lines"))
+
+
+def failed(m: Column) -> Column:
+    """The base rules."""
+    w = m["w"]
+    return (w["n_words"] < 50) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
 
 
 def _ratios(m: Column) -> dict[str, Column]:
     w, one = m["w"], F.lit(1)
     return {
         "symbol_ratio": m["n_symbols"] / F.greatest(w["word_chars"], one),
-        "dup_line_ratio": m["n_dup_lines"] / F.greatest(m["n_lines"], one),
         "repeat_ratio": w["n_repeat_words"] / F.greatest(w["n_words"], one),
         "mean_word_chars": w["word_chars"] / F.greatest(w["n_words"], one),
     }
 
 
-def _fence(sketch: Column, margin: float) -> Column:
-    low, high = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-    return high + F.greatest(F.lit(SPREAD) * (high - low), F.lit(margin))
+def _fence(sketch: Column) -> Column:
+    body, tail = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (BODY, TAIL))
+    return tail + F.greatest(REACH * (tail - body), F.lit(FLOOR))
 
 
 def fences(measured: DataFrame) -> DataFrame:
-    """(lang, source, one fence for each ratio): sketches per group, merged upwards where a group is small."""
-    plain = measured.select("_lang", "_source", *(c.cast("double").alias(n) for n, c in _ratios(F.col("_m")).items()))
-    sketches = [F.kll_sketch_agg_double(F.col(n), F.lit(SKETCH_K)).alias(n) for n in RATIOS]
+    """(f_lang, f_source, a fence for each ratio) of the groups that have documents which pass the base rules."""
+    passed = measured.filter(~failed(F.col("m"))).select("lang", "source", *(c.cast("double").alias(n) for n, c in _ratios(F.col("m")).items()))
     merged = [F.kll_merge_agg_double(F.col(n), F.lit(SKETCH_K)).alias(n) for n in RATIOS]
-    per = plain.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"), *sketches)
-    lang = per.groupBy("_lang").agg(F.sum("_n").alias("_n"), *merged)
-    every = lang.agg(*merged)
+    per = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(n), F.lit(SKETCH_K)).alias(n) for n in RATIOS))
+    lang = per.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("l_n"), *merged)
+    # One row without a key: the join with it is of a row for each language.
+    every = lang.agg(*merged).select(*(_fence(F.col(n)).alias(f"e_{n}") for n in RATIOS))
 
-    def read(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        return df.select(*keys, *([F.col("_n").alias(f"{prefix}n")] if keys else []), *(_fence(F.col(n), RATIOS[n]).alias(f"{prefix}{n}") for n in RATIOS))
+    def weighed(n: str, own: Column, above: Column) -> Column:
+        return (F.col(n) * own + WEIGHT * above) / (F.col(n) + WEIGHT)
 
-    a, b, c = read(per, ["_lang", "_source"], "a_"), read(lang, ["_lang"], "b_"), read(every, [], "c_")
-    joined = a.join(b.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l"))).join(c.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"))
-    chosen = [F.when(F.col("a_n") >= LEAST, F.col(f"a_{n}")).when(F.col("b_n") >= LEAST, F.col(f"b_{n}")).otherwise(F.col(f"c_{n}")).alias(f"_top_{n}") for n in RATIOS]
-    return joined.select("_lang", "_source", *chosen)
+    langs = lang.crossJoin(every).select("l_lang", *(weighed("l_n", _fence(F.col(n)), F.col(f"e_{n}")).alias(f"l_{n}") for n in RATIOS))
+    both = per.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")))
+    return both.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(weighed("n", _fence(F.col(n)), F.col(f"l_{n}")).alias(f"f_{n}") for n in RATIOS))
 
 
-def judged(docs: DataFrame, text: bool = True) -> DataFrame:
-    """docs (text left out if so asked) with _m, _base_failed and _kept. A missing lang or source counts as null.
+def judged(docs: DataFrame, *keep: str) -> DataFrame:
+    """(row: a struct of the kept columns of docs, m, base_failed, kept). A missing lang or source counts as null.
 
     The measures are written once and read twice, for the fences and for the verdict."""
-    part = {f"_{c}": F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
-    measured = measures(docs).withColumns(part)
-    measured = Shelf(docs.sparkSession).put(measured if text else measured.drop("text"))
-    tops = fences(measured).withColumnsRenamed({"_lang": "_fl", "_source": "_fs"})
-    w = F.col("_m.w")
-    failed = (w["n_words"] < 50) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
-    within = [c <= F.col(f"_top_{n}") for n, c in _ratios(F.col("_m")).items()]
-    verdict = within[0]
-    for x in within[1:]:
-        verdict &= x
+    part = [(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")]
+    measured = Shelf(docs.sparkSession).put(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), measures(F.col("text")).alias("m"), *part))
+    within = F.lit(True)
+    for n, c in _ratios(F.col("m")).items():
+        within &= c <= F.col(f"f_{n}")
     # A row for each group, each with a few doubles: the smaller side at any corpus size; AQE sees its true size.
-    out = measured.join(tops, F.col("_lang").eqNullSafe(F.col("_fl")) & F.col("_source").eqNullSafe(F.col("_fs")), "left")
-    return out.withColumn("_base_failed", failed).withColumn("_kept", ~F.col("_base_failed") & F.coalesce(verdict, F.lit(True)))
+    out = measured.join(fences(measured), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    return out.select("row", "m", failed(F.col("m")).alias("base_failed"), (~failed(F.col("m")) & F.coalesce(within, F.lit(True))).alias("kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    m = F.col("_m")
-    return judged(docs.select("doc_id", "text", "lang", "source"), text=False).select("doc_id", m["w"]["n_words"].alias("n_words"), m["w"]["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged(docs, "doc_id").select("row.doc_id", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words", "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The kept rows with the columns of docs."""
-    return judged(docs).filter("_kept").select(*docs.columns)
+    return judged(docs, *docs.columns).filter("kept").select("row.*")
