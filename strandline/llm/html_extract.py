@@ -1,26 +1,31 @@
 """Main text of pages by nearest-URL page differencing.
 
-A page becomes text lines, one for each block. Pages are sorted by host and url path; each is compared with the pages before and
-after it on its host. Their lines are aligned by a longest common subsequence, and lines that two neighbours share are the site's,
-not the page's. Markup settles what it can: lines of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments go wherever they stand, and lines inside an article or main element stay even if a neighbour (a copy, or a page that
-quotes the same passage) shares them: there, differencing would delete article text.
-
-Pages are dealt by ranges of (host, path), so a host with a third of all pages is spread over many tasks. A page at the end of a
-range has its neighbour on one side.
+A page becomes text lines, one for each block. Pages stand in the order of host, url path and page_id; each is compared with the NEAR pages before and
+after it on its host. Their lines are aligned by a longest common subsequence. A neighbour votes for the lines that it shares; one
+that shares all text of either page is a copy, so it says nothing about the site and has no vote. Shared lines are the site's and
+go: where no article or main element tells the page's own text, those with half of the votes; inside such an element, where
+neighbours also quote passages or carry the same licence line, only those with all 2 * NEAR votes.
+Besides, lines go that markup puts outside the main text, shared or not (menus, headers, footers, sidebars, notices, adverts, forms,
+comments), and on pages with an article or main element the lines outside it.
+
+Runs of RANGE pages in that order are worked on together, with NEAR pages more at either end, so a host with a third of all pages
+is spread over many tasks and no result depends on where runs end. The keys are sorted first, without the html; the ends of runs
+are all that the driver sees, as with a range partitioning. Html is shuffled and parsed once (NEAR pages at ends twice).
 
 Character references are decoded, white space inside a block is one space, blocks are joined by a line feed. Null html is empty;
-null urls are one host without path.
+null urls are one host without path; a null page_id sorts first. Repeated rows are copies of each other. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,68 +145,157 @@ def common(a: list, b: list) -> tuple[set[int], set[int]]:
     return x, y
 
 
-def main_text(lines: list[tuple[str, bool, bool]], shared: set[int]) -> str:
-    """Lines that are neither outside nor, where no article or main element holds them, shared with a neighbour."""
+#: Neighbours on either side, and pages in a run.
+NEAR, RANGE = 2, 4000
+
+
+def main_text(lines: list[tuple[str, bool, bool]], votes: list[int], voters: int) -> str:
+    """Lines that neither markup nor the votes of neighbours take for the site's."""
     marked = any(inside and not outside for _, outside, inside in lines)
-    return "\n".join(t for i, (t, outside, inside) in enumerate(lines) if not outside and (inside if marked else i not in shared))
+    out = []
+    for (text, outside, inside), n in zip(lines, votes, strict=True):
+        shared = n == 2 * NEAR if marked else n > 0 and 2 * n >= voters
+        if not outside and not shared and (inside or not marked):
+            out.append(text)
+    return "\n".join(out)
 
 
-PAGE = "page_id bigint, url string, host string, path string, texts array<string>, outside array<boolean>, inside array<boolean>"
+class _Page:
+    def __init__(self, row: tuple):
+        _, self.own, self.host, _, self.id, self.url, html = row
+        self.lines = lines_of(html) if html else []
+        self.texts = [t for t, _, _ in self.lines]
+        self.body = {i for i, (_, outside, _) in enumerate(self.lines) if not outside}
+        self.votes, self.voters = [0] * len(self.lines), 0
 
+    def vote(self, shared: set[int]) -> None:
+        self.voters += 1
+        for i in shared:
+            self.votes[i] += 1
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [lines_of(html) if html else [] for html in batch.column(4).to_pylist()]
-        kinds = (pa.string(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([[x[i] for x in f] for f in found], pa.list_(k)) for i, k in enumerate(kinds))], names=[c.split()[0] for c in PAGE.split(", ")])
+    def row(self) -> tuple:
+        text = main_text(self.lines, self.votes, self.voters)
+        return self.id, self.url, text, len(text)
 
 
-def _hashes(texts: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) for t in texts]
+def meet(a: _Page, b: _Page) -> None:
+    """Two neighbours vote for each other's shared lines, unless one has no text of its own beside the other."""
+    x, y = common(a.texts, b.texts)
+    if a.body - x and b.body - y:
+        a.vote(x)
+        b.vote(y)
 
 
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by host and path to their main text; each page is held until its next neighbour has come."""
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6)), strict=True)
-
-    def done(page: tuple, shared: set[int]) -> tuple:
-        text = main_text(list(zip(page[3], page[4], page[5], strict=True)), shared)
-        return page[0], page[1], text, len(text)
+    """Pages sorted by run and key to the main text of the run's own."""
 
     def flush(out: list) -> pa.RecordBatch:
         cols = zip(*out, strict=True) if out else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    out, before, shared = [], None, set()
-    for page in rows():
-        mine: set[int] = set()
-        if before is not None:
-            if before[2] == page[2]:
-                theirs, mine = common(before[3], page[3])
-                shared |= theirs
-            out.append(done(before, shared))
-        before, shared = page, mine
-        if len(out) == 500:
-            yield flush(out)
-            out = []
-    if before is not None:
-        out.append(done(before, shared))
-    yield flush(out)
+    out: list[tuple] = []
+    last: deque[_Page] = deque()
+    run = None
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if row[0] != run:
+                out += [p.row() for p in last if p.own]
+                last.clear()
+                run = row[0]
+            page = _Page(row)
+            for p in last:
+                if p.host == page.host:
+                    meet(p, page)
+            last.append(page)
+            if len(last) > NEAR and (p := last.popleft()).own:
+                out.append(p.row())
+        yield flush(out)
+        out = []
+    yield flush([p.row() for p in last if p.own])
+
+
+ENDS = "part int, place bigint, host string, path string, page_id bigint"
+
+
+def _ends(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted keys, the first and last NEAR of every run of size."""
+        part, place, held = TaskContext.get().partitionId(), 0, []
+
+        def rows(of: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(ENDS_NAMES, (part, *x), strict=True)) for x in of], schema=pa.schema([("part", pa.int32()), ("place", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64())]))
 
+        for batch in batches:
+            out = []
+            for key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place % size == 0:
+                    out += held[-NEAR:]
+                    held = []
+                (out if place % size < NEAR else held).append((place, *key))
+                held = held[-NEAR:]
+                place += 1
+            yield rows(out)
+        yield rows(held)
+
+    return work
+
+
+ENDS_NAMES = [c.split()[0] for c in ENDS.split(", ")]
+
+
+def _order(key: tuple) -> tuple:
+    host, path, page = key
+    return host, path, page is not None, page or 0
+
+
+def runs_of(ends: list[tuple], size: int) -> tuple[list[tuple], dict]:
+    """(part, place, host, path, page_id) of ends to the first key of each run, and for the keys near an end the run beyond it.
+
+    Runs of fewer than NEAR keys join the one before."""
+    runs: list[list[tuple]] = []
+    number = None
+    for part, place, *key in sorted(ends, key=lambda r: (_order(r[2:]), r[0], r[1])):
+        if (part, place // size) != number and (not runs or len(runs[-1]) >= NEAR):
+            runs.append([])
+        number = part, place // size
+        runs[-1].append(_order(tuple(key)))
+    if len(runs) > 1 and len(runs[-1]) < NEAR:
+        runs[-2:] = [runs[-2] + runs[-1]]
+    beyond: dict = {}
+    for i, (a, b) in enumerate(zip(runs, runs[1:], strict=False)):
+        for k in a[-NEAR:]:
+            beyond.setdefault(k, set()).add(i + 1)
+        for k in b[:NEAR]:
+            beyond.setdefault(k, set()).add(i)
+    return [r[0] for r in runs], beyond
+
+
+def _dealt(firsts: list[tuple], beyond: dict):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the run that they belong to, and again for a run that has them as neighbours."""
+        for batch in batches:
+            at, run, own = [], [], []
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                key = _order(key)
+                mine = max(0, bisect_right(firsts, key) - 1)
+                for r in {mine, *beyond.get(key, ())}:
+                    at.append(i)
+                    run.append(r)
+                    own.append(r == mine)
+            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int32()), pa.array(own, pa.bool_()), *(c.take(pa.array(at, pa.int64())) for c in batch.columns)], names=["run", "own", *batch.schema.names])
 
-#: Pages in a range on average.
-RANGE = 4000
+    return work
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    ranges = max(1, -(-pages.count() // RANGE))
-    read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html"))
-    parsed = read.mapInArrow(_parse, PAGE)
-    return parsed.repartitionByRange(ranges, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(_difference, RESULT)
+    key = [F.col(c) for c in ("host", "path", "page_id")]
+    read = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("page_id").cast("bigint"), "url", "html")
+    parts = max(1, -(-pages.count() // (16 * RANGE)))
+    ends = read.select(*key).repartitionByRange(parts, *key).sortWithinPartitions(*key).mapInArrow(_ends(RANGE), ENDS)
+    firsts, beyond = runs_of([tuple(r) for r in ends.collect()], RANGE)
+    dealt = read.mapInArrow(_dealt(firsts, beyond), "run int, own boolean, host string, path string, page_id bigint, url string, html string")
+    return dealt.repartition(max(1, len(firsts)), "run").sortWithinPartitions("run", *key).select("run", "own", "host", "path", "page_id", "url", "html").mapInArrow(_difference, RESULT)
