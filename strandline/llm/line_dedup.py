@@ -3,10 +3,13 @@
 A document is a sequence of line hashes. A gram is the shortest run of lines from a line on that has GRAM words; its hash is made
 of its lines' hashes. A window is the shortest run with RUN words from a line on, or back from a line's end. The least gram hash
 of a window from a line on is its fingerprint; a window back from an end has that of the window which starts where it does. Equal
-windows have equal fingerprints, so only windows whose fingerprint stands at two places or more go on. Those are grouped by a hash
-of all their lines: the first place (by doc_id, text hash, then line) stays, the lines of all others are deleted. A line of a
-repeated run is in a window of the run, one from that line on or the one back from the run's end. So the lines of every run of RUN
-words or more that stands earlier elsewhere are deleted, whatever frequent lines or shorter passages it holds; the first copy stays.
+windows have equal fingerprints, so positions of fingerprints are joined by their hash first, and only those at two places or more
+go on. From such a position the match is extended both ways: over every window around it that has it as its fingerprint, by a hash
+of all the window's lines. The first place of a window (by doc_id, text hash, then line) stays, the lines of all others are deleted, and windows
+that overlap are one deleted run. A line of a repeated run is in a window of the run, one from that line on or the one back from the
+run's end. So the lines of every run of RUN words or more that stands earlier elsewhere are deleted, whatever frequent lines or
+shorter passages it holds; the first copy stays. Each place meets the first place of its windows only, so a hot passage costs a row for
+each of its windows, not for each pair of places.
 
 Lines are compared with runs of white space as one space and none at the ends. Lines without words match any others like them
 but add nothing to a run's words. A document that loses all its words is dropped; rows without text or words stay as they are.
@@ -20,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .store import Shelf
+from .store import Shelf, unused
 from .words import mix
 
 #: Words that a run must share to be deleted, and words in a gram.
@@ -119,15 +123,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*keys, *(w[x] for x in WINDOW.names))], names=_names(WINDOWS))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with k (the id; null as the smallest) and tid (hash of the text): rows with the same two are one document."""
-    return docs.withColumns({"_k": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("bigint")), "_tid": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+def _key() -> tuple:
+    """The id (null as the smallest) and a hash of the text: rows with the same two are one document."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("bigint")), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def matches(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """(k, tid, low, high): windows of a document that stand earlier elsewhere."""
     shelf = Shelf(docs.sparkSession)
-    rows = _keyed(docs).select(F.col("_k").alias("k"), F.col("_tid").alias("tid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"))
+    k, tid = _key()
+    rows = docs.select(k.alias("k"), tid.alias("tid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"))
     found = shelf.put(rows.mapInArrow(_fingerprint_rows(run, gram), FINGERPRINTS))
     again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fp").alias("a_fp"), F.xxhash64("fp").alias("a_salt"))
     # The second key makes Spark shuffle both sides for the join, which lets AQE split a hot fingerprint.
@@ -141,6 +146,7 @@ def matches(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column holds a document's windows to delete; the number of lines that went takes its place."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
         texts, removed = [], []
@@ -155,20 +161,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = "\n".join([x for x, g in zip(lines, gone, strict=True) if not g])
             texts.append(text)
             removed.append(n)
-        cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "_removed"])
+        cols = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=batch.schema.names)
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """docs with later repeated runs cut out of text, and _removed (lines cut). No row is dropped."""
+def line_dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, removed: str = "_removed") -> DataFrame:
+    """docs with later repeated runs cut out of text, and a column with the number of lines cut. No row is dropped.
+
+    A column of docs with that column's name is replaced; all others keep their names and values, whatever they are called."""
+    docs = docs.drop(removed)
+    name, mk, mt = unused(docs, removed, "match_k", "match_tid")
     found = Shelf(docs.sparkSession).put(matches(docs, run, gram))
-    per = found.groupBy(F.col("k").alias("_mk"), F.col("tid").alias("_mt")).agg(F.collect_list(F.struct("low", "high")).alias("_found"))
-    joined = _keyed(docs).join(per, (F.col("_k") == F.col("_mk")) & (F.col("_tid") == F.col("_mt")), "left").select(*docs.columns, "_found")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_removed bigint"])
-    return joined.mapInArrow(_cut, schema)
+    # Windows that overlap or touch are one range, so a document has a row for each run, not for each window.
+    w = Window.partitionBy("k", "tid").orderBy("low", "high")
+    reach = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("low")).cast("int")).withColumn("n", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = marked.groupBy("k", "tid", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    per = ranges.groupBy(F.col("k").alias(mk), F.col("tid").alias(mt)).agg(F.collect_list(F.struct("low", "high")).alias(name))
+    k, tid = _key()
+    joined = docs.join(per, (k == F.col(mk)) & (tid == F.col(mt)), "left").select(*(F.col(f"`{c}`") for c in docs.columns), name)
+    return joined.mapInArrow(_cut, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def line_dedup_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs after line dedup, without the documents that lost all their words."""
+    (name,) = unused(docs, "_removed")
     empty = ~F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]"))
-    return line_dedup(docs).filter(~((F.col("_removed") > 0) & empty)).drop("_removed")
+    return line_dedup(docs, removed=name).filter(~((F.col(name) > 0) & empty)).drop(name)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Shelf, text_bytes
+from .store import Shelf, text_bytes, unused
 from .words import Hashes, mix, shingles
 
 COORDINATES, BANDS = 128, 32
@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each group of near duplicates, all its rows if its id repeats."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay: one document of each group of near duplicates, all its rows if its id repeats. Columns of docs may
+    have any names."""
+    (name,) = unused(docs, "kept_id")
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -68,6 +68,17 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, SHELVES.pop())
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like these that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """A base table, only the named columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
