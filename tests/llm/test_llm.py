@@ -145,16 +145,12 @@ def test_pack_is_best_fit():
 
 def test_html():
     page = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One<br> two<p><b>Three <i>x</i><form>f</form></article><aside>s</aside><div id="comments">c</div><footer>f</footer></body>'
-    assert html_extract.main_text(html_extract.lines_of(page), set()) == "A & B\nOne two\nThree x"
-    assert html_extract.main_text([("site", False, False), ("own", False, False)], {0}) == "own"
+    lines = html_extract.lines_of(page)
+    assert html_extract.main_text(lines, [0] * len(lines), 0) == "A & B\nOne two\nThree x"
+    assert html_extract.main_text([("site", False, False), ("own", False, False)], [1, 0], 1) == "own"
     assert html_extract.common(list("axbyc"), list("abqc"))[0] == {0, 2, 4}
 
 
-def test_html_pages(spark):
-    got = {r.page_id: r.text for r in queries.op8_html_extract(spark, SF).collect()}
-    assert got and all("&copy;" not in t and t for t in got.values())
-
-
 def test_line_dedup(spark):
     passage = "\n".join(" ".join(f"w{i}{j}" for j in range(9)) for i in range(8))
     rows = [(1, f"own one\n{passage}\nend"), (2, f"x y\n{passage}\nz"), (3, "short same line\nq"), (4, "short same line\nr"), (5, f"{passage}"), (6, f"{passage}\nmore\n{passage}")]
