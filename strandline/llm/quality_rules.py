@@ -3,9 +3,9 @@
 Each document gets a few ratios. Mergeable quantile sketches (KLL) of every ratio are built per language and source from the
 documents that pass the base rules, merged into sketches per language and into one for all. A fence stands REACH times the distance
 from the median to the ninth decile above that decile, for every ratio alike; where both are the same value, it stands FLOOR above.
-The fence of a language is its own and that of all, weighed by its documents against WEIGHT; the fence of a group is its own
+The fence of a language is its own and that of all, weighed by its documents against WEIGHT as logarithms; the fence of a group is its own
 and that of its language, weighed in the same way. So a group of few documents follows its language, one of many itself, and nothing
-switches at a size. A document over its fence in any ratio, or failing a base rule, is rejected.
+switches at a size; on logarithms, the wide fence of a language whose sources differ pulls a group's own up little. A document over its fence in any ratio, or failing a base rule, is rejected.
 
 Duplicate lines are counted but have no fence: their words stand in repeated windows, so repeat_ratio judges them already.
 
@@ -136,7 +136,7 @@ def fences(measured: DataFrame) -> DataFrame:
     every = lang.agg(*merged).select(*(_fence(F.col(n)).alias(f"e_{n}") for n in RATIOS))
 
     def weighed(n: str, own: Column, above: Column) -> Column:
-        return (F.col(n) * own + WEIGHT * above) / (F.col(n) + WEIGHT)
+        return F.exp((F.col(n) * F.log(own) + WEIGHT * F.log(above)) / (F.col(n) + WEIGHT))
 
     langs = lang.crossJoin(every).select("l_lang", *(weighed("l_n", _fence(F.col(n)), F.col(f"e_{n}")).alias(f"l_{n}") for n in RATIOS))
     both = per.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")))

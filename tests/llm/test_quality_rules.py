@@ -17,6 +17,10 @@ def fence(values):
     return tail + max(q.REACH * (tail - body), q.FLOOR)
 
 
+def weighed(values, above):
+    return np.exp((len(values) * np.log(fence(values)) + q.WEIGHT * np.log(above)) / (len(values) + q.WEIGHT))
+
+
 def expected(rows):
     """rows: (result row, lang, source). Exact quantiles in place of sketches, the same weights."""
     passed = [(ratios(r), lang, source) for r, lang, source in rows if not r.base_failed]
@@ -28,8 +32,7 @@ def expected(rows):
             of_lang = [x[i] for x, a, _ in passed if a == lang]
             own = [x[i] for x, a, b in passed if (a, b) == (lang, source)]
             if ok and own:
-                above = (len(of_lang) * fence(of_lang) + q.WEIGHT * fence(every)) / (len(of_lang) + q.WEIGHT)
-                ok = ok and ratios(r)[i] <= (len(own) * fence(own) + q.WEIGHT * above) / (len(own) + q.WEIGHT)
+                ok = ok and ratios(r)[i] <= weighed(own, weighed(of_lang, fence(every)))
         out[r.doc_id] = ok
     return out
 
