@@ -59,17 +59,6 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return inner.union(tail).union(whole).filter("i < f").select("chrom", F.col("i").alias("initial"), F.col("f").alias("final"))
 
 
-def nearest(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
-    """For each row of a (unique _ord) the nearest row of b within most: columns of a, b_initial, b_final, distance.
-
-    The left side is widened by most and joined by bins, so no position-sorted pass over a whole chromosome is needed; ties go to
-    the least start, then end."""
-    wide = a.select("_ord", "chrom", F.col("initial").alias("o_i"), F.col("final").alias("o_f"), F.greatest(F.col("initial") - most, F.lit(0)).alias("initial"), (F.col("final") + most).alias("final"))
-    gap = F.greatest(F.col("b_initial") - F.col("o_f"), F.col("o_i") - F.col("b_final"), F.lit(0))
-    best = overlap_join(wide, b.select("chrom", "initial", "final")).groupBy("_ord").agg(F.min(F.struct(gap.alias("distance"), F.col("b_initial"), F.col("b_final"))).alias("m"))
-    return a.join(best, "_ord").select(*a.columns, "m.b_initial", "m.b_final", "m.distance")
-
-
 def complement(a: DataFrame, sizes: DataFrame) -> DataFrame:
     """The parts of each chromosome (chrom, length) outside a."""
     return subtract(sizes.select("chrom", F.lit(0).cast("bigint").alias("initial"), F.col("length").alias("final")), a)

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from .islands import merge, with_islands
 from .joins import intersect, overlap_join, semi
+from .stats import corrected
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
@@ -171,3 +172,33 @@ def activity_change(df: DataFrame, key: str) -> DataFrame:
         return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
 
     return rows.withColumn("p", two_sided("z"))
+
+
+def filter_strand_lag(df: DataFrame, cut: float, most: float = 2.0) -> DataFrame:
+    """df (plus, minus, p) with q and z: rows with a corrected p of at most cut whose log ratio of strands lies less than most standard
+    deviations from the mean of all rows. A strand without reads has no ratio, so the row goes."""
+    rows = corrected(df, "p").drop("rejected").withColumn("_r", F.log(F.nullif(F.col("plus"), F.lit(0)) / F.nullif(F.col("minus"), F.lit(0))))
+    spread = rows.agg(F.avg("_r").alias("_m"), F.nullif(F.stddev_pop("_r"), F.lit(0.0)).alias("_s"))
+    rows = rows.crossJoin(spread).withColumn("z", F.coalesce((F.col("_r") - F.col("_m")) / F.col("_s"), F.when(F.col("_r").isNotNull(), 0.0)))  # one row
+    return rows.filter((F.col("q") <= cut) & (F.abs("z") < most)).drop("_r", "_m", "_s")
+
+
+def split_by_fold(df: DataFrame, fold: float, gap: int) -> DataFrame:
+    """(chrom, kind, initial, final, n): peaks (plus, minus) at least fold apart, as gain or lose, those of a kind closer than gap joined."""
+    kind = F.when(F.col("plus") >= fold * F.col("minus"), "gain").when(F.col("minus") >= fold * F.col("plus"), "lose")
+    rows = df.withColumn("kind", kind).filter("kind IS NOT NULL")
+    return with_islands(rows, gap, ("chrom", "kind")).groupBy("chrom", "kind", "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.count(F.lit(1)).alias("n")).drop("_island")
+
+
+def combined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chrom, orientation, initial, final, p): overlapping peaks of both sets and one strand as their hull, with the p (-log10) of the product of
+    both p, under which the product of two uniform numbers falls; hulls that overlap are joined and keep the greatest p."""
+    met = overlap_join(a.select("chrom", "initial", "final", "orientation", "p"), b.select("chrom", "initial", "final", "orientation", "p"), on=F.col("orientation") == F.col("b_orientation"))
+    both = F.col("p") + F.col("b_p")
+    rows = met.select("chrom", "orientation", F.least("initial", "b_initial").alias("initial"), F.greatest("final", "b_final").alias("final"), (both - F.log10(1 + both * math.log(10))).alias("p"))
+    return with_islands(rows, 0, ("chrom", "orientation")).groupBy("chrom", "orientation", "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.max("p").alias("p")).drop("_island")
+
+
+def negative_binomial_parameters(mean: Column, alpha: Column) -> tuple[Column, Column]:
+    """Mean and dispersion to the number of successes and their probability."""
+    return 1 / alpha, 1 / (1 + mean * alpha)

@@ -26,10 +26,24 @@ def flank(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("_s", F.explode(sides)).withColumns({"initial": F.col("_s.i"), "final": F.col("_s.f"), "side": F.col("_s.side")}).drop("_s")
 
 
+def extend_percent(df: DataFrame, left: float, right: float) -> DataFrame:
+    """Ends moved outwards by a share of the length, cut to whole positions; starts stay at 0 or above."""
+    n = F.col("final") - F.col("initial")
+    part = lambda x: (n * x / 100).cast("bigint")
+    i, f = F.col("initial") - part(left), F.col("final") + part(right)
+    return df.withColumns({"initial": F.greatest(F.least(i, f), F.lit(0)), "final": F.greatest(i, f)})
+
+
 def relocate(df: DataFrame, center: str = "midpoint", left: int = 2000, right: int = 2000) -> DataFrame:
-    """Re-centred on midpoint, leftend or rightend and extended."""
-    at = {"midpoint": F.floor((F.col("initial") + F.col("final")) / 2), "leftend": F.col("initial"), "rightend": F.col("final")}[center].cast("bigint")
-    return df.withColumn("_at", at).withColumns({"initial": F.greatest(F.col("_at") - left, F.lit(0)), "final": F.col("_at") + right}).drop("_at")
+    """Re-centred on midpoint, leftend, rightend, upstream or downstream (along the strand; anything but + counts as -) or bothends
+    (two rows), and extended."""
+    i, f = F.col("initial"), F.col("final")
+    plus = F.coalesce(F.col("orientation") == "+", F.lit(False)) if "orientation" in df.columns else F.lit(False)
+    at = {
+        "midpoint": F.floor((i + f) / 2), "leftend": i, "rightend": f, "upstream": F.when(plus, i).otherwise(f),
+        "downstream": F.when(plus, f).otherwise(i), "bothends": F.explode(F.array(i, f)),
+    }[center]
+    return df.select("*", at.alias("_at")).withColumn("_at", F.col("_at").cast("bigint")).withColumns({"initial": F.greatest(F.col("_at") - left, F.lit(0)), "final": F.col("_at") + right}).drop("_at")
 
 
 def fragmentize(df: DataFrame, size: int) -> DataFrame:

@@ -44,17 +44,6 @@ def position_code(i: Column, f: Column, b_i: Column, b_f: Column) -> Column:
     return F.when(f <= b_i, -1).when(i >= b_f, 1).otherwise(0)
 
 
-def distances(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
-    """(_ord, b_ord, distance): every overlapping row at 0, the nearest row before at a negative and after at a positive distance,
-    both below most. Ties go to the least start, end, _ord."""
-    wide = a.select("_ord", "chrom", F.col("initial").alias("o_i"), F.col("final").alias("o_f"), F.greatest(F.col("initial") - most, F.lit(0)).alias("initial"), (F.col("final") + most).alias("final"))
-    met = overlap_join(wide, b.select("_ord", *PLACE)).withColumn("side", position_code(F.col("b_initial"), F.col("b_final"), F.col("o_i"), F.col("o_f")))
-    met = met.withColumn("d", gap(F.col("o_i"), F.col("o_f"), F.col("b_initial"), F.col("b_final"))).filter(F.col("d") < most)
-    inside = met.filter("side = 0").select("_ord", F.col("b__ord").alias("b_ord"), F.lit(0).cast("bigint").alias("distance"))
-    near = met.filter("side <> 0").groupBy("_ord", "side").agg(F.min(F.struct("d", "b_initial", "b_final", "b__ord")).alias("m"))
-    return inside.union(near.select("_ord", F.col("m.b__ord"), F.col("m.d") * F.col("side")))
-
-
 def remnants(a: DataFrame, b: DataFrame) -> DataFrame:
     """(_ord, chrom, initial, final): what each row of a has outside b; rows of a aren't merged."""
     left = a.select("_ord", *PLACE)

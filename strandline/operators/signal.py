@@ -125,3 +125,22 @@ def mean_signal(regions: DataFrame, signal: DataFrame) -> DataFrame:
     width = F.least("final", "b_final") - F.greatest("initial", "b_initial")
     mean = hit.groupBy("_ord").agg((F.sum(F.col("b_value") * width) / F.sum(width)).alias("mean"))
     return regions.select("_ord").join(mean, "_ord", "left").fillna(0.0, ["mean"])
+
+
+def putative_bins(df: DataFrame, keys: tuple[str, ...], sample: str, value: str, least: float) -> DataFrame:
+    """(keys, score): bins whose values, each over its sample's mean of its own bins, add up to more than least."""
+    mean = df.groupBy(sample).agg(F.avg(value).alias("_m"))  # a row for each sample
+    return df.join(mean, sample).groupBy(*keys).agg(F.sum(F.col(value) / F.col("_m")).alias("score")).filter(F.col("score") > least)
+
+
+def extraction_factor(df: DataFrame, signal: str, control: str) -> DataFrame:
+    """(cut, factor): the scale of a control by signal extraction. Bins are put in order of the signal; where the running share of
+    the control lies furthest above that of the signal, bins are background, and the factor is their signal over their control. Bins of equal signal
+    are taken together, so what is put in order is a row for each count that occurs."""
+    per = df.groupBy(F.col(signal).alias("cut")).agg(F.sum(signal).alias("_x"), F.sum(control).alias("_y"))
+    upto = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = per.agg(F.sum("_x").alias("_tx"), F.sum("_y").alias("_ty"))
+    rows = per.select("cut", F.sum("_x").over(upto).alias("_x"), F.sum("_y").over(upto).alias("_y")).crossJoin(total)  # one row
+    gap = F.col("_y") / F.nullif(F.col("_ty"), F.lit(0)) - F.col("_x") / F.nullif(F.col("_tx"), F.lit(0))
+    best = rows.agg(F.max_by(F.struct("cut", "_x", "_y"), F.struct(gap, -F.col("cut"))).alias("m"))
+    return best.select("m.cut", (F.col("m._x") / F.nullif(F.col("m._y"), F.lit(0))).alias("factor"))

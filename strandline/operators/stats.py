@@ -39,21 +39,49 @@ def intersect_count(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def size_stats(df: DataFrame) -> DataFrame:
     n = _len()
-    return df.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.stddev_pop(n), 6).alias("sd"))
-
-
-def benjamini_hochberg(df: DataFrame, p: str, block: int = 1000) -> DataFrame:
-    """df with q, the corrected p; equal p have one rank, the greatest. Counts over a fixed number of p ranges carry ranks and
-    minima across ranges, so no task sees more than a range of the distinct values."""
-    each = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("c")).withColumn("_b", F.floor(F.col("_p") * block))
-    ranges = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = each.groupBy("_b").agg(F.sum("c").alias("s")).select("_b", F.coalesce(F.sum("s").over(ranges), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("_b").orderBy("_p")
-    ranked = each.join(base, "_b").withColumn("raw", F.col("_p") * F.col("total") / (F.col("base") + F.sum("c").over(inside)))
-    after = ranked.groupBy("_b").agg(F.min("raw").alias("low")).select("_b", F.min("low").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    return df.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.stddev_pop(n), 6).alias("sd"), F.median(n).alias("median"))
+
+
+def corrected(df: DataFrame, p: str, alpha: float = 0.05, dependent: bool = False) -> DataFrame:
+    """df with q, the corrected p, and rejected (q at most alpha): Benjamini-Hochberg, or Benjamini-Yekutieli where the tests may depend
+    on each other. Equal p have one rank, the greatest; a null p has neither and is not counted.
+
+    Distinct p are sorted in ranges: thousandths, and beyond the outermost ones sixty-fourths of a power of two of the distance from 0
+    or 1, where p crowd. Counts over ranges carry ranks, minima over later ranges carry q; what all ranges share is a row for each."""
+    each = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    v, fine = F.col("_p"), lambda x: F.floor(-64 * F.log2(F.greatest(x, F.lit(1e-320))))
+    each = each.withColumn("_b", F.when(v < 0.001, -1 - fine(v)).when(v > 0.999, 1000 + fine(1 - v)).otherwise(F.floor(v * 1000)))
+    per_range = each.groupBy("_b").agg(F.sum("_c").alias("s"))
+    earlier, later = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = per_range.select("_b", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    raw = F.col("_p") * F.col("total") / (F.col("base") + F.sum("_c").over(Window.partitionBy("_b").orderBy("_p")))
+    # The harmonic number of the tests: summed as it stands up to 1,000, then by its expansion, exact to 1e-13.
+    terms = F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(1000)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1.0 / k)
+    t = F.col("total").cast("double")
+    tail = lambda x: F.log(x) + 1 / (2 * x) - 1 / (12 * x * x)
+    harmonic = F.when(F.col("total") <= 1000, terms).otherwise(terms + tail(t) - tail(F.lit(1000.0)))
+    ranked = each.join(base, "_b").withColumn("raw", raw * harmonic if dependent else raw)
+    after = ranked.groupBy("_b").agg(F.min("raw").alias("low")).select("_b", F.min("low").over(later).alias("later"))
     own = F.min("raw").over(Window.partitionBy("_b").orderBy(F.desc("_p")))
     q = ranked.join(after, "_b").select("_p", F.least(F.lit(1.0), own, F.coalesce("later", F.lit(1.0))).alias("q"))
-    return df.join(q, F.col(p) == F.col("_p")).drop("_p")
+    # The second key makes AQE able to split a p that many rows share.
+    q = q.withColumn("_s", F.xxhash64("_p"))
+    out = df.withColumn("_t", F.xxhash64(p)).join(q, (F.col(p) == F.col("_p")) & (F.col("_t") == F.col("_s")), "left")
+    return out.withColumn("rejected", F.col("q") <= alpha).drop("_p", "_s", "_t")
+
+
+def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
+    """df with q, see corrected."""
+    return corrected(df, p).drop("rejected")
+
+
+def intersect_bp(a: DataFrame, b: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Positions of a alone, of b alone and in common, both merged. threshold: a percentage by which rows of a shrink first, half on either side."""
+    if threshold:
+        part = ((F.col("final") - F.col("initial")) * threshold / 200).cast("bigint")
+        a = a.withColumns({"initial": F.col("initial") + part, "final": F.col("final") - part}).filter("initial < final")
+    x, y, z = covered(merge(a), "_x"), covered(merge(b), "_y"), covered(intersect(a, b), "both_bp")
+    return x.crossJoin(y).crossJoin(z).select((F.col("_x") - F.col("both_bp")).alias("a_only_bp"), (F.col("_y") - F.col("both_bp")).alias("b_only_bp"), "both_bp")  # three one-row sums
 
 
 def depth(df: DataFrame) -> DataFrame:

@@ -111,3 +111,62 @@ def fold_changes(df: DataFrame, x: str, y: str, scale_x: Column, scale_y: Column
     l2 = lambda c: F.log2(F.when(c > 0, c))
     both = {"": (F.col(x), F.col(y)), "_norm": (F.col(x) * scale_x, F.col(y) * scale_y)}
     return df.withColumns({f"{k}{s}": v for s, (a, b) in both.items() for k, v in (("m", l2(a) - l2(b)), ("a", (l2(a) + l2(b)) / 2))})
+
+
+def by_names(df: DataFrame, wanted: DataFrame, outside: bool = False, score: str | None = None) -> DataFrame:
+    """Rows whose name, in any case of letters, is wanted, or isn't (outside; a row without name is). score: a column of wanted (one row for each name) that
+    takes the place of the rows' own."""
+    names = wanted.groupBy(F.upper("name").alias("_w")).agg(*([F.max(score).alias("_score")] if score else [F.count(F.lit(1)).alias("_score")]))
+    if outside:
+        return df.join(names, F.upper("name") == F.col("_w"), "left_anti")
+    met = df.join(names, F.upper("name") == F.col("_w"))
+    return (met.withColumn(score, F.col("_score")) if score else met).drop("_w", "_score")
+
+
+def gene_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Genes of a that b doesn't have; what a repeats stays repeated."""
+    return a.join(b.select(F.col("gene").alias("_g")).distinct(), F.col("gene") == F.col("_g"), "left_anti")
+
+
+def scores(df: DataFrame) -> DataFrame:
+    """(chrom, initial, final, score): the data column as a number for each place, null where it is none; the greatest where a place repeats."""
+    return df.groupBy("chrom", "initial", "final").agg(F.max(F.expr("try_cast(data AS double)")).alias("score"))
+
+
+def is_stranded(df: DataFrame) -> DataFrame:
+    """(stranded): whether the first row in order of place has a strand; false without rows."""
+    first = df.agg(F.min_by("orientation", F.struct("chrom", "initial", "final", "_ord")).alias("o"))
+    return first.select(F.coalesce(F.col("o").isin("+", "-"), F.lit(False)).alias("stranded"))
+
+
+def standard_contigs(df: DataFrame, autosomes: int = 22) -> DataFrame:
+    """Rows on chr1 to the last autosome, chrX and chrY."""
+    return df.filter(F.col("chrom").isin([f"chr{i}" for i in (*range(1, autosomes + 1), "X", "Y")]))
+
+
+def prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    """Contig names with a prefix, where they don't have it."""
+    return df.withColumn("chrom", F.when(F.col("chrom").startswith(prefix), F.col("chrom")).otherwise(F.concat(F.lit(prefix), "chrom")))
+
+
+def tail_counts(genes: DataFrame, reads: DataFrame, inside: int, beyond: int) -> DataFrame:
+    """(_ord, n, tails): reads of a gene's strand around its end along the strand, inside before it and beyond after it, and those with a tail (a flag of
+    reads). Genes without reads are left out."""
+    plus = F.col("orientation") == "+"
+    window = genes.withColumns({"initial": F.when(plus, F.col("final") - inside).otherwise(F.col("initial") - beyond), "final": F.when(plus, F.col("final") + beyond).otherwise(F.col("initial") + inside)})
+    met = overlap_join(window.select("_ord", "chrom", "initial", "final", "orientation"), reads.select("chrom", "initial", "final", "orientation", "tail"), on=F.col("orientation") == F.col("b_orientation"))
+    return met.groupBy("_ord").agg(F.count(F.lit(1)).alias("n"), F.count_if("b_tail").alias("tails"))
+
+
+def trim_points(points: DataFrame, sizes: DataFrame, span: int) -> DataFrame:
+    """Points (chrom, at) whose span of positions ends inside their chromosome; unknown chromosomes go."""
+    return points.join(sizes.select("chrom", "length"), "chrom").filter(F.col("at") + span <= F.col("length")).drop("length")
+
+
+def combined_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """(chrom, initial, final, sets): the distinct places of all sets, and the sorted names of the sets that have them."""
+    parts = [df.select("chrom", "initial", "final", F.lit(n).alias("_set")) for n, df in sets.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("chrom", "initial", "final").agg(F.array_sort(F.collect_set("_set")).alias("sets"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seq
-from ..operators import islands, joins, project, stats
+from ..operators import association, islands, joins, project, relations, stats
 from . import views as V
 
 QUERIES: dict = {}
@@ -94,7 +94,7 @@ NEAR = """SELECT a._ord, a.chrom, a.initial, a.final, b.initial AS b_initial, b.
 
 @query(NEAR)
 def closest(s, d):
-    return joins.nearest(V.reg_b(s, d).select("_ord", *COLS), V.genes(s, d), 10000)
+    return association.nearest(V.reg_b(s, d).select("_ord", *COLS), V.genes(s, d), 10000).drop("place")
 
 
 DIFF = f"""SELECT chrom, i AS initial, f AS final FROM (
@@ -238,7 +238,7 @@ def coverage_per_region(s, d):
     return stats.counts_per_region(V.reg_a(s, d), V.reg_b(s, d)).select("_ord", F.round(F.col("full_bp") / (F.col("final") - F.col("initial")), 6).alias("ratio"))
 
 
-@query("SELECT chrom, count(*) AS n, round(avg(final - initial), 6) AS mean, min(final - initial) AS low, max(final - initial) AS high, round(stddev_pop(final - initial), 6) AS sd FROM reg_a GROUP BY chrom")
+@query("SELECT chrom, count(*) AS n, round(avg(final - initial), 6) AS mean, min(final - initial) AS low, max(final - initial) AS high, round(stddev_pop(final - initial), 6) AS sd, median(final - initial) AS median FROM reg_a GROUP BY chrom")
 def size_statistics(s, d):
     return stats.size_stats(V.reg_a(s, d))
 
@@ -277,9 +277,13 @@ def sliding_coverage(s, d):
     """Reads, extended by 200, in sliding bins (step 50, width 100) of each gene; bins without reads are left out."""
     wide = project.extend(V.genes(s, d).withColumns({"o_i": F.col("initial"), "o_f": F.col("final")}), 200, 200)
     hits = joins.overlap_join(wide, V.reads(s, d).select(*COLS))
-    bins = F.sequence(F.lit(0), F.floor((F.col("o_f") - F.col("o_i")) / 50) - 1)
-    low, high = F.greatest(F.col("o_i") + F.col("k") * 50 - 50, F.lit(0)), F.col("o_i") + F.col("k") * 50 + 50
-    return hits.withColumn("k", F.explode(bins)).filter((F.col("b_initial") < high) & (F.col("b_initial") + 236 >= low)).groupBy("_ord", "k").agg(F.count(F.lit(1)).alias("n"))
+    # Bin k covers [max(o_i + 50 k - 50, 0), o_i + 50 k + 50): the first and last bin that a read of 236 positions meets. A bin that starts at 0
+    # meets every read.
+    first = F.floor((F.col("b_initial") - F.col("o_i") - 50) / 50) + 1
+    last = F.greatest(F.floor((F.col("b_initial") + 236 - F.col("o_i") + 50) / 50), F.floor((50 - F.col("o_i")) / 50))
+    k = F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.floor((F.col("o_f") - F.col("o_i")) / 50) - 1))
+    some = F.greatest(first, F.lit(0)) <= F.least(last, F.floor((F.col("o_f") - F.col("o_i")) / 50) - 1)
+    return hits.filter(some).withColumn("k", F.explode(k)).groupBy("_ord", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT chrom, initial, final, depth FROM (SELECT chrom, pos AS initial, lead(pos) OVER w AS final, (sum(d) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING))::BIGINT AS depth FROM (
@@ -357,6 +361,6 @@ def rank_names(s, d):
 def state_runs(s, d):
     """Run-length coding of a state path: consecutive events of one kind for each user."""
     e = V._read(s, d, "events").select("user_id", "event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("ts_s"))
-    w = Window.partitionBy("user_id").orderBy("ts_s", "event_id")
-    runs = e.withColumn("nw", F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)).withColumn("g", F.sum("nw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("user_id", "g").agg(F.min("ts_s").alias("initial"), F.max("ts_s").alias("final"), F.first("event_type").alias("state"), F.count(F.lit(1)).alias("n")).drop("g")
+    rows = e.select(F.col("user_id").alias("chrom"), F.col("ts_s").alias("initial"), F.col("ts_s").alias("final"), F.col("event_id").alias("_ord"), F.col("event_type").alias("state"))
+    runs = relations.with_runs(rows, "state").groupBy("chrom", "_run").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.first("state").alias("state"), F.count(F.lit(1)).alias("n"))
+    return runs.select(F.col("chrom").alias("user_id"), "initial", "final", "state", "n")

@@ -44,17 +44,25 @@ def three_states():
     return hmm.Model(np.array([0.8, 0.1, 0.1]), np.array([[0.9, 0.05, 0.05], [0.1, 0.85, 0.05], [0.1, 0.05, 0.85]]), (((1.0, 1.0), 0.2), ((3.0, 1.0), 0.2), ((1.0, 3.0), 0.2)), hmm.negative_binomial)
 
 
+def planted(s, d):
+    """two_samples over every bin of every chromosome, with enriched stretches of several widths: 12 more in x at some, in y at others."""
+    every = V.sizes(s, d).select("chrom", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / 1000) - 1)).alias("bin"))
+    two = every.join(two_samples(s, d), ["chrom", "bin"], "left").fillna(0, ["x", "y"])
+    more = lambda period, at, widths: F.when((F.col("bin") % period).between(at, at + F.floor(F.col("bin") / period) % widths), 12).otherwise(0)
+    return two.withColumns({"x": F.col("x") + more(47, 3, 5), "y": F.col("y") + more(61, 10, 4)})
+
+
 @query()
 def differential_states(s, d):
     """Two rounds of fitting over all bins, then the likeliest path."""
-    two = two_samples(s, d)
+    two = planted(s, d)
     model, _ = hmm.fit(two, "chrom", "bin", ["x", "y"], three_states(), 2, (np.array([0, 2, 1]), np.array([1, 0])))
     return hmm.decode(two, "chrom", "bin", ["x", "y"], model)
 
 
 @query()
 def differential_peaks(s, d):
-    two = two_samples(s, d)
+    two = planted(s, d)
     states = hmm.decode(two, "chrom", "bin", ["x", "y"], three_states()).join(two, ["chrom", "bin"])
     return peaks.merge_peaks(peaks.peaks(states, 1000, 0.2), 2000).withColumn("p", F.round("p", 6))
 

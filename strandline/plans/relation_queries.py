@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, project, relations as R
+from ..operators import association, joins, project, relations as R
 from . import views as V
 from .catalog import COLS, OV, isl, query
 
-HITS = "tpx AS (SELECT *, (_ord * 37) % 2000 AS rna_i, (_ord * 37) % 2000 + 3 + score % 4 AS rna_f FROM reads WHERE score > 40 AND (_ord * 37) % 2000 % 9 < 2)"
+HITS = "tpx AS (SELECT *, (_ord * 7919) % 1000003 AS rna_i, (_ord * 7919) % 1000003 + 3 + score % 4 AS rna_f FROM reads)"
 
 
 def hits(s, d):
     """Triplex hits: reads as DNA places, with a place on the RNA."""
-    at = (F.col("_ord") * 37) % 2000
-    return V.reads(s, d).filter((F.col("score") > 40) & (at % 9 < 2)).withColumns({"rna_i": at, "rna_f": at + 3 + F.col("score") % 4})
+    at = (F.col("_ord") * 7919) % 1000003
+    return V.reads(s, d).withColumns({"rna_i": at, "rna_f": at + 3 + F.col("score") % 4})
 
 
 @query("SELECT a._ord, coalesce(nullif(n.new, ''), a.name) AS name FROM reg_a a LEFT JOIN (SELECT 'p' || n_nationkey AS old, n_name AS new FROM nation) n ON a.name = n.old")
@@ -52,7 +52,7 @@ def pair_positions(s, d):
     CASE WHEN b.final <= a.initial THEN b.final - a.initial WHEN b.initial >= a.final THEN b.initial - a.final ELSE 0 END AS distance
   FROM genes a JOIN reg_b b ON a.chrom = b.chrom AND greatest(a.initial - 5000, 0) < b.final AND b.initial < a.final + 5000) WHERE abs(distance) < 5000) WHERE side = 0 OR r = 1""")
 def signed_distances(s, d):
-    return R.distances(V.genes(s, d), V.reg_b(s, d), 5000)
+    return association.distances(V.genes(s, d), V.reg_b(s, d), 5000)
 
 
 REST = f"""cut AS (SELECT a._ord, a.chrom, a.initial AS ai, a.final AS af, greatest(a.initial, b.initial) AS x, least(a.final, b.final) AS y FROM genes a JOIN {isl('reg_a')} b ON {OV}),
@@ -163,13 +163,15 @@ def transcripts_from_exons(s, d):
     return e.groupBy("transcript").agg(F.min("initial").alias("initial"), F.max("final").alias("final")).join(li, "transcript")
 
 
-@query(f", {HITS}, r AS (SELECT 'rna' AS chrom, rna_i AS initial, rna_f AS final, * EXCLUDE (chrom, initial, final), chrom || ':' || initial || '-' || final AS dna FROM tpx), m AS (SELECT initial, final FROM {isl('r')})"
-       " SELECT m.initial AS rna_i, m.final AS rna_f, count(*) AS n, count(DISTINCT dna) AS n_places FROM m JOIN r ON r.initial >= m.initial AND r.final <= m.final GROUP BY ALL")
+RNA = isl("r").replace("count(*) AS n", "count(*) AS n, count(DISTINCT dna) AS n_places")
+
+
+@query(f", {HITS}, r AS (SELECT 'rna' AS chrom, rna_i AS initial, rna_f AS final, _ord, chrom || ':' || initial || '-' || final AS dna FROM tpx) SELECT initial AS rna_i, final AS rna_f, n, n_places FROM {RNA}")
 def triplex_domains(s, d):
     return R.merge_rna_sites(hits(s, d))
 
 
-@query(f", {HITS} SELECT p AS position, count(*) AS n FROM tpx, range(0, 2010) t(p) WHERE p >= rna_i AND p < rna_f GROUP BY p")
+@query(f", {HITS} SELECT position, count(*) AS n FROM (SELECT unnest(range(rna_i, rna_f)) AS position FROM tpx) GROUP BY position")
 def triplex_rna_track(s, d):
     return hits(s, d).select(F.explode(F.sequence(F.col("rna_i"), F.col("rna_f") - 1)).alias("position")).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
 
@@ -189,7 +191,7 @@ def upstream_windows(s, d):
 
 
 @query("""SELECT DISTINCT pair FROM (SELECT pair, chrom, min(initial) AS i, max(final) AS f FROM (SELECT *, _ord // 20 AS pair FROM reads) GROUP BY pair, chrom HAVING count(*) = 2 AND count(DISTINCT orientation) = 2) p
-JOIN (SELECT chrom, greatest(initial - 200000, 0) AS initial, final + 200000 AS final FROM genes WHERE score = 7) r USING (chrom) WHERE i > r.initial AND f < r.final""")
+JOIN (SELECT chrom, greatest(initial - 20000, 0) AS initial, final + 20000 AS final FROM genes) r USING (chrom) WHERE i > r.initial AND f < r.final""")
 def proper_pairs_inside(s, d):
     reads = V.reads(s, d).withColumn("pair", F.floor(F.col("_ord") / 20))
-    return R.pairs_inside(reads, project.extend(V.genes(s, d).filter("score = 7"), 200000, 200000), "pair")
+    return R.pairs_inside(reads, project.extend(V.genes(s, d), 20000, 20000), "pair")

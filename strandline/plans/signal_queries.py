@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import motif
 from ..functions import sequence as seq
+from ..operators import placement
 from ..operators import signal as S
 from ..operators import significance as T
 from ..operators import stats
@@ -146,9 +147,9 @@ def base_statistics(s, d):
     return V.dna(s, d).select("doc_id", F.length("seq").cast("bigint").alias("total"), *map(count, (*BASES, "CG", "GC", "AA")))
 
 
-@query("SELECT position, base, count(*) AS n FROM (SELECT p AS position, substr(seq, p::INT, 1) AS base FROM dna, range(1, 21) t(p)) WHERE base <> '' GROUP BY ALL")
+@query("SELECT position, base, count(*) AS n FROM (SELECT unnest(range(1, length(seq) + 1)) AS position, unnest(string_split(seq, '')) AS base FROM dna WHERE seq <> '') GROUP BY ALL")
 def position_frequencies(s, d):
-    at = F.posexplode(F.split(F.substring("seq", 1, 20), "")).alias("i", "base")
+    at = F.posexplode(F.split("seq", "")).alias("i", "base")
     return V.dna(s, d).select(at).filter("base <> ''").groupBy((F.col("i") + 1).cast("bigint").alias("position"), "base").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -177,7 +178,22 @@ def motif_scan(s, d):
     return motif.scan(V.dna(s, d), "doc_id", matrices(), CUT).withColumn("score", F.round("score", 6))
 
 
-@query()
+SCAN = ("SELECT doc_id, motif, strand, start, score FROM (SELECT doc_id, unnest(range(0, length(seq) - 5)) AS start, unnest([substr(seq, i, 6) for i in range(1, length(seq) - 4)]) AS kmer FROM dna WHERE length(seq) >= 6) JOIN ("
+        + " UNION ALL ".join(f"SELECT kmer, '{n}' AS motif, '{o}' AS strand, {_score_sql(m)} AS score FROM (SELECT a || b || c || d || e || f AS kmer FROM {', '.join(f'(SELECT unnest([{chr(39)}A{chr(39)}, {chr(39)}C{chr(39)}, {chr(39)}G{chr(39)}, {chr(39)}T{chr(39)}]) AS {x})' for x in 'abcdef')})" for n, w in matrices().items() for o, m in (("+", w), ("-", w[::-1, ::-1])))
+        + f") USING (kmer) WHERE score >= {CUT}")
+
+
+def fisher_sql(a: str, b: str, c: str, d: str) -> str:
+    """Right tail of Fisher's exact test by logarithms of factorials, as SQL."""
+    lf = lambda x: f"lgamma({x} + 1.0)"
+    fixed = f"({lf(f'({a}+{b})')} + {lf(f'({c}+{d})')} + {lf(f'({a}+{c})')} + {lf(f'({b}+{d})')} - {lf(f'({a}+{b}+{c}+{d})')})"
+    term = f"exp({fixed} - {lf('k')} - {lf(f'({a}+{b}-k)')} - {lf(f'({a}+{c}-k)')} - {lf(f'({d}-{a}+k)')})"
+    return f"least(1.0, list_sum([{term} for k in range({a}, least({a}+{b}, {a}+{c}) + 1)]))"
+
+
+@query(f""", l AS (SELECT doc_id, coalesce(lang, 'none') AS lang FROM documents), hit AS (SELECT DISTINCT doc_id, motif FROM ({SCAN})), t AS (SELECT lang, motif, count(*) AS docs, count(hit.doc_id) AS a FROM (SELECT l.*, unnest({list(COUNTS)}) AS motif FROM l) LEFT JOIN hit USING (doc_id, motif) GROUP BY ALL),
+u AS (SELECT motif, lang, a, docs - a AS b, (sum(a) OVER w - a)::BIGINT AS c, (sum(docs) OVER w - docs - sum(a) OVER w + a)::BIGINT AS d FROM t WINDOW w AS (PARTITION BY motif)), p AS (SELECT *, {fisher_sql('a', 'b', 'c', 'd')} AS p FROM u),
+r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY round(p, 9)) AS raw FROM p) SELECT motif, lang, a, b, c, d, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY round(p, 9) DESC)), 6) AS q FROM r""")
 def motif_enrichment(s, d):
     """For each motif and language: documents with a site against those of all other languages, right-tail Fisher, corrected."""
     docs = V._read(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
@@ -187,12 +203,31 @@ def motif_enrichment(s, d):
     per = total.select("*", names).join(found.join(docs, "doc_id").groupBy("motif", "lang").agg(F.count(F.lit(1)).alias("a")), ["motif", "lang"], "left").fillna(0, ["a"])
     every = Window.partitionBy("motif")  # one row for each language
     table = per.select("motif", "lang", "a", (F.col("docs") - F.col("a")).alias("b"), (F.sum("a").over(every) - F.col("a")).alias("c"), (F.sum("docs").over(every) - F.col("docs")).alias("others")).withColumn("d", F.col("others") - F.col("c")).drop("others")
-    return stats.benjamini_hochberg(table.withColumn("p", T.fisher("a", "b", "c", "d")), "p")
+    tested = stats.benjamini_hochberg(table.withColumn("p", F.round(T.fisher("a", "b", "c", "d"), 9)), "p")
+    return tested.withColumns({"p": F.round("p", 6), "q": F.round("q", 6)})
 
 
-@query()
+@query(f"SELECT doc_id, motif, strand, start, round(normalised, 4) AS normalised FROM (SELECT *, " + "CASE motif " + " ".join(f"WHEN '{n}' THEN (score - {motif.bounds(w)[0]!r}) / {motif.bounds(w)[1] - motif.bounds(w)[0]!r} * 1000" for n, w in matrices().items()) + f" END AS normalised FROM ({SCAN}))")
+def normalised_motif_scores(s, d):
+    hits = motif.scan(V.dna(s, d), "doc_id", matrices(), CUT)
+    return motif.with_normalised(hits, matrices()).select("doc_id", "motif", "strand", "start", F.round("normalised", 4).alias("normalised"))
+
+
+@query(f"SELECT doc_id, motif, start, round(max(score), 6) AS score, CASE WHEN count(*) = 1 THEN any_value(strand) ELSE arg_max(strand, (score, CASE WHEN strand = '+' THEN 1 ELSE 0 END)) END AS strand FROM ({SCAN}) GROUP BY doc_id, motif, start")
+def best_strand_hits(s, d):
+    hits = motif.scan(V.dna(s, d), "doc_id", matrices(), CUT)
+    return motif.best_strand(hits, "doc_id").withColumn("score", F.round("score", 6))
+
+
+COUNTED = f"""(SELECT (SELECT count(*) FROM (SELECT chrom, (initial + final) // 2 AS m FROM reg_b) q WHERE EXISTS (SELECT 1 FROM {isl('reg_a')} r WHERE r.chrom = q.chrom AND q.m > r.initial AND q.m < r.final)) AS k,
+(SELECT count(*) FROM reg_b) AS n, (SELECT sum(final - initial) FROM {isl('reg_a')}) / (22 * 1200000) AS p)"""
+PMF = "exp(lgamma(n + 1.0) - lgamma({x} + 1.0) - lgamma(n - {x} + 1.0) + {x} * ln(p) + (n - {x}) * ln(1 - p))"
+
+
+@query(f"SELECT k, n, round(p, 9) AS p, round(least(1.0, list_sum(list_filter([{PMF.format(x='x')} for x in range(0, n + 1)], lambda v: v <= top))), 5) AS p_value FROM (SELECT *, {PMF.format(x='k')} * (1 + 1e-7) AS top FROM {COUNTED})")
 def projection_test(s, d):
-    return T.projection_test(V.reg_a(s, d), V.reg_b(s, d), 22 * 1200000)
+    out = T.projection_test(V.reg_a(s, d), V.reg_b(s, d), 22 * 1200000)
+    return out.withColumns({"p": F.round("p", 9), "p_value": F.round("p_value", 5)})
 
 
 @query(f"""SELECT (SELECT count(*) FROM (SELECT chrom, (initial + final) // 2 AS m FROM reg_b) q WHERE EXISTS (SELECT 1 FROM {isl('reg_a')} r WHERE r.chrom = q.chrom AND q.m > r.initial AND q.m < r.final)) AS k,
@@ -217,3 +252,34 @@ def consecutive_bins(s, d):
 FROM genes a JOIN reg_b b ON {OV} GROUP BY a._ord) USING (_ord)""")
 def mean_signal(s, d):
     return S.mean_signal(V.genes(s, d), V.reg_b(s, d).withColumn("value", F.col("score"))).select("_ord", F.round("mean", 6).alias("mean"))
+
+
+@query(f", {BINS}, s AS (SELECT 'x' AS sample, * FROM x UNION ALL SELECT 'y', * FROM y) SELECT chrom, bin, round(sum(value / m), 6) AS score FROM s JOIN (SELECT sample, avg(value) AS m FROM s GROUP BY sample) USING (sample) GROUP BY chrom, bin HAVING sum(value / m) > 2.5")
+def putative_bins(s, d):
+    rows = bins(V.reg_a(s, d)).withColumn("sample", F.lit("x")).unionByName(bins(V.reg_b(s, d)).withColumn("sample", F.lit("y")))
+    return S.putative_bins(rows, ("chrom", "bin"), "sample", "value", 2.5).withColumn("score", F.round("score", 6))
+
+
+@query(f""", {BINS}, two AS (SELECT coalesce(x.value, 0) AS a, coalesce(y.value, 0) AS b FROM x FULL JOIN y USING (chrom, bin)), per AS (SELECT a AS cut, sum(a) AS x, sum(b) AS y FROM two GROUP BY a),
+c AS (SELECT cut, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(x) OVER () AS tx, sum(y) OVER () AS ty FROM per WINDOW w AS (ORDER BY cut)) SELECT cut, round(x / y, 6) AS factor FROM c ORDER BY y / ty - x / tx DESC, cut LIMIT 1""")
+def control_factor(s, d):
+    two = bins(V.reg_a(s, d)).withColumnRenamed("value", "a").join(bins(V.reg_b(s, d)).withColumnRenamed("value", "b"), ["chrom", "bin"], "full").fillna(0, ["a", "b"])
+    return S.extraction_factor(two, "a", "b").withColumn("factor", F.round("factor", 6))
+
+
+PLACES = f""", gaps AS (SELECT chrom, initial, final, sum(final - initial) OVER (ORDER BY chrom, initial) - (final - initial) AS off, sum(final - initial) OVER () AS total FROM (SELECT chrom, i AS initial, f AS final FROM (
+  SELECT chrom, 0 AS i, min(initial) AS f FROM {isl('genes')} GROUP BY chrom UNION ALL SELECT chrom, final, coalesce(lead(initial) OVER (PARTITION BY chrom ORDER BY initial), 1200000) FROM {isl('genes')}
+  UNION ALL SELECT chrom, 0, 1200000 FROM chroms WHERE chrom NOT IN (SELECT chrom FROM genes)) WHERE i < f)),
+drawn AS (SELECT rep, _ord, k, final - initial AS size, ('0x' || substr(md5(rep || ':' || _ord || ':' || k || ':1'), 1, 12))::BIGINT % (SELECT any_value(total) FROM gaps)::BIGINT AS at_ FROM reg_b, range(1, 3) r(rep), range(1, 21) t(k)),
+fits AS (SELECT rep, _ord, k, size, chrom, (initial + at_ - off)::BIGINT AS initial FROM drawn ASOF JOIN gaps ON at_ >= off WHERE initial + at_ - off + size <= final)"""
+
+
+@query(f"{PLACES} SELECT rep, _ord, arg_min(chrom, k) AS chrom, arg_min(initial, k) AS initial, arg_min(initial + size, k) AS final FROM (SELECT rep, a._ord, k, chrom, f.initial, size FROM (SELECT rep, _ord FROM reg_b, range(1, 3) r(rep)) a LEFT JOIN fits f USING (rep, _ord)) GROUP BY rep, _ord")
+def random_places(s, d):
+    return placement.place(V.reg_b(s, d), V.sizes(s, d), V.genes(s, d), 2)
+
+
+@query("SELECT orientation, count(*) AS n, count(DISTINCT name) AS names, round(avg(final - initial), 6) AS mean_length FROM reg_a GROUP BY orientation")
+def read_totals(s, d):
+    size = F.col("final") - F.col("initial")
+    return V.reg_a(s, d).groupBy("orientation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"), F.round(F.avg(size), 6).alias("mean_length"))

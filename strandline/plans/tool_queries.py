@@ -37,12 +37,12 @@ def contingency_tables(s, d):
     return tools.contingency(V.genes(s, d), V.reg_a(s, d), "name")
 
 
-@query("""SELECT name, gene_id FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT lower(c_name) FROM customer WHERE c_custkey % 7 = 0) n LEFT JOIN (
-  SELECT DISTINCT upper(c_name) AS a, c_custkey AS gene_id FROM customer UNION SELECT upper(s_name), s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) x ON upper(name) = a""")
+@query("""SELECT name, gene_id FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT lower(c_name) FROM customer) n LEFT JOIN (
+  SELECT DISTINCT upper(c_name) AS a, c_custkey AS gene_id FROM customer UNION SELECT upper(s_name), s_suppkey FROM supplier) x ON upper(name) = a""")
 def alias_lookup(s, d):
     customers, suppliers = V._read(s, d, "customer"), V._read(s, d, "supplier")
-    names = suppliers.select(F.col("s_name").alias("name")).unionByName(customers.filter("c_custkey % 7 = 0").select(F.lower("c_name").alias("name")))
-    aliases = customers.select(F.col("c_name").alias("alias"), F.col("c_custkey").alias("gene_id")).unionByName(suppliers.filter("s_suppkey % 2 = 0").select(F.col("s_name").alias("alias"), F.col("s_suppkey").alias("gene_id")))
+    names = suppliers.select(F.col("s_name").alias("name")).unionByName(customers.select(F.lower("c_name").alias("name")))
+    aliases = customers.select(F.col("c_name").alias("alias"), F.col("c_custkey").alias("gene_id")).unionByName(suppliers.select(F.col("s_name").alias("alias"), F.col("s_suppkey").alias("gene_id")))
     return tools.resolved(names, aliases)
 
 

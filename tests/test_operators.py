@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from conftest import SF
 from strandline.functions import motif
-from strandline.operators import islands, relations, significance
-from strandline.plans import registry
+from strandline.operators import association, islands, peaks, relations, significance
+from strandline.plans import model_queries, registry
 from strandline.sources import text
 from strandline.streaming import coverage
 from test_intervals import df
@@ -38,7 +39,7 @@ def test_adjacent_runs_break_on_change(spark):
 def test_empty_inputs(spark):
     a, e = df(spark, [(0, 10)]).withColumns({"orientation": islands.F.lit("+"), "name": islands.F.lit("g")}), None
     e = a.filter("false")
-    assert relations.remnants(a, e).count() == 1 and relations.distances(a, e, 100).count() == 0 and relations.overlap_flag(a, e).first().hit == "N"
+    assert relations.remnants(a, e).count() == 1 and association.distances(a, e, 100).count() == 0 and relations.overlap_flag(a, e).first().hit == "N"
     assert relations.tss(e).count() == 0 and relations.merge_adjacent(e, "name").count() == 0
     row = significance.projection_test(a, e, 100).first()
     assert (row.k, row.n, row.p_value) == (0, 0, 1.0)
@@ -69,9 +70,57 @@ def test_motif_scan_both_strands(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_queries_without_sql(spark, name):
+def test_queries_without_sql_give_probabilities(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
-    assert rows and all(0 <= v <= 1 for r in rows for k, v in r.asDict().items() if k in ("p", "q", "p_value"))
+    assert all(0 <= v <= 1 for r in rows for k, v in r.asDict().items() if k in ("q", "p_value"))
+
+
+def test_differential_peaks_equal_plain_python(spark):
+    """The likeliest path of each chromosome, position by position; runs of a state, tested, cut, joined."""
+    model, bins = model_queries.three_states(), {}
+    for r in model_queries.planted(spark, SF).collect():
+        bins.setdefault(r.chrom, []).append((r.bin, r.x, r.y))
+    tests, paths = [], {}
+    for chrom, rows in bins.items():
+        rows.sort()
+        like = model.emit(np.array([x[1:] for x in rows], dtype=float), model.params)
+        score, back = np.log(model.start) + like[0], []
+        for step in like[1:]:
+            ways = score[:, None] + np.log(model.trans)
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0) + step
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        paths[chrom] = dict(zip((x[0] for x in rows), path[::-1], strict=True))
+        for at, x, y in rows:
+            state = paths[chrom][at]
+            if state:
+                tests.append((chrom, "+" if state == 1 else "-", at, x, y, peaks.conditional_p(*((y, x) if state == 1 else (x, y)), 0.2)))
+    cut = float(np.percentile([t[5] for t in tests], 70))
+    runs = []
+    for chrom, sign, at, x, y, p in sorted(tests):
+        if p <= cut:
+            continue
+        if runs and runs[-1][:2] == [chrom, sign] and runs[-1][3] == at * 1000:
+            runs[-1][3:7] = [at * 1000 + 1000, runs[-1][4] + 1, runs[-1][5] + x, runs[-1][6] + y]
+        else:
+            runs.append([chrom, sign, at * 1000, at * 1000 + 1000, 1, x, y])
+    want = []
+    for r in runs:
+        x, y = r[5:7]
+        r.append(peaks.conditional_p(*((y, x) if r[1] == "+" else (x, y)), 0.2))
+        if want and want[-1][:2] == r[:2] and r[2] - 2000 < want[-1][3]:
+            last = want[-1]
+            last[3:] = [max(last[3], r[3]), last[4] + 1, last[5] + x, last[6] + y, max(last[7], r[7])]
+        else:
+            want.append([*r[:4], 1, *r[5:]])
+    got = model_queries.differential_peaks(spark, SF).select("chrom", "orientation", "initial", "final", "n", "x", "y", "p").collect()
+    got.sort(key=lambda r: r[:3])
+    want.sort(key=lambda r: r[:3])
+    assert [tuple(r[:7]) for r in got] == [tuple(r[:7]) for r in want]
+    assert [r[7] for r in got] == pytest.approx([r[7] for r in want], abs=2e-6)
+    assert {r.orientation for r in got} == {"+", "-"} and len({r.final - r.initial for r in got}) > 2
 
 
 def test_sources(spark, tmp_path):
