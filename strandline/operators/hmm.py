@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..lineage import written
+
 BLOCK = 4096
 
 
@@ -192,6 +194,7 @@ def fit(df: DataFrame, key: str, order: str, values: list[str], model: Model, ro
     Gaussian states get new means and covariances, count states new means (dispersions stay). mirror: an order of states and one
     of columns under which the model is symmetric, as gains and losses of two samples are; sums are averaged with their image."""
     s, d, likes = len(model.start), len(values), []
+    df = written(df.select(key, order, *values))  # each round reads it again
     cuts = np.cumsum([s, s * s, s, s * d])
     for _ in range(rounds):
         each = expectations(df, key, order, values, model, block)

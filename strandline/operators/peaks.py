@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..lineage import written
 from .islands import merge, with_islands
-from .joins import intersect, overlap_join, semi
+from .joins import overlap_join, semi
 from .stats import corrected
 
 
@@ -125,16 +126,20 @@ def resplit(a: DataFrame, b: DataFrame, repeats: int, size: int, seed: int = 1)
     rep:chrom. The split is by hash rank, so a seed gives the same one on any partitioning."""
     rows = a.select("chrom", "initial", "final", F.lit(0).alias("_set"), "_ord").unionByName(b.select("chrom", "initial", "final", F.lit(1).alias("_set"), "_ord"))
     each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_h", F.xxhash64("rep", "_set", "_ord", F.lit(seed)))
-    parts = ranked(each, ["rep"], ["_h", "_set", "_ord"], F.shiftright("_h", 52)).withColumn("chrom", F.concat_ws(":", "rep", "chrom"))
+    parts = written(ranked(each, ["rep"], ["_h", "_set", "_ord"], F.shiftright("_h", 52)).withColumn("chrom", F.concat_ws(":", "rep", "chrom")))
     pick = lambda w: parts.filter(w).select("rep", "chrom", "initial", "final")
     return pick(F.col("_rank") <= size), pick(F.col("_rank") > size)
 
 
 def three_counts(a: DataFrame, b: DataFrame, rep: Column) -> DataFrame:
-    """(rep, a_only, b_only, both) of the merged sides, rep taken from chrom."""
-    m, n = merge(a).select("chrom", "initial", "final"), merge(b).select("chrom", "initial", "final")
+    """(rep, a_only, b_only, both) of the merged sides, rep taken from chrom. Both sides are merged once and meet once: an island of a side
+    counts alone where no piece in common names it."""
+    place = ["chrom", "initial", "final"]
+    m, n = (written(merge(x).select(*place)) for x in (a, b))
+    met = written(overlap_join(m, n))
     tag = lambda df, k: df.select(rep.alias("rep"), F.lit(k).alias("k"))
-    rows = tag(semi(m, n, anti=True), 0).union(tag(semi(n, m, anti=True), 1)).union(tag(intersect(a, b), 2))
+    alone = lambda side, names: side.join(met.select(*(F.col(x).alias(c) for x, c in zip(names, place, strict=True))).distinct(), place, "left_anti")
+    rows = tag(alone(m, place), 0).union(tag(alone(n, [f"b_{c}" for c in place]), 1)).union(tag(met, 2))
     return rows.groupBy("rep").agg(*(F.count_if(F.col("k") == k).alias(c) for k, c in enumerate(("a_only", "b_only", "both"))))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..lineage import written
 from ..operators import hmm, peaks
 from . import views as V
 from .catalog import OV, isl, query
@@ -55,7 +56,7 @@ def planted(s, d):
 @query()
 def differential_states(s, d):
     """Two rounds of fitting over all bins, then the likeliest path."""
-    two = planted(s, d)
+    two = written(planted(s, d))
     model, _ = hmm.fit(two, "chrom", "bin", ["x", "y"], three_states(), 2, (np.array([0, 2, 1]), np.array([1, 0])))
     return hmm.decode(two, "chrom", "bin", ["x", "y"], model)
 
