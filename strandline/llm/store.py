@@ -4,31 +4,17 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GOLDEN = 0x9E3779B97F4A7C15
+from ..lineage import shared_dir
+
 #: Folders of this session's shelves.
 SHELVES: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="strandline-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 class Shelf:
     """Tables written for one operator call. Each is Parquet in the shared folder, so a lost executor costs no recomputation."""
 
