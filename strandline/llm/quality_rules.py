@@ -25,7 +25,7 @@ from .store import Shelf
 
 RATIOS = ("symbol_ratio", "repeat_ratio", "mean_word_chars")
 #: Quantiles that a fence is read from, its distance in multiples of theirs, and the least distance.
-BODY, TAIL, REACH, FLOOR = 0.5, 0.9, 5.0, 0.02
+BODY, TAIL, REACH, FLOOR = 0.5, 0.9, 10.0, 0.02
 #: Documents of the group above that a group's own are weighed against.
 WEIGHT = 200
 SKETCH_K = 400
