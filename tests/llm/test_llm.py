@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from conftest import SF
-from strandline.llm import best_fit_packing, exact_dedup, html_extract, line_dedup, minhash_dedup, pitman_yor, quality_rules, queries, secret_scan, sentencepiece_bpe, url_filter
+from strandline.llm import best_fit_packing, exact_dedup, html_extract, line_dedup, minhash_dedup, quality_rules, queries, secret_scan, sentencepiece_bpe, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LONG = "wort " * 30_000
@@ -20,7 +20,7 @@ def edge(spark, rows=EDGE):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-@pytest.mark.parametrize("run", [minhash_dedup.near_duplicates, exact_dedup.exact_dedup, line_dedup.line_dedup, quality_rules.quality, secret_scan.secret_scan, pitman_yor.scores, lambda d: sentencepiece_bpe.encode_summary(d, queries.model_path())])
+@pytest.mark.parametrize("run", [minhash_dedup.near_duplicates, exact_dedup.exact_dedup, line_dedup.line_dedup, quality_rules.quality, secret_scan.secret_scan, lambda d: sentencepiece_bpe.encode_summary(d, queries.model_path())])
 def test_edges(spark, run):
     assert run(edge(spark)).count() == len(EDGE)
     assert run(edge(spark).filter("false")).count() == 0
