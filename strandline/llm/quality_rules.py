@@ -1,24 +1,29 @@
 """Quality rules with thresholds that follow the corpus.
 
-Each document gets a few ratios. Mergeable quantile sketches (KLL) of every ratio are built per language and source from the
-documents that pass the base rules, merged into sketches per language and into one for all. A fence stands REACH times the distance
-from the median to the ninth decile above that decile, for every ratio alike; where both are the same value, it stands FLOOR above.
-The fence of a language is its own and that of all, weighed by its documents against WEIGHT as logarithms; the fence of a group is its own
-and that of its language, weighed in the same way. So a group of few documents follows its language, one of many itself, and nothing
-switches at a size; on logarithms, the wide fence of a language whose sources differ pulls a group's own up little. A document over its fence in any ratio, or failing a base rule, is rejected.
+Each document gets a few ratios. Mergeable quantile sketches of every ratio are built per language and source from the documents
+that pass the base rules, merged into sketches per language and into one for all. A sketch counts documents in cells of equal
+relative width; sketches merge by adding counts, and no random bits or order of rows enter, so a document's verdict is the same in
+every run and partitioning.
+
+A fence stands REACH times the distance from the median to the ninth decile above that decile, for every ratio alike; where both are
+the same value, it stands FLOOR above. The fence of a language is its own and that of all, weighed by its documents against WEIGHT as
+logarithms; the fence of a group is its own and that of its language, weighed in the same way. So a group of few documents follows
+its language, one of many itself, and nothing switches at a size; on logarithms, the wide fence of a language whose sources differ
+pulls a group's own up little. A document over its fence in any ratio, or failing a base rule, is rejected.
 
 Duplicate lines are counted but have no fence: their words stand in repeated windows, so repeat_ratio judges them already.
 
 DataFrame functions only. The sketches are aggregated in partial steps, so a hot source is a row for each task; the fences are
-one row per group, joined by AQE's choice. Null language or source is a group of its own; null text counts as empty. Columns of
-the input keep their names and values, whatever they are called.
+one row per group, joined by AQE's choice. Where no document passes the base rules there is no fence, and none is kept. Null language
+or source is a group of its own; null text counts as empty. Columns of the input keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Shelf
@@ -28,7 +33,9 @@ RATIOS = ("symbol_ratio", "repeat_ratio", "mean_word_chars")
 BODY, TAIL, REACH, FLOOR = 0.5, 0.9, 10.0, 0.02
 #: Documents of the group above that a group's own are weighed against.
 WEIGHT = 200
-SKETCH_K = 400
+#: Greatest relative error of a quantile, and the ratio of a sketch's neighbouring cells that gives it.
+ERROR = 0.0005
+BASE = (1 + ERROR) / (1 - ERROR)
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -121,26 +128,44 @@ def _ratios(m: Column) -> dict[str, Column]:
     }
 
 
-def _fence(sketch: Column) -> Column:
-    body, tail = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (BODY, TAIL))
-    return tail + F.greatest(REACH * (tail - body), F.lit(FLOOR))
+def _sketch(value: Column) -> Column:
+    """Cell of a value in the sketch: value lies in (BASE ** (cell - 1), BASE ** cell]; null for zero."""
+    return F.when(value > 0, F.ceil(F.log(value) / F.lit(math.log(BASE))))
+
+
+def _cell_value(cell: Column) -> Column:
+    """The value that stands for a cell, within ERROR of all its values."""
+    return F.when(cell.isNull(), F.lit(0.0)).otherwise(F.exp(cell * F.lit(math.log(BASE))) * (2 / (1 + BASE)))
+
+
+def _fences_of(cells: DataFrame, *group: str) -> DataFrame:
+    """(group, n, a fence for each ratio) from sketches, rows (group, ratio, cell, n). Sketches merge by adding n of equal cells.
+
+    A quantile is the first cell up to which that share of the documents lies. Zero is the lowest cell."""
+    key = [F.col(c) for c in group]
+    merged = cells.groupBy(*key, "ratio", "cell").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*key, "ratio")  # a row for each cell of a sketch, whatever the number of documents
+    ranked = merged.select("*", F.sum("n").over(w.orderBy(F.col("cell").asc_nulls_first())).alias("upto"), F.sum("n").over(w).alias("total"))
+    at = [F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), _cell_value(F.col("cell")))).alias(n) for n, q in (("body", BODY), ("tail", TAIL))]
+    fence = F.col("tail") + F.greatest(REACH * (F.col("tail") - F.col("body")), F.lit(FLOOR))
+    per = ranked.groupBy(*key, "ratio").agg(F.max("total").alias("n"), *at)
+    return per.groupBy(*key).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("ratio") == i, fence)).alias(r) for i, r in enumerate(RATIOS)))
 
 
 def fences(measured: DataFrame) -> DataFrame:
-    """(f_lang, f_source, a fence for each ratio) of the groups that have documents which pass the base rules."""
-    passed = measured.filter(~failed(F.col("m"))).select("lang", "source", *(c.cast("double").alias(n) for n, c in _ratios(F.col("m")).items()))
-    merged = [F.kll_merge_agg_double(F.col(n), F.lit(SKETCH_K)).alias(n) for n in RATIOS]
-    per = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(n), F.lit(SKETCH_K)).alias(n) for n in RATIOS))
-    lang = per.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("l_n"), *merged)
-    # One row without a key: the join with it is of a row for each language.
-    every = lang.agg(*merged).select(*(_fence(F.col(n)).alias(f"e_{n}") for n in RATIOS))
+    """(f_lang, f_source, a fence for each ratio) of the groups that have documents which pass the base rules; none where none does."""
+    values = F.array(*(F.struct(F.lit(i).alias("ratio"), _sketch(c.cast("double")).alias("cell")) for i, c in enumerate(_ratios(F.col("m")).values())))
+    rows = measured.filter(~failed(F.col("m"))).select("lang", "source", F.inline(values))
+    cells = rows.groupBy("lang", "source", "ratio", "cell").agg(F.count(F.lit(1)).alias("n"))
+    per, lang, every = _fences_of(cells, "lang", "source"), _fences_of(cells, "lang"), _fences_of(cells)
 
     def weighed(n: str, own: Column, above: Column) -> Column:
         return F.exp((F.col(n) * F.log(own) + WEIGHT * F.log(above)) / (F.col(n) + WEIGHT))
 
-    langs = lang.crossJoin(every).select("l_lang", *(weighed("l_n", _fence(F.col(n)), F.col(f"e_{n}")).alias(f"l_{n}") for n in RATIOS))
+    every = every.select(*(F.col(r).alias(f"e_{r}") for r in RATIOS))  # one row: the join with it is of a row for each language
+    langs = lang.crossJoin(every).select(F.col("lang").alias("l_lang"), *(weighed("n", F.col(r), F.col(f"e_{r}")).alias(f"l_{r}") for r in RATIOS))
     both = per.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")))
-    return both.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(weighed("n", _fence(F.col(n)), F.col(f"l_{n}")).alias(f"f_{n}") for n in RATIOS))
+    return both.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(weighed("n", F.col(r), F.col(f"l_{r}")).alias(f"f_{r}") for r in RATIOS))
 
 
 def judged(docs: DataFrame, *keep: str) -> DataFrame:

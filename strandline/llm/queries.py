@@ -91,6 +91,30 @@ c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
   d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+""",
+    "op5_quality_rules": rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, [x for x in string_split_regex(text, '[\x20\x09-\x0D]+') if x <> ''] AS ws, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
+  SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, (VALUES (0), (1), (2)) t(k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  [n_symbols / greatest(word_chars, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)] AS v FROM m JOIN (SELECT doc_id, lang, source FROM d) USING (doc_id)),
+c AS (SELECT lang, source, k, CASE WHEN v[k] > 0 THEN ceil(ln(v[k]) / ln({quality_rules.BASE!r})) END AS cell, count(*) AS n FROM r, range(1, 4) t(k) WHERE NOT base_failed GROUP BY ALL),
+g AS (SELECT 2 AS lev, lang, source, k, cell, n FROM c UNION ALL SELECT 1, lang, NULL, k, cell, sum(n) FROM c GROUP BY lang, k, cell UNION ALL SELECT 0, NULL, NULL, k, cell, sum(n) FROM c GROUP BY k, cell),
+u AS (SELECT *, CASE WHEN cell IS NULL THEN 0.0 ELSE exp(cell * ln({quality_rules.BASE!r})) * {2 / (1 + quality_rules.BASE)!r} END AS value, sum(n) OVER (s ORDER BY cell NULLS FIRST) AS upto, sum(n) OVER s AS total
+  FROM g WINDOW s AS (PARTITION BY lev, lang, source, k)),
+q AS (SELECT lev, lang, source, k, max(total) AS n, min(value) FILTER (upto >= {quality_rules.BODY} * total) AS body, min(value) FILTER (upto >= {quality_rules.TAIL} * total) AS tail FROM u GROUP BY ALL),
+f AS (SELECT lev, lang, source, k, n, ln(tail + greatest({quality_rules.REACH} * (tail - body), {quality_rules.FLOOR})) AS f FROM q),
+h AS (SELECT a.lang, a.source, a.k, (a.n * a.f + {quality_rules.WEIGHT} * (b.n * b.f + {quality_rules.WEIGHT} * e.f) / (b.n + {quality_rules.WEIGHT})) / (a.n + {quality_rules.WEIGHT}) AS f
+  FROM f a JOIN f b ON a.lev = 2 AND b.lev = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.k = b.k JOIN f e ON e.lev = 0 AND e.k = a.k),
+o AS (SELECT lang, source, list(exp(f) ORDER BY k) AS f FROM h GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(v[1] <= f[1] AND v[2] <= f[2] AND v[3] <= f[3], true) AS kept
+FROM r LEFT JOIN o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source
 """,
     "op9_exact_dedup": r"""
 WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

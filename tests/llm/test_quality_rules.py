@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from conftest import SF
 from strandline.llm import quality_rules as q
@@ -71,3 +72,21 @@ def test_a_source_moves_its_own_fence(spark):
     # As many symbols as make an outlier in source b are source a's habit now: a's plain texts stay, b's outliers still go.
     assert all(kept[1][i] for i in plain) and not any(kept[1][i] for i in others)
     assert all(kept[1][i] for i in range(1, 900, 2) if i not in odd)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_nothing_passes(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        docs = spark.createDataFrame([(1, "short", "en", "a"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+        assert [(r.doc_id, r.base_failed, r.kept) for r in q.quality(docs).orderBy("doc_id").collect()] == [(1, True, False), (2, True, False)]
+        assert q.quality(docs.limit(0)).count() == q.quality_filter(docs).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_partitioning_changes_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    some = [sorted((r.doc_id, r.kept) for r in q.quality(d).select("doc_id", "kept").collect()) for d in (docs, docs.repartition(7), docs.repartition(3, "source"))]
+    assert some[0] == some[1] == some[2] and not all(k for _, k in some[0])
