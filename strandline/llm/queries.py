@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, exact_dedup, html_extract, line_dedup, minhash_dedup, pitman_yor, quality_rules, secret_scan, sentencepiece_bpe, url_filter
+from . import best_fit_packing, exact_dedup, html_extract, line_dedup, minhash_dedup, periodic_runs, pitman_yor, quality_rules, secret_scan, sentencepiece_bpe, url_filter
 from .store import table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -61,13 +63,30 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scores(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def tiled_words(doc_id: int | None, words: list) -> list:
+    """The words of the query's contract: every tenth document by checksum repeats a stretch of its own from some place on.
+
+    A null doc_id has no checksum: its words stay."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_summary(table(spark, sf_dir, "documents", "doc_id", "text"), tiled_words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_secret_scan, op4_minhash_dedup, op5_quality_rules, op6_url_filter, op7_best_fit_packing, op8_html_extract, op9_exact_dedup, op10_pitman_yor, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_secret_scan, op4_minhash_dedup, op5_quality_rules, op6_url_filter, op7_best_fit_packing, op8_html_extract, op9_exact_dedup, op10_pitman_yor, op13_periodic_runs, pipeline)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL = {
@@ -120,5 +139,23 @@ FROM r LEFT JOIN o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DIS
 WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM k WINDOW g AS (PARTITION BY text_sha256)
+""",
+    "op13_periodic_runs": r"""
+WITH w0 AS (SELECT doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS ws FROM documents),
+h AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, xor(4294967295::BIGINT, list_reduce(flatten([[4294967295::BIGINT]] || [[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] for c in string_split(doc_id::VARCHAR, '')]),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))) AS h FROM w0),
+t AS (SELECT *, n > 0 AND h % 10 = 0 AS tiled, CASE WHEN n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS e FROM h),
+w AS (SELECT doc_id, n, CASE WHEN tiled THEN [ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + e)) END] for i in range(n)] ELSE ws END AS ws FROM t),
+x AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(ws) AS w FROM w),
+eq AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+isl AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM eq) GROUP BY doc_id, p, g HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT doc_id, s, len, min(p) AS p FROM isl GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS c FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs FROM r GROUP BY doc_id),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len / p DESC, s, p) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s::BIGINT AS start, len::BIGINT AS length, p::BIGINT AS period, (1000 * len // p)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
