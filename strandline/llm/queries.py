@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, cutting_stock, exact_dedup, html_extract, line_dedup, minhash_dedup, periodic_runs, pitman_yor, quality_rules, secret_scan, sentencepiece_bpe, url_filter
+from . import best_fit_packing, cross_tokenizer, cutting_stock, exact_dedup, html_extract, line_dedup, minhash_dedup, periodic_runs, pitman_yor, quality_rules, secret_scan, sentencepiece_bpe, url_filter
 from .store import table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -76,6 +76,12 @@ def tiled_words(doc_id: int | None, words: list) -> list:
     return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    return cross_tokenizer.cross_tokenizer(table(spark, sf_dir, "documents", "doc_id", "text"), files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), model_path())
+
+
 def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as files
 
@@ -92,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_secret_scan, op4_minhash_dedup, op5_quality_rules, op6_url_filter, op7_best_fit_packing, op8_html_extract, op9_exact_dedup, op10_pitman_yor, op12_cutting_stock, op13_periodic_runs, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_secret_scan, op4_minhash_dedup, op5_quality_rules, op6_url_filter, op7_best_fit_packing, op8_html_extract, op9_exact_dedup, op10_pitman_yor, op11_cross_tokenizer, op12_cutting_stock, op13_periodic_runs, pipeline)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL = {
