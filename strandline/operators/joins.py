@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import merge
+from .islands import BLOCK, merge
 
 BIN = 1 << 14
 
@@ -48,15 +48,36 @@ def contained(a: DataFrame, b: DataFrame) -> DataFrame:
     return overlap_join(a, b.select("chrom", "initial", "final"), on=inside)
 
 
+def gaps(b: DataFrame, span: DataFrame) -> DataFrame:
+    """(chrom, initial, final): what b leaves free of each chromosome's span (chrom, lo, hi).
+
+    The piece before a piece is looked up inside its block of coordinates; what crosses blocks is one row for each block, so a chromosome
+    is never one task."""
+    pieces = merge(b).select("chrom", "initial", "final").withColumn("_block", F.floor(F.col("initial") / BLOCK))
+    inside = F.lag("final").over(Window.partitionBy("chrom", "_block").orderBy("initial"))
+    earlier = F.max("_top").over(Window.partitionBy("chrom").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carry = pieces.groupBy("chrom", "_block").agg(F.max("final").alias("_top")).select("chrom", "_block", earlier.alias("_carry"))
+    before = pieces.withColumn("_own", inside).join(carry, ["chrom", "_block"]).join(span, "chrom")
+    inner = before.select("chrom", F.coalesce("_own", "_carry", "lo").alias("i"), F.col("initial").alias("f"))
+    last = carry.groupBy("chrom").agg(F.max("_block").alias("_block")).join(pieces, ["chrom", "_block"]).groupBy("chrom").agg(F.max("final").alias("_top"))
+    tail = span.join(last, "chrom", "left").select("chrom", F.coalesce("_top", "lo").alias("i"), F.col("hi").alias("f"))
+    return inner.union(tail).filter("i < f").select("chrom", F.col("i").alias("initial"), F.col("f").alias("final"))
+
+
+def span(a: DataFrame) -> DataFrame:
+    """(chrom, lo, hi): from the first to the last position of a's rows."""
+    return a.groupBy("chrom").agg(F.min("initial").alias("lo"), F.max("final").alias("hi"))
+
+
+def outside(a: DataFrame, b: DataFrame, *keep: str) -> DataFrame:
+    """(keep, chrom, initial, final): the pieces of each row of a that b doesn't cover. Columns keep of a are taken along."""
+    met = overlap_join(a.select("chrom", "initial", "final", *keep), gaps(b, span(a)))
+    return met.select(*keep, "chrom", F.greatest("initial", "b_initial").alias("initial"), F.least("final", "b_final").alias("final"))
+
+
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What the merged a has outside b: for each island of a the gaps between the pieces of b inside it."""
-    left = merge(a).select("chrom", "initial", "final")
-    cut = overlap_join(left, merge(b).select("chrom", "initial", "final")).select("chrom", "initial", "final", F.greatest("initial", "b_initial").alias("x"), F.least("final", "b_final").alias("y"))
-    own = Window.partitionBy("chrom", "initial", "final").orderBy("x")
-    inner = cut.select("chrom", F.coalesce(F.lag("y").over(own), F.col("initial")).alias("i"), F.col("x").alias("f"))
-    tail = cut.groupBy("chrom", "initial", "final").agg(F.max("y").alias("y")).select("chrom", F.col("y").alias("i"), F.col("final").alias("f"))
-    whole = left.join(cut.select("chrom", "initial", "final").distinct(), ["chrom", "initial", "final"], "left_anti").select("chrom", F.col("initial").alias("i"), F.col("final").alias("f"))
-    return inner.union(tail).union(whole).filter("i < f").select("chrom", F.col("i").alias("initial"), F.col("f").alias("final"))
+    """What the merged a has outside b."""
+    return outside(merge(a), b)
 
 
 def complement(a: DataFrame, sizes: DataFrame) -> DataFrame:

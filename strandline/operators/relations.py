@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import BLOCK, merge, with_islands
-from .joins import overlap_join
+from .joins import outside, overlap_join
 
 PLACE = ("chrom", "initial", "final")
 
@@ -46,13 +46,7 @@ def position_code(i: Column, f: Column, b_i: Column, b_f: Column) -> Column:
 
 def remnants(a: DataFrame, b: DataFrame) -> DataFrame:
     """(_ord, chrom, initial, final): what each row of a has outside b; rows of a aren't merged."""
-    left = a.select("_ord", *PLACE)
-    cut = overlap_join(left, merge(b).select(*PLACE)).select("_ord", *PLACE, F.greatest("initial", "b_initial").alias("x"), F.least("final", "b_final").alias("y"))
-    before = F.lag("y").over(Window.partitionBy("_ord").orderBy("x"))
-    inner = cut.select("_ord", "chrom", F.coalesce(before, F.col("initial")).alias("i"), F.col("x").alias("f"))
-    tail = cut.groupBy("_ord", *PLACE).agg(F.max("y").alias("y")).select("_ord", "chrom", F.col("y").alias("i"), F.col("final").alias("f"))
-    whole = left.join(cut.select("_ord").distinct(), "_ord", "left_anti").select("_ord", "chrom", F.col("initial").alias("i"), F.col("final").alias("f"))
-    return inner.union(tail).union(whole).filter("i < f").select("_ord", "chrom", F.col("i").alias("initial"), F.col("f").alias("final"))
+    return outside(a, b, "_ord")
 
 
 def cut_keep_end(a: DataFrame, b: DataFrame, upstream: bool = True) -> DataFrame:

@@ -14,9 +14,10 @@ ORACLE_SQL: dict = {}
 
 
 def isl(rel: str, gap: int = 0, keys: str = "chrom") -> str:
-    """Islands of a relation as SQL: the running maximum over a whole key, the plain form of what the operator scans in blocks."""
+    """Islands of a relation as SQL: the running maximum over a whole key, the plain form of what the operator scans in blocks. Rows that
+    tie in all of the order share a number."""
     return f"""(SELECT {keys}, min(initial) AS initial, max(final) AS final, count(*) AS n FROM (
-      SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY initial, final, _ord ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY initial, final, _ord) AS g FROM (
         SELECT *, CASE WHEN pm IS NULL OR initial - {gap} >= pm THEN 1 ELSE 0 END AS nw FROM (
           SELECT *, max(final) OVER (PARTITION BY {keys} ORDER BY initial, final, _ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {rel})))
       GROUP BY {keys}, g)"""
@@ -293,9 +294,9 @@ def depth_segments(s, d):
 
 
 @query("""SELECT _ord, round(least(1.0, min(raw) OVER (ORDER BY p DESC)), 6) AS q FROM (
-  SELECT _ord, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM (SELECT _ord, ((_ord * 7919) % 100003) / 100003.0::DOUBLE AS p FROM reg_a))""")
+  SELECT _ord, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM (SELECT _ord, ((_ord % 100003 * 7919) % 100003) / 100003.0::DOUBLE AS p FROM reg_a))""")
 def bh_correction(s, d):
-    p = V.reg_a(s, d).select("_ord", (((F.col("_ord") * 7919) % 100003) / F.lit(100003.0)).alias("p"))
+    p = V.reg_a(s, d).select("_ord", (((F.col("_ord") % 100003 * 7919) % 100003) / F.lit(100003.0)).alias("p"))
     return stats.benjamini_hochberg(p, "p").select("_ord", F.round("q", 6).alias("q"))
 
 

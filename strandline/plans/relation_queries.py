@@ -8,12 +8,12 @@ from ..operators import association, joins, project, relations as R
 from . import views as V
 from .catalog import COLS, OV, isl, query
 
-HITS = "tpx AS (SELECT *, (_ord * 7919) % 1000003 AS rna_i, (_ord * 7919) % 1000003 + 3 + score % 4 AS rna_f FROM reads)"
+HITS = "tpx AS (SELECT *, (_ord % 1000003 * 7919) % 1000003 AS rna_i, (_ord % 1000003 * 7919) % 1000003 + 3 + score % 4 AS rna_f FROM reads)"
 
 
 def hits(s, d):
     """Triplex hits: reads as DNA places, with a place on the RNA."""
-    at = (F.col("_ord") * 7919) % 1000003
+    at = (F.col("_ord") % 1000003 * 7919) % 1000003
     return V.reads(s, d).withColumns({"rna_i": at, "rna_f": at + 3 + F.col("score") % 4})
 
 
@@ -39,10 +39,10 @@ def self_overlaps(s, d):
 
 
 @query("""SELECT a._ord, CASE WHEN a.chrom = b.chrom THEN greatest(b.initial - a.final, a.initial - b.final, 0) END AS distance,
-  CASE WHEN a.chrom <> b.chrom THEN NULL WHEN a.final <= b.initial THEN -1 WHEN a.initial >= b.final THEN 1 ELSE 0 END AS code FROM reg_a a JOIN reg_b b ON a._ord // 10 = b._ord""")
+  CASE WHEN a.chrom <> b.chrom THEN NULL WHEN a.final <= b.initial THEN -1 WHEN a.initial >= b.final THEN 1 ELSE 0 END AS code FROM reg_a a JOIN reg_b b ON a._ord // 10000000000 = b._ord""")
 def pair_positions(s, d):
     b = V.reg_b(s, d).select(F.col("_ord").alias("o"), *(F.col(c).alias(f"b_{c}") for c in COLS))
-    both = V.reg_a(s, d).join(b, F.floor(F.col("_ord") / 10) == F.col("o"))
+    both = V.reg_a(s, d).join(b, F.floor(F.col("_ord") / (10 * V.LINE)) == F.col("o"))
     same, place = F.col("chrom") == F.col("b_chrom"), [F.col(c) for c in ("initial", "final", "b_initial", "b_final")]
     return both.select("_ord", F.when(same, R.gap(*place)).alias("distance"), F.when(same, R.position_code(*place)).alias("code"))
 
@@ -156,9 +156,10 @@ def natural_order(s, d):
     return V.sizes(s, d).select("chrom", F.rank().over(Window.orderBy(F.regexp_extract("chrom", r"(\d+)$", 1).cast("bigint"))).cast("bigint").alias("place"))  # a row for each chromosome
 
 
-@query("SELECT l_orderkey AS transcript, 'chr' || (1 + min(l_suppkey::BIGINT) % 22) AS chrom, min(initial) AS initial, max(final) AS final FROM lineitem JOIN reads ON l_orderkey::BIGINT * 10 + l_linenumber = _ord GROUP BY l_orderkey")
+@query("""SELECT transcript, chrom, initial, final FROM (SELECT _ord // 10000000000 AS transcript, min(initial) AS initial, max(final) AS final FROM reads GROUP BY 1)
+JOIN (SELECT l_orderkey AS transcript, 'chr' || (1 + min(l_suppkey::BIGINT) % 22) AS chrom FROM lineitem GROUP BY l_orderkey) USING (transcript)""")
 def transcripts_from_exons(s, d):
-    e = V.reads(s, d).withColumn("transcript", F.floor(F.col("_ord") / 10))
+    e = V.reads(s, d).withColumn("transcript", F.floor(F.col("_ord") / (10 * V.LINE)))
     li = V._read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("transcript")).agg(F.concat(F.lit("chr"), (1 + F.min("l_suppkey") % 22).cast("string")).alias("chrom"))
     return e.groupBy("transcript").agg(F.min("initial").alias("initial"), F.max("final").alias("final")).join(li, "transcript")
 
@@ -190,8 +191,8 @@ def upstream_windows(s, d):
     return project.stream_window(V.genes(s, d), 500, 300).select("_ord", *COLS)
 
 
-@query("""SELECT DISTINCT pair FROM (SELECT pair, chrom, min(initial) AS i, max(final) AS f FROM (SELECT *, _ord // 20 AS pair FROM reads) GROUP BY pair, chrom HAVING count(*) = 2 AND count(DISTINCT orientation) = 2) p
+@query("""SELECT DISTINCT pair FROM (SELECT pair, chrom, min(initial) AS i, max(final) AS f FROM (SELECT *, _ord // 20000000000 AS pair FROM reads) GROUP BY pair, chrom HAVING count(*) = 2 AND count(DISTINCT orientation) = 2) p
 JOIN (SELECT chrom, greatest(initial - 20000, 0) AS initial, final + 20000 AS final FROM genes) r USING (chrom) WHERE i > r.initial AND f < r.final""")
 def proper_pairs_inside(s, d):
-    reads = V.reads(s, d).withColumn("pair", F.floor(F.col("_ord") / 20))
+    reads = V.reads(s, d).withColumn("pair", F.floor(F.col("_ord") / (20 * V.LINE)))
     return R.pairs_inside(reads, project.extend(V.genes(s, d), 20000, 20000), "pair")

@@ -9,12 +9,12 @@ from ..operators.islands import merge
 from . import views as V
 from .catalog import COLS, OV, isl, query
 
-P = "(SELECT _ord, CASE WHEN score = 50 THEN NULL ELSE pow((((_ord * 7919) % 100003) + 1) / 100004.0::DOUBLE, 4) END AS p FROM reg_a)"
+P = "(SELECT _ord, CASE WHEN score = 50 THEN NULL ELSE pow((((_ord % 100003 * 7919) % 100003) + 1) / 100004.0::DOUBLE, 4) END AS p FROM reg_a)"
 
 
 def tests(s, d):
     """Made-up p values that crowd near 0, some missing."""
-    p = F.pow((((F.col("_ord") * 7919) % 100003) + 1) / F.lit(100004.0), F.lit(4.0))
+    p = F.pow((((F.col("_ord") % 100003 * 7919) % 100003) + 1) / F.lit(100004.0), F.lit(4.0))
     return V.reg_a(s, d).select("_ord", F.when(F.col("score") != 50, p).alias("p"))
 
 
@@ -102,11 +102,11 @@ def trimmed_points(s, d):
     return tools.trim_points(points, sizes, 10)
 
 
-PEAKS = """peaks AS (SELECT _ord, chrom, initial, final, orientation, score + 1 AS plus, (score * 7) % 50 + 1 AS minus, pow((((_ord * 7919) % 100003) + 1) / 100004.0::DOUBLE, 3) AS p FROM reg_a)"""
+PEAKS = """peaks AS (SELECT _ord, chrom, initial, final, orientation, score + 1 AS plus, (score * 7) % 50 + 1 AS minus, pow((((_ord % 100003 * 7919) % 100003) + 1) / 100004.0::DOUBLE, 3) AS p FROM reg_a)"""
 
 
 def made_peaks(s, d):
-    p = F.pow((((F.col("_ord") * 7919) % 100003) + 1) / F.lit(100004.0), F.lit(3.0))
+    p = F.pow((((F.col("_ord") % 100003 * 7919) % 100003) + 1) / F.lit(100004.0), F.lit(3.0))
     return V.reg_a(s, d).select("_ord", *COLS, "orientation", (F.col("score") + 1).alias("plus"), ((F.col("score") * 7) % 50 + 1).alias("minus"), p.alias("p"))
 
 

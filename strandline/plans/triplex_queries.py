@@ -11,12 +11,12 @@ from .signal_queries import fisher_sql
 
 REGIONS = "(SELECT * FROM genes WHERE score > 25)"
 TPX = """tpx AS (SELECT _ord, chrom, initial, final, orientation, rna_i, rna_i + 10 + score % 7 AS rna_f, substr('MRY', (score % 3 + 1)::INT, 1) AS motif, substr('AGGATCcUA-', 1, (4 + score % 7)::INT) AS match
-  FROM (SELECT *, (_ord * 7919) % 100003 % 9000 // 20 * 20 AS rna_i FROM reads))"""
+  FROM (SELECT *, (_ord % 100003 * 7919) % 100003 % 9000 // 20 * 20 AS rna_i FROM reads))"""
 
 
 def hits(s, d):
     """Reads as DNA places, with a place on an RNA of 9,000 bases, a motif and an alignment."""
-    at = F.floor((F.col("_ord") * 7919) % 100003 % 9000 / 20) * 20
+    at = F.floor((F.col("_ord") % 100003 * 7919) % 100003 % 9000 / 20) * 20
     rows = V.reads(s, d).select("_ord", *COLS, "orientation", at.alias("rna_i"), "score")
     score = F.col("score")
     return rows.select("_ord", *COLS, "orientation", "rna_i", (F.col("rna_i") + 10 + score % 7).alias("rna_f"), F.substr(F.lit("MRY"), (score % 3 + 1).cast("int"), F.lit(1)).alias("motif"), F.substr(F.lit("AGGATCcUA-"), F.lit(1), (4 + score % 7).cast("int")).alias("match"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 L = F.col
+#: Line numbers repeat inside an order: a row id is its order and line number times this, and a rest of part, quantity and supplier.
+LINE = 10**9
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,9 @@ def reads(spark, sf_dir, length=None, where=None):
     li = li.filter(where) if where is not None else li
     start = (L("l_orderkey").cast("bigint") * 7919 + L("l_partkey").cast("bigint") * 104729 + L("l_linenumber").cast("bigint") * 31) % 1000000
     size = F.lit(36).cast("bigint") if length is None else length
-    return li.select((L("l_orderkey").cast("bigint") * 10 + L("l_linenumber")).alias("_ord"), _chrom("l_suppkey").alias("chrom"), start.alias("initial"), (start + size).alias("final"), F.concat(F.lit("p"), (L("l_partkey") % 50).cast("string")).alias("name"), F.when(L("l_linestatus") == "O", "+").otherwise("-").alias("orientation"), L("l_quantity").cast("bigint").alias("score"))
+    line = L("l_orderkey").cast("bigint") * 10 + L("l_linenumber")
+    detail = ((L("l_partkey").cast("bigint") * 51 + L("l_quantity").cast("bigint")) * 10007 + L("l_suppkey").cast("bigint")) % LINE
+    return li.select((line * LINE + detail).alias("_ord"), _chrom("l_suppkey").alias("chrom"), start.alias("initial"), (start + size).alias("final"), F.concat(F.lit("p"), (L("l_partkey") % 50).cast("string")).alias("name"), F.when(L("l_linestatus") == "O", "+").otherwise("-").alias("orientation"), L("l_quantity").cast("bigint").alias("score"))
 
 
 def reg_a(spark, sf_dir):
@@ -48,7 +52,7 @@ def dna(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.translate(low, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
 
 
-_READ = """SELECT l_orderkey::BIGINT * 10 + l_linenumber AS _ord, 'chr' || (1 + l_suppkey::BIGINT % 22) AS chrom,
+_READ = """SELECT (l_orderkey::BIGINT * 10 + l_linenumber) * 1000000000 + ((l_partkey::BIGINT * 51 + trunc(l_quantity)::BIGINT) * 10007 + l_suppkey::BIGINT) % 1000000000 AS _ord, 'chr' || (1 + l_suppkey::BIGINT % 22) AS chrom,
   (l_orderkey::BIGINT * 7919 + l_partkey::BIGINT * 104729 + l_linenumber::BIGINT * 31) % 1000000 AS initial, {size} AS size, 'p' || (l_partkey % 50) AS name,
   CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS orientation, trunc(l_quantity)::BIGINT AS score FROM lineitem"""
 CTE = f"""reads AS (SELECT * EXCLUDE (size), initial + size AS final FROM ({_READ.format(size="36::BIGINT")})),
