@@ -18,6 +18,7 @@ Hot fingerprints and windows are counted in partial steps, then joined, where AQ
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,10 +72,16 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, run: int = RUN, gram: in
     last = int(np.searchsorted(gram_end, n, side="right"))
     end = gram_end[:last]
     grams = one(np.arange(last), end)
-    best = np.empty(full, dtype=np.int64)
-    for i in range(full):
-        stop = int(np.searchsorted(end, run_end[i], side="right"))  # grams i..stop-1 end inside the window
-        best[i] = stop - 1 - int(np.argmin(grams[i:stop][::-1]))  # the last of equal ones
+    best, least, value, seen = np.empty(full, dtype=np.int64), deque(), grams.tolist(), 0
+    for i, stop in enumerate(np.searchsorted(end, run_end[:full], side="right").tolist()):  # grams i..stop-1 end inside the window
+        for j in range(seen, stop):
+            while least and value[least[-1]] >= value[j]:  # of equal ones the last
+                least.pop()
+            least.append(j)
+        seen = max(seen, stop)
+        while least[0] < i:
+            least.popleft()
+        best[i] = least[0]
     # Windows back from a line's end: they start as late as they can.
     high = np.arange(int(np.searchsorted(before, run, side="left")), n + 1)
     low = np.searchsorted(before, before[high] - run, side="right") - 1
