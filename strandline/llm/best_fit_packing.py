@@ -1,10 +1,11 @@
 """Best-fit packing of documents into sequences under conflict constraints.
 
-Documents are dealt by a hash of their id into shards of bounded size, so a hot source is spread evenly. In a shard, pieces are
+Documents are dealt by a hash of their id, length, source and cluster into shards of bounded size, so a hot source is spread evenly,
+and so are documents with a null or repeated id unless they are equal in all of these. In a shard, pieces are
 placed from the largest: a bin with the least room that holds the piece is found in an order of residuals, and the search goes on
 to the next larger residual while the bin conflicts. A bin conflicts if it already holds a document of the same duplicate cluster,
 or as many documents of the source as allowed; bins carry both as bitmaps. Where none is left a new bin opens. A document longer
-than a bin gives full bins of its own and one rest, so no word is dropped. Pieces are placed by (length, doc_id, piece), so the
+than a bin gives full bins of its own and one rest, so no word is dropped. Pieces are placed by (length, doc_id, piece, source, cluster), so the
 result doesn't depend on the order of rows; ties in residual go to the bin opened first.
 
 Lengths are counted in words. A document without words takes no place and has one piece of length 0 and bin -1. Null source or
@@ -31,7 +32,8 @@ SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, shard int, bin
 
 def pack(items: list[tuple[int, int, int, object, object]], capacity: int, per_source: int) -> list[tuple[int, int, int]]:
     """items: (doc_id, piece, length, source, cluster), lengths up to capacity, ids unique. Returns (item, bin, offset) by item."""
-    order = sorted(range(len(items)), key=lambda i: (-items[i][2], items[i][0], items[i][1]))
+    tie = lambda x: (x is not None, x if x is not None else 0)
+    order = sorted(range(len(items)), key=lambda i: (-items[i][2], items[i][0], items[i][1], tie(items[i][3]), tie(items[i][4])))
     often = Counter(x[4] for x in items if x[4] is not None)
     clusters = {c: 1 << n for n, c in enumerate(sorted(c for c, k in often.items() if k > 1))}
     sources: dict[object, int] = {}
@@ -74,8 +76,8 @@ def pack_documents(docs: DataFrame, length, cluster=None, source="source", capac
         length.cast("bigint").alias("n"),
         (F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")).alias("source"),
         (F.lit(None).cast("bigint") if cluster is None else cluster).alias("cluster"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"),
     )
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         items, starts, out = [], [], []
