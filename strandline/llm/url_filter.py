@@ -11,6 +11,8 @@ each step is one join and one sum, written to the shared folder, until the ranks
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DAMPING = 0.85
 #: Distrust over the mean at which a host is blocked.
 FACTOR = 2.0
-STEPS, STILL = 30, 1e-6
+STILL = 1e-6
+#: The ranks change by at most 2 in the first step and by DAMPING times the last change in each one after: so many steps always do.
+STEPS = math.ceil(math.log(STILL / 2) / math.log(DAMPING)) + 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

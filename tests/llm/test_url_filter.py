@@ -13,7 +13,7 @@ def ranks(seeds, edges, n):
     for a, b, w in edges:
         m[b, a] += w
     seed, rank = np.array(seeds) / sum(seeds), np.array(seeds) / sum(seeds)
-    for _ in range(u.STEPS):
+    while True:
         flow = u.DAMPING * (m @ rank)
         after = flow + (1 - flow.sum()) * seed
         still = np.abs(after - rank).sum() < u.STILL
@@ -73,3 +73,12 @@ def test_edges(spark):
     got = u.url_filter(pages).collect()
     assert len(got) == len(rows) and {r.verdict for r in got} == {"allow"} and all(r.host is not None and r.path is not None for r in got)
     assert u.url_filter(pages.filter("false")).count() == 0
+
+
+def test_a_chain_is_followed_to_its_end(spark):
+    n = 36
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(n - 1)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, seed double")
+    got = {r.host: r.rank for r in u.propagate(seeds, edges, Shelf(spark)).collect()}
+    want = ranks([1.0] + [0.0] * (n - 1), [(i, i + 1, 1.0) for i in range(n - 1)], n)
+    assert len(got) == n and all(abs(got[f"h{i}"] - want[i]) < 1e-9 and want[i] > 0 for i in range(n))
