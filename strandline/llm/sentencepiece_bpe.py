@@ -276,10 +276,13 @@ def encode_summary(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         gc.disable()  # millions of small tuples and no cycles
-        for batch in batches:
-            rows = [own.summary(data.decode("utf-8", "replace")) for data in batch.column(1).to_pylist()]
-            n, ids, shown = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                rows = [own.summary(data.decode("utf-8", "replace")) for data in batch.column(1).to_pylist()]
+                n, ids, shown = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     return text_bytes(docs).mapInArrow(run, SCHEMA)
 
