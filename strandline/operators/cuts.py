@@ -67,21 +67,21 @@ def percentile(x: Column, q: float) -> Column:
     return let(F.sort_array(x), of)
 
 
-def between_sets(x: Column, q: float, fixed: Column | None = None) -> Column:
+def between_sets(x: Column, q: float, fixed: Column | None = None, signed: bool = False) -> Column:
     """Logistic of the distance from the q-th percentile (or a fixed value) in standard deviations of the entries; zeros stay, and so does an
-    array without spread."""
+    array without spread. signed: a negative entry becomes what its size would, with a minus sign; otherwise it is taken as it is."""
 
     def of(y: Column) -> Column:
         at = F.struct((percentile(y, q) if fixed is None else fixed).alias("middle"), _moments(y)["sd"].alias("sd"))
-        squash = lambda m: F.when(m["sd"] > 0, F.transform(y, lambda v: F.when(v == 0, 0.0).otherwise(1 / (1 + F.exp(-(v - m["middle"]) / m["sd"]))))).otherwise(y)
+        squash = lambda m: F.when(m["sd"] > 0, F.transform(y, lambda v: F.when(v == 0, 0.0).when(F.lit(signed) & (v < 0), -1 / (1 + F.exp(-(-v - m["middle"]) / m["sd"]))).otherwise(1 / (1 + F.exp(-(v - m["middle"]) / m["sd"]))))).otherwise(y)
         return let(at, squash)
 
     return let(x, of)
 
 
 def masked_mean(x: Column, window: int = 5, rank: int = 5) -> Column:
-    """Centred means over window entries, the rank greatest entries (ties: earliest first) left out; null where none is left."""
-    order = F.slice(F.sort_array(F.transform(x, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, rank)
+    """Centred means over window entries, the greatest entries, one fewer than rank (ties: earliest first), left out; null where none is left."""
+    order = F.slice(F.sort_array(F.transform(x, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, rank - 1)
 
     def of(top: Column) -> Column:
         keep = F.transform(x, lambda v, i: F.when(~F.array_contains(F.transform(top, lambda t: t["i"]), i), v))

@@ -59,6 +59,31 @@ def negative_binomial(x: np.ndarray, params: tuple) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def binomial(x: np.ndarray, params: tuple) -> np.ndarray:
+    """params: (trials of each column, chance of each column, sample of each column) for each state. Columns of one sample are its
+    replicates and share its chance. Counts above the trials are as unlikely as any can be."""
+    from math import lgamma
+
+    seen, at = np.unique(x, return_inverse=True)
+    out = []
+    for trials, chance, _ in params:
+        trials, chance = np.asarray(trials, dtype=float), np.clip(np.asarray(chance, dtype=float), 1e-12, 1 - 1e-12)
+        ways = np.empty((len(seen), len(trials)))
+        for c, n in enumerate(trials):
+            ways[:, c] = [lgamma(n + 1) - lgamma(v + 1) - lgamma(n - v + 1) if 0 <= v <= n else -1e6 for v in seen]
+        choose = ways[at.reshape(x.shape), np.arange(x.shape[1])]
+        out.append((choose + x * np.log(chance) + (trials - x) * np.log1p(-chance)).sum(axis=1))
+    return np.stack(out, axis=1)
+
+
+def binomial_start(df: DataFrame, x: str, y: str, trials: int) -> tuple:
+    """Parameters of three states of two samples: background, more in x, more in y. In a state with more the chance of its sample is the
+    sample's most frequent count (the smallest of equal ones) over the trials; every other chance is one over the trials."""
+    often = lambda c: float(df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("v", F.struct("n", -F.col("v")))).first()[0] or 0)
+    low, both = 1 / trials, np.array([trials, trials], dtype=float)
+    return tuple((both, np.array(p), np.array([0, 1])) for p in ((low, low), (often(x) / trials, low), (low, often(y) / trials)))
+
+
 def _log_rising(r: float, k: int) -> float:
     from math import lgamma
 
@@ -77,9 +102,10 @@ def _log(p) -> np.ndarray:
         return np.log(np.asarray(p, dtype=float))
 
 
-def _blocks(df: DataFrame, key: str, order: str, values: list[str], block: int) -> DataFrame:
-    """Rows by block, with whether the block is the sequence's first; null values count as 0."""
-    rows = df.select(key, order, F.array(*(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values)).alias("_x"))
+def _blocks(df: DataFrame, key: str, order: str, values: list[str], block: int, label: str | None = None) -> DataFrame:
+    """Rows by block; null values count as 0. _label is the column label, -1 where it is null or there is none."""
+    known = F.lit(-1) if label is None else F.coalesce(F.col(label).cast("int"), F.lit(-1))
+    rows = df.select(key, order, known.alias("_label"), F.array(*(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values)).alias("_x"))
     return rows.withColumn("_block", F.floor(F.col(order) / block).cast("bigint"))
 
 
@@ -146,10 +172,24 @@ def decode(df: DataFrame, key: str, order: str, values: list[str], model: Model,
     return rows.join(ends, [key, "_block"]).groupBy(key, "_block").applyInPandas(path, fields)
 
 
-def expectations(df: DataFrame, key: str, order: str, values: list[str], model: Model, block: int = BLOCK) -> DataFrame:
+def clamped(post: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
+    """Chances of states at positions, those with label 1 all of the state, those with label 0 without it; other labels change nothing.
+    A position that only the state explained and that is labelled 0 has no state at all."""
+    post = post.copy()
+    post[label == 0, state] = 0.0
+    total = post.sum(axis=1, keepdims=True)
+    post = np.where((label == 0)[:, None], post / np.where(total > 0, total, 1.0), post)
+    post[label == 1] = np.eye(post.shape[1])[state]
+    return post
+
+
+def expectations(df: DataFrame, key: str, order: str, values: list[str], model: Model, block: int = BLOCK, clamp: tuple[str, int] | None = None) -> DataFrame:
     """(key, _block, like, stats): expected counts of a block under the model. like is the log likelihood of its sequence, on the
-    first block only; stats is starts, transitions, occupancy, then sums of values and of their products by state."""
-    rows, s, d = _blocks(df, key, order, values, block), len(model.start), len(values)
+    first block only; stats is starts, transitions, occupancy, then sums of values and of their products by state.
+
+    clamp: a column of labels and a state, see clamped(); starts, occupancy and sums take the clamped chances, transitions and the
+    likelihood those of the model."""
+    rows, s, d = _blocks(df, key, order, values, block, clamp and clamp[0]), len(model.start), len(values)
     trans = _log(model.trans)
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,22 +222,31 @@ def expectations(df: DataFrame, key: str, order: str, values: list[str], model:
         steps = np.exp(ahead[:-1, :, None] + trans[None] + (like[1:] + behind[1:])[:, None, :] - total).sum(axis=0)
         if len(before):
             steps = steps + np.exp(before[:, None] + trans + (like[0] + behind[0])[None] - total)
+        if clamp is not None:
+            post = clamped(post, pdf["_label"].to_numpy(), clamp[1])
         stats = np.concatenate([np.zeros(s) if len(before) else post[0], steps.ravel(), post.sum(axis=0), (post.T @ x).ravel(), np.einsum("is,ij,ik->sjk", post, x, x).ravel()])
         return pd.DataFrame({key: pdf[key].iloc[:1], "_block": pdf["_block"].iloc[:1], "like": [0.0 if len(before) else total], "stats": [stats.tolist()]})
 
     return rows.join(bounds, [key, "_block"]).groupBy(key, "_block").applyInPandas(count, _fields(rows, key, StructField("like", DoubleType()), StructField("stats", double)))
 
 
-def fit(df: DataFrame, key: str, order: str, values: list[str], model: Model, rounds: int = 10, mirror: tuple[np.ndarray, np.ndarray] | None = None, block: int = BLOCK) -> tuple[Model, list[float]]:
+def _by_sample(chance: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """Each column's chance as the mean over the columns of its sample."""
+    sample = np.asarray(sample)
+    return np.array([chance[sample == g].mean() for g in sample])
+
+
+def fit(df: DataFrame, key: str, order: str, values: list[str], model: Model, rounds: int = 10, mirror: tuple[np.ndarray, np.ndarray] | None = None, block: int = BLOCK, clamp: tuple[str, int] | None = None) -> tuple[Model, list[float]]:
     """(model, log likelihood before each round) by expectation maximisation; only sums of a fixed length reach the driver.
 
-    Gaussian states get new means and covariances, count states new means (dispersions stay). mirror: an order of states and one
+    Gaussian states get new means and covariances, count states new means (dispersions stay), binomial ones new chances, one for all
+    replicates of a sample. clamp: labels that fix the chances of a state at some positions, see expectations(). mirror: an order of states and one
     of columns under which the model is symmetric, as gains and losses of two samples are; sums are averaged with their image."""
     s, d, likes = len(model.start), len(values), []
-    df = written(df.select(key, order, *values))  # each round reads it again
+    df = written(df.select(key, order, *dict.fromkeys([*values, *([clamp[0]] if clamp else [])])))  # each round reads it again
     cuts = np.cumsum([s, s * s, s, s * d])
     for _ in range(rounds):
-        each = expectations(df, key, order, values, model, block)
+        each = expectations(df, key, order, values, model, block, clamp)
         sums = each.select("like", F.posexplode("stats").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("like").alias("like")).collect()
         if not sums:
             return model, likes
@@ -217,6 +266,8 @@ def fit(df: DataFrame, key: str, order: str, values: list[str], model: Model, ro
             params = tuple((mean[k], xx[k] / seen[k] - np.outer(mean[k], mean[k]) + 1e-6 * np.eye(d)) for k in range(s))
         elif model.emit is poisson:
             params = tuple(mean)
+        elif model.emit is binomial:
+            params = tuple((trials, _by_sample(mean[k] / trials, sample), sample) for k, (trials, _, sample) in enumerate(model.params))
         else:
             params = tuple((mean[k], model.params[k][1]) for k in range(s))
         rows = steps.sum(axis=1, keepdims=True)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
 from .islands import BLOCK
-from .joins import complement, overlap_join
+from .joins import complement, outside, overlap_join, semi
 
 
 def running(df: DataFrame, keys: list[str], at: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
@@ -36,15 +37,67 @@ def place(df: DataFrame, sizes: DataFrame, exclude: DataFrame, repeats: int, tri
     """(rep, _ord, chrom, initial, final): rows of df (unique _ord) at random places of the free space, so chromosomes are chosen by their
     free positions; placements may overlap one another. Of so many tries the first that fits into its gap counts; a row that none fits has
     null places."""
-    space = free_space(sizes, exclude)
+    rows = df.select("_ord", "initial", "final").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    return _drawn(rows, free_space(sizes, exclude), tries, str(seed))
+
+
+def _drawn(rows: DataFrame, space: DataFrame, tries: int, seed: str) -> DataFrame:
+    """(rep, _ord, chrom, initial, final) for rows (rep, _ord, initial, final)."""
     total = space.agg(F.sum(F.col("final") - F.col("initial")).alias("total"))
     size = F.col("final") - F.col("initial")
-    rows = df.select("_ord", size.alias("size")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    rows = rows.select("rep", "_ord", size.alias("size"))
     drawn = rows.crossJoin(total).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries))))  # one row
-    at = hashed(F.col("rep").cast("string"), F.col("_ord").cast("string"), F.col("k").cast("string"), F.lit(str(seed))) % F.col("total")
+    at = hashed(F.col("rep").cast("string"), F.col("_ord").cast("string"), F.col("k").cast("string"), F.lit(seed)) % F.col("total")
     points = drawn.select("rep", "_ord", "size", "k", F.lit("free").alias("chrom"), at.alias("initial")).withColumn("final", F.col("initial") + 1)
     laid = space.select(F.lit("free").alias("chrom"), F.col("offset").alias("initial"), (F.col("offset") + F.col("final") - F.col("initial")).alias("final"), F.col("chrom").alias("c"), F.col("initial").alias("i"), F.col("final").alias("f"))
     start = F.col("b_i") + F.col("initial") - F.col("b_initial")
     fits = overlap_join(points, laid).filter(start + F.col("size") <= F.col("b_f"))
     first = fits.groupBy("rep", "_ord").agg(F.min(F.struct("k", F.col("b_c").alias("chrom"), start.alias("initial"), (start + F.col("size")).alias("final"))).alias("m"))
     return rows.select("rep", "_ord").join(first, ["rep", "_ord"], "left").select("rep", "_ord", "m.chrom", "m.initial", "m.final")
+
+
+def place_apart(df: DataFrame, sizes: DataFrame, exclude: DataFrame, repeats: int = 1, tries: int = 20, seed: int = 1, rounds: int = 60) -> DataFrame:
+    """(rep, _ord, chrom, initial, final): as place(), but no two placements of a repeat overlap.
+
+    In every round the rows without a place draw one each. A draw that overlaps a place given before is void; of draws that overlap
+    one another one stays if no other that it overlaps has a smaller hash, and the rest draw again. The draw with the smallest hash always
+    stays, so rounds go on until every row has a place; a row that was void in all of so many rounds has null places: no room was
+    found for it. Everything is a function of rep, _ord, round and seed, so partitioning changes nothing."""
+    keys, space = ["rep", "_ord"], written(free_space(sizes, exclude))
+    rows = written(df.select("_ord", "initial", "final").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))))
+    open_rows, done = rows, None
+    for n in range(rounds):
+        drawn = _drawn(open_rows, space, tries, f"{seed}:{n}").withColumn("_rank", hashed(F.col("rep").cast("string"), F.col("_ord").cast("string"), F.lit(f"{seed}:{n}:rank")))
+        draws = written(drawn.filter("chrom is not null").withColumn("_name", F.col("chrom")).withColumn("chrom", F.concat_ws(":", "rep", "chrom")))
+        if done is not None:
+            draws = semi(draws, done, anti=True)
+        beats = (F.col("b__rank") < F.col("_rank")) | ((F.col("b__rank") == F.col("_rank")) & (F.col("b__ord") < F.col("_ord")))
+        lost = overlap_join(draws, draws.select("chrom", "initial", "final", "_rank", "_ord"), on=beats).select(*keys).distinct()
+        won = draws.join(lost, keys, "left_anti").drop("_rank")
+        done = written(won if done is None else done.unionByName(won))
+        open_rows = rows.join(done.select(*keys), keys, "left_anti")
+        if open_rows.isEmpty():
+            break
+    out = done.select(*keys, F.col("_name").alias("chrom"), "initial", "final")
+    return out.unionByName(open_rows.select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in out.dtypes[2:])))
+
+
+def close_windows(regions: DataFrame, background: DataFrame, least: int = 200, length: int = 100, seed: int = 1) -> DataFrame:
+    """(_ord, chrom, initial, final, fits): for each row of background that overlaps a region one window of so many positions inside it,
+    at least so far from every region: one of the free pieces longer than the window, all alike, and a start in it, both by md5. Where no
+    piece is long enough the window lies around the middle of the longest one, and fits is false; a row without free positions has none.
+
+    _ord is that of background. Pieces are pre-aggregated to the one with the smallest hash, so a row with many pieces is no hot spot."""
+    own = semi(background, regions.select("chrom", "initial", "final"))
+    wide = regions.select("chrom", F.greatest(F.col("initial") - least, F.lit(0)).alias("initial"), (F.col("final") + least).alias("final"))
+    pieces = outside(own, wide, "_ord").withColumn("n", F.col("final") - F.col("initial"))
+    text = lambda c: F.col(c).cast("string")
+    rank = hashed(text("_ord"), text("initial"), F.lit(str(seed)))
+    long_enough = F.col("n") > length
+    best = F.min(F.when(long_enough, F.struct(rank.alias("rank"), "initial", "n")))
+    longest = F.max(F.struct("n", (-F.col("initial")).alias("at"), "final"))
+    per = pieces.groupBy("_ord", "chrom").agg(best.alias("p"), longest.alias("q"))
+    start = F.col("p.initial") + hashed(text("_ord"), F.lit("start"), F.lit(str(seed))) % (F.col("p.n") - length)
+    middle = F.floor((F.col("q.final") - F.col("q.at")) / 2)
+    fits = F.col("p").isNotNull()
+    return per.select("_ord", "chrom", F.when(fits, start).otherwise(middle - length // 2).alias("initial"), F.when(fits, start + length).otherwise(middle + length // 2).alias("final"), fits.alias("fits"))

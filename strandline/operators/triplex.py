@@ -53,6 +53,47 @@ def switches(hits: DataFrame, near: int = 20) -> DataFrame:
     return close.groupBy(F.col("motif").alias("first"), F.col("b.motif").alias("second"), (F.col("orientation") == F.col("b.orientation")).alias("same_strand")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Kinds of switches in the order of the report: combined motifs on one DNA strand (C), switches of the RNA's direction on one DNA
+#: strand (SR, by both motifs), switches of the DNA strand (SD, by the directions and the first strand).
+SWITCHES = ("C_YM", "C_MY", "C_RM", "C_MR", "SR_MM", "SR_YM", "SR_RM", "SR_MY", "SR_MR", "SR_YR", "SR_RY", "SD_PA_pos", "SD_PA_neg", "SD_AP_pos", "SD_AP_neg")
+
+
+def switch_kinds(hits: DataFrame, near: int = 20, skip_last: int = 2) -> DataFrame:
+    """(kind, n) for all 15 kinds of pairs of hits whose RNA sites lie apart, but less than near, in order of the RNA, whose DNA sites lie
+    at most near apart on one chromosome, and that differ in motif or in direction (column direction, P or A).
+
+    On one DNA strand two hits of one direction are a combined motif if the second follows along the DNA in that direction, two of
+    different directions a switch if the gap on the RNA is longer than that on the DNA and the second site together. On two strands hits
+    of different directions are a switch if the second site lies ahead. The walk leaves out the last hits of the RNA's order, two by default.
+
+    Pairs are found by the DNA, which spreads them over bins, not by the RNA, where all hits share a few positions. Equal hits count once
+    with their number; they are never pairs of each other."""
+    order = ("rna_i", "rna_f", "_ord")
+    last = hits.select(*order).orderBy(*(F.col(c).desc() for c in order)).limit(skip_last)
+    site = ("rna_i", "rna_f", *PLACE, "orientation", "motif", "direction")
+    rows = hits.join(last.select("_ord"), "_ord", "left_anti").groupBy(*site).agg(F.count(F.lit(1)).alias("n"))
+    wide = rows.withColumns({"_i": F.col("initial"), "_f": F.col("final"), "initial": F.col("initial") - near - 1, "final": F.col("final") + near + 1})
+    gap = F.col("b_rna_i") - F.col("rna_f")
+    differ = (F.col("motif") != F.col("b_motif")) | (F.col("direction") != F.col("b_direction"))
+    met = overlap_join(wide, rows, on=(gap > 0) & (gap < near) & differ)
+    ahead, behind = F.col("_f") < F.col("b_initial"), F.col("b_final") < F.col("_i")
+    plus, same_strand, same_way = F.col("orientation") == "+", F.col("orientation") == F.col("b_orientation"), F.col("direction") == F.col("b_direction")
+    dna_gap = F.greatest(F.col("b_initial") - F.col("_f"), F.col("_i") - F.col("b_final"), F.lit(0))
+    parallel = F.col("direction") == "P"
+    along = F.when(parallel == plus, ahead).otherwise(behind)  # the way that P takes on the plus strand and A on the minus strand
+    combined = F.when(parallel, F.when(F.col("motif") == "Y", "C_YM").otherwise("C_MY")).otherwise(F.when(F.col("motif") == "M", "C_MR").otherwise("C_RM"))
+    turned = F.concat(F.lit("SR_"), "motif", "b_motif")
+    switched = F.concat(F.when(parallel, "SD_PA_").otherwise("SD_AP_"), F.when(plus, "pos").otherwise("neg"))
+    kind = (
+        F.when(same_strand & same_way & along, combined)
+        .when(same_strand & ~same_way & (gap > dna_gap + F.col("b_final") - F.col("b_initial")), turned)
+        .when(~same_strand & ~same_way & along, switched)
+    )
+    n = met.select(kind.alias("kind"), (F.col("n") * F.col("b_n")).alias("n")).groupBy("kind").agg(F.sum("n").alias("n"))
+    every = hits.sparkSession.createDataFrame([(k,) for k in SWITCHES], "kind string")
+    return every.join(n, "kind", "left").fillna(0, ["n"])
+
+
 def by_region(hits: DataFrame, regions: DataFrame) -> DataFrame:
     """(_ord, n_hits, n_sites, covered): for each region the hits on it, their distinct RNA sites, and its positions that hits cover."""
     own, met = regions.select("_ord", *PLACE), hits.select("rna_i", "rna_f", *PLACE)

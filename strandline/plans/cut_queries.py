@@ -52,8 +52,17 @@ def normalised_signals(s, d):
     return signals(s, d).select("_ord", F.round(C.percentile(F.col("signal"), 98), 6).alias("q"), F.round(total, 6).alias("total"))
 
 
+@query(f""", {ARRAYS}, c AS (SELECT _ord, [v - list_avg(x) for v in x] AS x FROM dense), y AS (SELECT _ord, x, list_aggregate(x, 'quantile_cont', 0.98) AS q, list_stddev_pop(x) AS sd FROM c)
+SELECT _ord, round(CASE WHEN sd > 0 THEN list_sum([CASE WHEN v = 0 THEN 0 WHEN v > 0 THEN 1 / (1 + exp(-(v - q) / sd)) ELSE -1 / (1 + exp(-(-v - q) / sd)) END for v in x]) ELSE list_sum(x) END, 5) AS total FROM y""")
+def signed_normalised_signals(s, d):
+    """Signals less their mean, so that both signs occur."""
+    centred = C.let(F.col("signal"), lambda x: C.let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x), lambda m: F.transform(x, lambda v: v - m)))
+    total = F.aggregate(C.between_sets(F.col("x"), 98, signed=True), F.lit(0.0), lambda a, v: a + v)
+    return signals(s, d).select("_ord", centred.alias("x")).select("_ord", F.round(total, 5).alias("total"))
+
+
 @query(f""", {ARRAYS}, e AS (SELECT _ord, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM dense), r AS (SELECT *, row_number() OVER (PARTITION BY _ord ORDER BY v DESC, i) AS k FROM e),
-m AS (SELECT _ord, i, avg(CASE WHEN k > 5 THEN v END) OVER (PARTITION BY _ord ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM r) SELECT _ord, round(sum(s), 6) AS total, count(s) AS n FROM m GROUP BY _ord""")
+m AS (SELECT _ord, i, avg(CASE WHEN k > 4 THEN v END) OVER (PARTITION BY _ord ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM r) SELECT _ord, round(sum(s), 6) AS total, count(s) AS n FROM m GROUP BY _ord""")
 def masked_smooth(s, d):
     rows = signals(s, d).select("_ord", F.filter(C.masked_mean(F.col("signal")), lambda v: v.isNotNull()).alias("y"))
     return rows.select("_ord", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size("y").cast("bigint").alias("n"))

@@ -279,6 +279,25 @@ def random_places(s, d):
     return placement.place(V.reg_b(s, d), V.sizes(s, d), V.genes(s, d), 2)
 
 
+@query(f""", bg AS (SELECT _ord, chrom, greatest(initial - 5000, 0) AS initial, final + 5000 AS final FROM genes), own AS (SELECT * FROM bg a WHERE EXISTS (SELECT 1 FROM reg_b b WHERE {OV})),
+wide AS (SELECT _ord, chrom, greatest(initial - 200, 0) AS initial, final + 200 AS final FROM reg_b), m AS {isl('wide')},
+cut AS (SELECT a._ord, a.chrom, a.initial AS ai, a.final AS af, greatest(a.initial, b.initial) AS x, least(a.final, b.final) AS y FROM own a JOIN m b ON {OV}),
+free AS (SELECT * FROM (SELECT _ord, chrom, coalesce(lag(y) OVER (PARTITION BY _ord ORDER BY x), ai) AS initial, x AS final FROM cut UNION ALL SELECT _ord, chrom, max(y), af FROM cut GROUP BY _ord, chrom, af) WHERE initial < final),
+h AS (SELECT *, final - initial AS n, ('0x' || substr(md5(_ord || ':' || initial || ':1'), 1, 12))::BIGINT AS rank, ('0x' || substr(md5(_ord || ':start:1'), 1, 12))::BIGINT AS st FROM free),
+p AS (SELECT _ord, chrom, arg_min(initial + st % nullif(n - 100, 0), (rank, initial)) FILTER (n > 100) AS s, arg_max((initial + final) // 2 - 50, (n, -initial)) AS mid FROM h GROUP BY _ord, chrom)
+SELECT _ord, chrom, coalesce(s, mid) AS initial, coalesce(s, mid) + 100 AS final, s IS NOT NULL AS fits FROM p""")
+def close_windows(s, d):
+    """One window of 100 positions near each gene's orders, at least 200 from each."""
+    near = V.genes(s, d).select("_ord", "chrom", F.greatest(F.col("initial") - 5000, F.lit(0)).alias("initial"), (F.col("final") + 5000).alias("final"))
+    return placement.close_windows(V.reg_b(s, d), near)
+
+
+@query()
+def random_places_apart(s, d):
+    """Rounds of draws; tests hold them against a version that goes row by row."""
+    return placement.place_apart(V.genes(s, d), V.sizes(s, d), V.reg_b(s, d))
+
+
 @query("SELECT orientation, count(*) AS n, count(DISTINCT name) AS names, round(avg(final - initial), 6) AS mean_length FROM reg_a GROUP BY orientation")
 def read_totals(s, d):
     size = F.col("final") - F.col("initial")

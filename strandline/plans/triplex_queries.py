@@ -22,6 +22,26 @@ def hits(s, d):
     return rows.select("_ord", *COLS, "orientation", "rna_i", (F.col("rna_i") + 10 + score % 7).alias("rna_f"), F.substr(F.lit("MRY"), (score % 3 + 1).cast("int"), F.lit(1)).alias("motif"), F.substr(F.lit("AGGATCcUA-"), F.lit(1), (4 + score % 7).cast("int")).alias("match"))
 
 
+WALK = """walk AS (SELECT *, CASE WHEN (rna_f + _ord) % 2 = 0 THEN 'P' ELSE 'A' END AS direction FROM (SELECT * REPLACE (rna_i % 600 AS rna_i, rna_f - rna_i + rna_i % 600 AS rna_f) FROM tpx)
+  QUALIFY row_number() OVER (ORDER BY rna_i DESC, rna_f DESC, _ord DESC) > 2),
+pairs AS (SELECT a.*, b.orientation AS bo, b.motif AS bm, b.direction AS bd, b.initial AS bi, b.final AS bf, b.rna_i - a.rna_f AS gap, greatest(b.initial - a.final, a.initial - b.final, 0) AS dgap FROM walk a JOIN walk b ON a.chrom = b.chrom
+  AND b.rna_i > a.rna_f AND b.rna_i - a.rna_f < 20 AND b.initial - a.final <= 20 AND a.initial - b.final <= 20 AND (a.motif <> b.motif OR a.direction <> b.direction)),
+kinds AS (SELECT CASE WHEN orientation = bo AND direction = bd THEN CASE
+    WHEN direction = 'P' AND ((orientation = '+' AND final < bi) OR (orientation = '-' AND bf < initial)) THEN CASE WHEN motif = 'Y' THEN 'C_YM' ELSE 'C_MY' END
+    WHEN direction = 'A' AND ((orientation = '+' AND bf < initial) OR (orientation = '-' AND final < bi)) THEN CASE WHEN motif = 'M' THEN 'C_MR' ELSE 'C_RM' END END
+  WHEN orientation = bo THEN CASE WHEN gap > dgap + bf - bi THEN 'SR_' || motif || bm END
+  WHEN direction <> bd THEN CASE WHEN direction = 'P' AND orientation = '+' AND final < bi THEN 'SD_PA_pos' WHEN direction = 'P' AND orientation = '-' AND bf < initial THEN 'SD_PA_neg'
+    WHEN direction = 'A' AND orientation = '+' AND bf < initial THEN 'SD_AP_pos' WHEN direction = 'A' AND orientation = '-' AND final < bi THEN 'SD_AP_neg' END END AS kind FROM pairs)"""
+
+
+@query(f", {TPX}, {WALK} SELECT k.kind, count(kinds.kind) AS n FROM (SELECT unnest({list(T.SWITCHES)!r}) AS kind) k LEFT JOIN kinds USING (kind) GROUP BY k.kind")
+def triplex_switch_kinds(s, d):
+    """Hits on an RNA of 600 bases, so that many lie near each other, with a direction."""
+    site = F.col("rna_i") % 600
+    rows = hits(s, d).withColumn("rna_f", F.col("rna_f") - F.col("rna_i") + site).withColumn("rna_i", site)
+    return T.switch_kinds(rows.withColumn("direction", F.when((F.col("rna_f") + F.col("_ord")) % 2 == 0, "P").otherwise("A")))
+
+
 @query(f", {TPX} SELECT _ord, rna_i AS initial, rna_f AS final, rna_i || '-' || rna_f || CASE WHEN orientation = '-' THEN '--' ELSE '' END AS label FROM tpx WHERE orientation = '-'")
 def triplex_rna_sites(s, d):
     return T.rna_sites(hits(s, d), "-")
