@@ -79,9 +79,9 @@ def between_sets(x: Column, q: float, fixed: Column | None = None, signed: bool
     return let(x, of)
 
 
-def masked_mean(x: Column, window: int = 5, rank: int = 5) -> Column:
-    """Centred means over window entries, the greatest entries, one fewer than rank (ties: earliest first), left out; null where none is left."""
-    order = F.slice(F.sort_array(F.transform(x, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, rank - 1)
+def masked_mean(x: Column, window: int = 5, rank: int = 4) -> Column:
+    """Centred means over window entries, the rank greatest entries (ties: earliest first) left out; null where none is left."""
+    order = F.slice(F.sort_array(F.transform(x, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, rank)
 
     def of(top: Column) -> Column:
         keep = F.transform(x, lambda v, i: F.when(~F.array_contains(F.transform(top, lambda t: t["i"]), i), v))

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..lineage import written
 from .islands import merge, with_islands
 from .joins import overlap_join, semi
+from .relations import with_runs
 from .stats import corrected
 
 
@@ -195,13 +196,23 @@ def split_by_fold(df: DataFrame, fold: float, gap: int) -> DataFrame:
     return with_islands(rows, gap, ("chrom", "kind")).groupBy("chrom", "kind", "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
-def combined(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(chrom, orientation, initial, final, p): overlapping peaks of both sets and one strand as their hull, with the p (-log10) of the product of
-    both p, under which the product of two uniform numbers falls; hulls that overlap are joined and keep the greatest p."""
-    met = overlap_join(a.select("chrom", "initial", "final", "orientation", "p"), b.select("chrom", "initial", "final", "orientation", "p"), on=F.col("orientation") == F.col("b_orientation"))
-    both = F.col("p") + F.col("b_p")
-    rows = met.select("chrom", "orientation", F.least("initial", "b_initial").alias("initial"), F.greatest("final", "b_final").alias("final"), (both - F.log10(1 + both * math.log(10))).alias("p"))
-    return with_islands(rows, 0, ("chrom", "orientation")).groupBy("chrom", "orientation", "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.max("p").alias("p")).drop("_island")
+def _rank_rule(x: Column, y: Column) -> Column:
+    """The smaller of two p after their ranks, as -log10: the smaller p doubled or the larger one, whichever is smaller."""
+    return F.greatest(F.greatest(x, y) - F.log10(F.lit(2.0)), F.least(x, y))
+
+
+def combined(a: DataFrame, b: DataFrame, stranded: bool = False) -> DataFrame:
+    """(chrom, orientation, initial, final, name, p): every pair of overlapping peaks (unique _ord, name, p as -log10), of one strand only if
+    stranded, at the place of the left one with the p of the rank rule. In order of place, pairs that follow one another on one strand and
+    overlap are joined to their hull: it keeps the first name, and its p and each next one are combined anew. The p of a hull are folded
+    in order, so they stand in one row, as numbers."""
+    site = ("_ord", "chrom", "initial", "final", "orientation", "name", "p")
+    met = overlap_join(a.select(*site), b.select(*site), on=F.col("orientation") == F.col("b_orientation") if stranded else None)
+    rows = met.select("chrom", "initial", "final", "orientation", F.concat_ws(":", "name", "b_name").alias("name"), F.struct("_ord", "b__ord").alias("_ord"), _rank_rule(F.col("p"), F.col("b_p")).alias("p"))
+    keys = ("chrom", "orientation", "_run")
+    joined = with_islands(with_runs(rows, "orientation"), 0, keys).groupBy(*keys, "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.array_sort(F.collect_list(F.struct("initial", "final", "_ord", "name", "p"))).alias("all"))
+    p = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0))["p"], lambda s, x: _rank_rule(s, x["p"]))
+    return joined.select("chrom", "orientation", "initial", "final", F.get("all", F.lit(0))["name"].alias("name"), p.alias("p"))
 
 
 def negative_binomial_parameters(mean: Column, alpha: Column) -> tuple[Column, Column]:

@@ -144,3 +144,12 @@ def extraction_factor(df: DataFrame, signal: str, control: str) -> DataFrame:
     gap = F.col("_y") / F.nullif(F.col("_ty"), F.lit(0)) - F.col("_x") / F.nullif(F.col("_tx"), F.lit(0))
     best = rows.agg(F.max_by(F.struct("cut", "_x", "_y"), F.struct(gap, -F.col("cut"))).alias("m"))
     return best.select("m.cut", (F.col("m._x") / F.nullif(F.col("m._y"), F.lit(0))).alias("factor"))
+
+
+def gene_factors(df: DataFrame, samples: list[str]) -> DataFrame:
+    """(sample, factor): df has a row for each gene with a column of counts for each sample. One is added to every count; a sample's factor
+    is the mean over genes of the gene's mean count over its count in the sample."""
+    counts = [F.coalesce(F.col(c), F.lit(0)) + 1 for c in samples]
+    mean = sum(counts[1:], counts[0]) / len(samples)
+    factors = df.agg(*(F.avg(mean / n).alias(c) for c, n in zip(samples, counts, strict=True)))
+    return factors.unpivot([], samples, "sample", "factor")

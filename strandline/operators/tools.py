@@ -68,6 +68,30 @@ def resolved(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.select("name").join(look, F.upper("name") == F.col("_a"), "left").select("name", "gene_id")
 
 
+def unmapped(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name): names that stand for no id."""
+    return resolved(names, aliases).filter("gene_id IS NULL").select("name")
+
+
+def annotated(annotation: DataFrame, feature: str, wanted: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Rows of a feature (gene, transcript, exon, ...). wanted: only those of genes that these names (column name) stand for by the aliases
+    (alias, gene_id); their name column becomes the wanted one, the first in order where several names mean one gene."""
+    rows = annotation.filter(F.col("feature") == feature)
+    if wanted is None:
+        return rows
+    ids = resolved(wanted, aliases).filter("gene_id IS NOT NULL").groupBy("gene_id").agg(F.min("name").alias("_wanted"))
+    return rows.join(ids, "gene_id").withColumn("name", F.col("_wanted")).drop("_wanted").select(annotation.columns)
+
+
+def annotation_promoters(annotation: DataFrame, length: int = 1000, tss: int = 0, feature: str = "gene", wanted: DataFrame | None = None, aliases: DataFrame | None = None, by_id: bool = False) -> DataFrame:
+    """annotated() rows as promoters: length positions before the first base of each along its strand, that base, and tss more inside.
+    Places may begin below 0, as the annotation's arithmetic gives them. by_id: named by gene_id where no names are wanted."""
+    plus = F.coalesce(F.col("orientation") == "+", F.lit(False))
+    low, high = F.col("initial"), F.col("final")
+    rows = annotated(annotation, feature, wanted, aliases).withColumns({"initial": F.when(plus, low - length).otherwise(high - 1 - tss), "final": F.when(plus, low + 1 + tss).otherwise(high - tss + length)})
+    return rows.withColumn("name", F.col("gene_id").cast("string")) if by_id and wanted is None else rows
+
+
 def _any(key: str, test, value: str) -> Column:
     return F.exists(key, lambda c: test(c, value))
 

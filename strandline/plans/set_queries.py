@@ -122,12 +122,14 @@ def split_peaks(s, d):
     return peaks.split_by_fold(made_peaks(s, d), 2.0, 500)
 
 
-@query(f""", {PEAKS}, l AS (SELECT *, -log10(p) AS lp FROM peaks), m AS (SELECT a._ord, a.chrom, a.orientation, least(a.initial, b.initial) AS initial, greatest(a.final, b.final) AS final, a.lp + b.lp - log10(1 + (a.lp + b.lp) * ln(10)) AS lp
-FROM l a JOIN l b ON {OV} AND a.orientation = b.orientation AND a._ord % 2 = 0 AND b._ord % 2 = 1),
-i AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, orientation ORDER BY initial, final, _ord ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN pm IS NULL OR initial >= pm THEN 1 ELSE 0 END AS nw FROM (SELECT *, max(final) OVER (PARTITION BY chrom, orientation ORDER BY initial, final, _ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM m)))
-SELECT chrom, orientation, min(initial) AS initial, max(final) AS final, round(max(lp), 5) AS p FROM i GROUP BY chrom, orientation, g""")
+@query(f""", {PEAKS}, l AS (SELECT peaks._ord, peaks.chrom, peaks.initial, peaks.final, peaks.orientation, reg_a.name, -log10(p) AS lp FROM peaks JOIN reg_a USING (_ord)),
+m AS (SELECT a._ord, b._ord AS o2, a.chrom, a.orientation, a.initial, a.final, a.name || ':' || b.name AS name, greatest(greatest(a.lp, b.lp) - log10(2), least(a.lp, b.lp)) AS lp FROM l a JOIN l b ON {OV} AND a._ord % 2 = 0 AND b._ord % 2 = 1),
+c AS (SELECT *, sum(ch) OVER (PARTITION BY chrom ORDER BY initial, final, _ord, o2) AS run FROM (SELECT *, CASE WHEN lag(orientation) OVER (PARTITION BY chrom ORDER BY initial, final, _ord, o2) = orientation THEN 0 ELSE 1 END AS ch FROM m)),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, run ORDER BY initial, final, _ord, o2) AS g FROM (SELECT *, CASE WHEN pm IS NULL OR initial >= pm THEN 1 ELSE 0 END AS nw FROM (SELECT *, max(final) OVER (PARTITION BY chrom, run ORDER BY initial, final, _ord, o2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM c)))
+SELECT chrom, any_value(orientation) AS orientation, min(initial) AS initial, max(final) AS final, first(name ORDER BY initial, final, _ord, o2) AS name,
+  round(list_reduce(list(lp ORDER BY initial, final, _ord, o2), lambda a, x: greatest(greatest(a, x) - log10(2), least(a, x))), 5) AS p FROM i GROUP BY chrom, run, g""")
 def combined_peaks(s, d):
-    rows = made_peaks(s, d).withColumn("p", -F.log10("p"))
+    rows = made_peaks(s, d).withColumn("p", -F.log10("p")).join(V.reg_a(s, d).select("_ord", "name"), "_ord")
     return peaks.combined(rows.filter("_ord % 2 = 0"), rows.filter("_ord % 2 = 1")).withColumn("p", F.round("p", 5))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import motif
 from ..functions import sequence as seq
-from ..operators import placement
+from ..operators import joins, placement
 from ..operators import signal as S
 from ..operators import significance as T
 from ..operators import stats
 from . import views as V
-from .catalog import OV, isl, query
+from .catalog import COLS, OV, isl, query
 
 
 def bins(df):
@@ -298,6 +298,14 @@ def random_places_apart(s, d):
     return placement.place_apart(V.genes(s, d), V.sizes(s, d), V.reg_b(s, d))
 
 
+@query(f""", c AS (SELECT g._ord, count(b._ord) FILTER (b.name LIKE '1%') AS x, count(b._ord) FILTER (b.name LIKE '2%') AS y, count(b._ord) FILTER (b.orientation = '-') AS z FROM genes g LEFT JOIN reg_b b ON g.chrom = b.chrom AND g.initial < b.final AND b.initial < g.final GROUP BY g._ord),
+f AS (SELECT x + 1 AS x, y + 1 AS y, z + 1 AS z, (x + y + z + 3) / 3 AS m FROM c) SELECT * FROM (SELECT 'x' AS sample, round(avg(m / x), 6) AS factor FROM f UNION ALL SELECT 'y', round(avg(m / y), 6) FROM f UNION ALL SELECT 'z', round(avg(m / z), 6) FROM f)""")
+def gene_level_factors(s, d):
+    met = joins.overlap_join(V.genes(s, d).select("_ord", *COLS), V.reg_b(s, d).select(*COLS, "name", "orientation"))
+    n = met.groupBy("_ord").agg(F.count_if(F.col("b_name").startswith("1")).alias("x"), F.count_if(F.col("b_name").startswith("2")).alias("y"), F.count_if(F.col("b_orientation") == "-").alias("z"))
+    return S.gene_factors(V.genes(s, d).select("_ord").join(n, "_ord", "left"), ["x", "y", "z"]).withColumn("factor", F.round("factor", 6))
+
+
 @query("SELECT orientation, count(*) AS n, count(DISTINCT name) AS names, round(avg(final - initial), 6) AS mean_length FROM reg_a GROUP BY orientation")
 def read_totals(s, d):
     size = F.col("final") - F.col("initial")

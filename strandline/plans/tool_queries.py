@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tools
 from . import views as V
-from .catalog import OV, isl, query
+from .catalog import COLS, OV, isl, query
 
 SIZE = 64
 
@@ -46,6 +46,43 @@ def alias_lookup(s, d):
     return tools.resolved(names, aliases)
 
 
+ANNOTATION = """ann AS (SELECT 'gene' AS feature, _ord AS gene_id, name, chrom, initial, final, orientation FROM genes
+  UNION ALL SELECT 'exon', _ord // 10000000000 % (SELECT count(*) FROM part), name, chrom, initial, final, orientation FROM reads),
+alias AS (SELECT upper(p_name) AS a, p_partkey AS gene_id FROM part UNION SELECT 'G' || p_partkey, p_partkey FROM part),
+wanted AS (SELECT lower(p_name) AS name FROM part WHERE p_size > 20 UNION ALL SELECT s_name FROM supplier UNION ALL SELECT 'g' || c_custkey FROM customer),
+ids AS (SELECT gene_id, min(name) AS name FROM wanted JOIN alias ON upper(name) = a GROUP BY gene_id)"""
+
+
+def annotation(s, d):
+    """Parts as genes, order lines as exons of them; names and aliases from parts, suppliers and customers."""
+    parts = V._read(s, d, "part")
+    n = parts.agg(F.count(F.lit(1)).alias("n"))
+    site = ("name", *COLS, "orientation")
+    genes = V.genes(s, d).select(F.lit("gene").alias("feature"), F.col("_ord").alias("gene_id"), *site)
+    exons = V.reads(s, d).crossJoin(n).select(F.lit("exon").alias("feature"), (F.floor(F.col("_ord") / (10 * V.LINE)) % F.col("n")).alias("gene_id"), *site)  # one row
+    aliases = parts.select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("gene_id")).unionByName(parts.select(F.concat(F.lit("G"), "p_partkey").alias("alias"), F.col("p_partkey").alias("gene_id")))
+    wanted = parts.filter("p_size > 20").select(F.lower("p_name").alias("name")).unionByName(V._read(s, d, "supplier").select(F.col("s_name").alias("name"))).unionByName(V._read(s, d, "customer").select(F.concat(F.lit("g"), "c_custkey").alias("name")))
+    return genes.unionByName(exons), wanted, aliases
+
+
+@query(f""", {ANNOTATION} SELECT gene_id, ids.name, chrom, CASE WHEN orientation = '+' THEN initial - 1000 ELSE final - 1 - 50 END AS initial, CASE WHEN orientation = '+' THEN initial + 1 + 50 ELSE final - 50 + 1000 END AS final
+FROM ann JOIN ids USING (gene_id) WHERE feature = 'gene'""")
+def promoters_of_gene_set(s, d):
+    rows, wanted, aliases = annotation(s, d)
+    return tools.annotation_promoters(rows, 1000, 50, "gene", wanted, aliases).select("gene_id", "name", *COLS)
+
+
+@query(f", {ANNOTATION} SELECT gene_id, ids.name, chrom, initial, final, orientation FROM ann JOIN ids USING (gene_id) WHERE feature = 'exon'")
+def exons_of_gene_set(s, d):
+    return tools.annotated(annotation(s, d)[0], "exon", *annotation(s, d)[1:]).select("gene_id", "name", *COLS, "orientation")
+
+
+@query(f", {ANNOTATION} SELECT name FROM wanted WHERE upper(name) NOT IN (SELECT a FROM alias)")
+def unmapped_names(s, d):
+    _, wanted, aliases = annotation(s, d)
+    return tools.unmapped(wanted, aliases)
+
+
 @query("SELECT p_partkey FROM part WHERE (p_type ILIKE '%promo%' OR p_type ILIKE '%MALL%') AND p_brand ILIKE '%1%'")
 def metadata_filter(s, d):
     rows = tools.matches(V._read(s, d, "part"), {"p_type": ["promo", "MALL"], "p_brand": ["1"]}, "inexact")
