@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..lineage import written
 from .islands import merge, with_islands
 from .joins import overlap_join, semi
+from .placement import hashed
 from .relations import with_runs
 from .stats import corrected
 
@@ -126,8 +127,8 @@ def resplit(a: DataFrame, b: DataFrame, repeats: int, size: int, seed: int = 1)
     """Both sets (unique _ord in each) thrown together and split anew, size rows to the left, in each repeat; chrom becomes
     rep:chrom. The split is by hash rank, so a seed gives the same one on any partitioning."""
     rows = a.select("chrom", "initial", "final", F.lit(0).alias("_set"), "_ord").unionByName(b.select("chrom", "initial", "final", F.lit(1).alias("_set"), "_ord"))
-    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_h", F.xxhash64("rep", "_set", "_ord", F.lit(seed)))
-    parts = written(ranked(each, ["rep"], ["_h", "_set", "_ord"], F.shiftright("_h", 52)).withColumn("chrom", F.concat_ws(":", "rep", "chrom")))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_h", hashed(*(F.col(c).cast("string") for c in ("rep", "_set", "_ord")), F.lit(str(seed))))
+    parts = written(ranked(each, ["rep"], ["_h", "_set", "_ord"], F.shiftright("_h", 36)).withColumn("chrom", F.concat_ws(":", "rep", "chrom")))
     pick = lambda w: parts.filter(w).select("rep", "chrom", "initial", "final")
     return pick(F.col("_rank") <= size), pick(F.col("_rank") > size)
 

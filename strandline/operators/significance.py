@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from .islands import merge
 from .joins import intersect, overlap_join
+from .placement import hashed
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -100,7 +101,7 @@ def placed(df: DataFrame, repeats: int, length: int, seed: int = 1) -> DataFrame
     rep:chrom, so that replicates never meet in joins."""
     size = F.col("final") - F.col("initial")
     rep = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    start = F.pmod(F.xxhash64("rep", "_ord", F.lit(seed)), F.greatest(F.lit(length) - size, F.lit(1)))
+    start = hashed(F.col("rep").cast("string"), F.col("_ord").cast("string"), F.lit(str(seed))) % F.greatest(F.lit(length) - size, F.lit(1))
     return rep.withColumn("_s", size).withColumns({"chrom": F.concat_ws(":", "rep", "chrom"), "initial": start, "final": start + F.col("_s")}).drop("_s")
 
 

@@ -104,10 +104,23 @@ def footprint_tags(s, d):
     return peaks.footprints(V.reg_a(s, d), V.genes(s, d), V.reads(s, d), 80, 20, 100)
 
 
-@query()
+SPLIT = f"""al AS (SELECT 0 AS s, _ord, chrom, initial, final FROM reg_a UNION ALL SELECT 1, _ord, chrom, initial, final FROM reg_b),
+rk AS (SELECT rep, s, _ord, chrom, initial, final, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || ':' || s || ':' || _ord || ':1')[1:12], s, _ord) AS k FROM al, range(1, 4) r(rep)),
+le AS (SELECT rep || ':' || chrom AS chrom, initial, final, _ord FROM rk WHERE k <= (SELECT count(*) FROM reg_a) UNION ALL SELECT '0:' || chrom, initial, final, _ord FROM reg_a),
+ri AS (SELECT rep || ':' || chrom AS chrom, initial, final, _ord FROM rk WHERE k > (SELECT count(*) FROM reg_a) UNION ALL SELECT '0:' || chrom, initial, final, _ord FROM reg_b),
+ml AS {isl('le')}, mr AS {isl('ri')},
+kk AS (SELECT split_part(chrom, ':', 1) AS rep, 'a' AS k FROM ml a WHERE NOT EXISTS (SELECT 1 FROM mr b WHERE {OV}) UNION ALL SELECT split_part(chrom, ':', 1), 'b' FROM mr a WHERE NOT EXISTS (SELECT 1 FROM ml b WHERE {OV})
+  UNION ALL SELECT split_part(a.chrom, ':', 1), 'c' FROM ml a JOIN mr b ON {OV}),
+ob AS (SELECT count(*) FILTER (k = 'a') AS a, count(*) FILTER (k = 'b') AS b, count(*) FILTER (k = 'c') AS c FROM kk WHERE rep = '0'),
+me AS (SELECT count(*) FILTER (k = 'a') / 3 AS a, count(*) FILTER (k = 'b') / 3 AS b, count(*) FILTER (k = 'c') / 3 AS c FROM kk WHERE rep <> '0'),
+tt AS (SELECT ob.a AS oa, ob.b AS ob, ob.c AS oc, me.a AS ea, me.b AS eb, me.c AS ec, (ob.a + ob.b + ob.c)::DOUBLE AS o, (me.a + me.b + me.c)::DOUBLE AS e FROM ob, me),
+ch AS (SELECT *, list_sum([pow(p.x - p.t * (p.x + p.y) / (o + e), 2) / (p.t * (p.x + p.y) / (o + e)) for p in [{{'x': oa, 'y': ea, 't': o}}, {{'x': ea, 'y': oa, 't': e}}, {{'x': ob, 'y': eb, 't': o}}, {{'x': eb, 'y': ob, 't': e}}, {{'x': oc, 'y': ec, 't': o}}, {{'x': ec, 'y': oc, 't': e}}]]) AS chi FROM tt)"""
+
+
+@query(f""", {SPLIT} SELECT oa AS a_only, ob AS b_only, oc AS "both", round(ec, 6) AS mean_both, round(chi, 4) AS chi2, round(exp(-chi / 2), 6) AS p FROM ch""")
 def resplit_test(s, d):
     a, b = V.reg_a(s, d), V.reg_b(s, d)
-    return peaks.resplit_test(a, b, 3, a.count())
+    return peaks.resplit_test(a, b, 3, a.count()).withColumns({"mean_both": F.round("mean_both", 6), "chi2": F.round("chi2", 4), "p": F.round("p", 6)})
 
 
 def activity(s, d):

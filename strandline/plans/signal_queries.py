@@ -236,7 +236,13 @@ def projection_counts(s, d):
     return T.projection_test(V.reg_a(s, d), V.reg_b(s, d), 22 * 1200000).select("k", "n", F.round("p", 9).alias("p"))
 
 
-@query()
+PLACED = f"""st AS (SELECT rep, _ord, chrom, final - initial AS size, ('0x' || substr(md5(rep || ':' || _ord || ':1'), 1, 12))::BIGINT % greatest(1200000 - (final - initial), 1) AS at_ FROM reg_a, range(1, 11) r(rep)),
+pl AS (SELECT _ord, rep || ':' || chrom AS chrom, at_ AS initial, at_ + size AS final FROM st UNION ALL SELECT _ord, '0:' || chrom, initial, final FROM reg_a), mp AS {isl('pl')}, mb AS {isl('reg_b')},
+j AS (SELECT rep, coalesce(cm, 0) / (a + (SELECT sum(final - initial) FROM mb) - coalesce(cm, 0)) AS j FROM (SELECT split_part(chrom, ':', 1) AS rep, sum(final - initial) AS a FROM mp GROUP BY 1)
+  LEFT JOIN (SELECT split_part(a.chrom, ':', 1) AS rep, sum(least(a.final, b.final) - greatest(a.initial, b.initial)) AS cm FROM mp a JOIN mb b ON split_part(a.chrom, ':', 2) = b.chrom AND a.initial < b.final AND b.initial < a.final GROUP BY 1) USING (rep))"""
+
+
+@query(f", {PLACED} SELECT any_value(o.j) AS observed, count(*) AS repeats, count(*) FILTER (j.j > o.j) AS n_larger, count(*) FILTER (j.j > o.j) / 10 AS p_value FROM j, (SELECT j FROM j WHERE rep = '0') o WHERE rep <> '0'")
 def jaccard_test(s, d):
     return T.jaccard_test(V.reg_a(s, d), V.reg_b(s, d), 10, 1200000)
 
