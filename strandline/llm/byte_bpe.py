@@ -26,14 +26,16 @@ class Unsafe(Exception):
 
 
 class Memo(dict):
-    """make(part) for parts between single spaces; raises Unsafe for a part that is empty or has white space at an end."""
+    """make(part) for parts between single spaces; raises Unsafe for a part that is empty or has white space at an end, but for
+    one sign lead in front."""
 
-    def __init__(self, make: Callable, most: int = MOST):
+    def __init__(self, make: Callable, most: int = MOST, lead: str | None = None):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.lead = make, most, lead
 
     def __missing__(self, part: str):
-        if not part or part[0].isspace() or part[-1].isspace():
+        bare = part[1:] if part[:1] == self.lead else part
+        if not bare or bare[0].isspace() or bare[-1].isspace():
             raise Unsafe
         got = self.make(part)
         if len(part) <= LONGEST:

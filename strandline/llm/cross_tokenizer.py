@@ -5,7 +5,8 @@ tokens that its range overlaps. Between two A tokens lies a group boundary if no
 the one isn't the first of the other. All pairs of an A and a B token of a group are links.
 
 What stands between single spaces encodes alone with both tokenizers (see byte_bpe; in the B model spaces stand only at the front of a
-piece), so a memo keeps the alignment of such parts; other texts are aligned whole. A part or text whose joined A or B bytes differ from
+piece), and so does what stands between single line feeds, which are tokens of their own in both. So a memo keeps the alignment of such
+parts; other texts are aligned whole. A part or text whose joined A or B bytes differ from
 its own has no tokens, and then its document has none.
 
 Documents are gathered into chunks of bounded size where they are read. A chunk keeps its distinct id pairs once, with how many of its
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +41,17 @@ CHUNK = 1_000_000
 BITS = 32
 
 
-def boundaries(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
     """For tokens that end at these bytes: places in A and B at which groups end (numbers of tokens up to there)."""
-    b_starts = np.concatenate([[0], b_ends[:-1]])
-    a_starts = np.concatenate([[0], a_ends[:-1]])
-    first = np.searchsorted(b_ends, a_starts, side="right")  # the first B token that ends after the A token starts
-    stop = np.searchsorted(b_starts, a_ends, side="left")  # the first that starts at its end or later
-    free = np.flatnonzero(np.concatenate([stop[:-1] <= first[1:], [True]]))
-    return free + 1, stop[free]
+    b_starts, start, out, last = [0, *b_ends[:-1]], 0, [], 0
+    for i, end in enumerate(a_ends):
+        first = bisect_right(b_ends, start, max(last - 1, 0))  # the first B token that ends after the A token starts
+        if i and last <= first:  # no B token spans the gap before it
+            out.append((i, last))
+        last = bisect_left(b_starts, end, first)  # the first that starts at its end or later
+        start = end
+    out.append((len(a_ends), len(b_ends)))
+    return out
 
 
 class Aligner:
@@ -57,35 +63,61 @@ class Aligner:
         self.a = byte_bpe.encoder(a_file, a_ranks, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_model)
         self.a_bytes = self.a.token_bytes()
+        self.ready: dict[str, list[int]] = {}
         n = self.b.vocab_size()
+        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(n)))
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         special = {i for i in range(n) if self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i)}
         self.b_bytes = [None if i in special else bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         apart = all("▁" not in p.lstrip("▁") and not (p.startswith("▁▁") and p.strip("▁")) for p in pieces)
-        self.parts = byte_bpe.Memo(self.aligned) if apart else None
+        self.parts = byte_bpe.Memo(self.aligned, lead="\n") if apart and not any("\n" in p for p in pieces) else None
 
     def aligned(self, text: str) -> tuple | None:
-        """Alignment of a text with a space before it; None if the tokens don't have its bytes."""
-        whole = (" " + text).encode()
-        a, b = self.a.ids(" " + text), self.b.encode(text)
-        a_tokens, b_tokens = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if None in b_tokens or b"".join(a_tokens) != whole or b"".join(b_tokens) != whole:
+        """Alignment of a text with a space before it, or of a part that begins with a line feed as it is; None if the tokens don't have
+        its bytes."""
+        if text[:1] == "\n" and self.parts is not None:
+            b = self.ready.get(text) or self.b.encode(text)
+            if self.b_bytes[b[0]] != b" ":  # the space that encoding puts before a text
+                raise byte_bpe.Unsafe
+            return self._aligned(text, b[1:])
+        return self._aligned(" " + text, self.ready.get(text) or self.b.encode(text))
+
+    def _aligned(self, text: str, b: list[int]) -> tuple | None:
+        a, whole, a_tokens, b_tokens = self.a.ids(text), text.encode(), self.a_bytes, self.b_bytes
+        a_own, b_own = [a_tokens[i] for i in a], [b_tokens[i] for i in b]
+        if None in b_own or b"".join(a_own) != whole or b"".join(b_own) != whole:
             return None
-        if len(a) == 1 or len(b) == 1:  # one group, as most words are
-            ends = [(len(a), len(b))]
+        n_a, n_b = len(a), len(b)
+        if n_a == 1 or n_b == 1:
+            ends = [(n_a, n_b)]
         else:
-            a_stops, b_stops = boundaries(np.cumsum(list(map(len, a_tokens))), np.cumsum(list(map(len, b_tokens))))
-            ends = list(zip(a_stops.tolist(), b_stops.tolist(), strict=True))
-        shown, pairs, i, j = [], {}, 0, 0
+            ends = boundaries(list(accumulate(map(len, a_own))), list(accumulate(map(len, b_own))))
+        shown, pairs, links, i, j = [], {}, 0, 0, 0
+        a_text, b_text = self.a_text, self.b_text
         for x, y in ends:
-            shown.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            b_own = Counter(b[j:y]).items() if y - j > 1 else ((b[j], 1),)
-            for p, m in Counter(a[i:x]).items() if x - i > 1 else ((a[i], 1),):
-                for q, k in b_own:
-                    key = p << BITS | q
-                    pairs[key] = pairs.get(key, 0) + m * k
+            if x - i == 1 and y - j == 1:
+                p, q = a[i], b[j]
+                shown.append(a_text[p] + "|" + b_text[q])
+                links += 1
+                key = p << BITS | q
+                pairs[key] = pairs.get(key, 0) + 1
+                i, j = x, y
+                continue
+            shown.append(",".join([a_text[p] for p in a[i:x]]) + "|" + ",".join([b_text[q] for q in b[j:y]]))
+            links += (x - i) * (y - j)
+            if x - i == 1 or y - j == 1:
+                for p in a[i:x]:
+                    for q in b[j:y]:
+                        key = p << BITS | q
+                        pairs[key] = pairs.get(key, 0) + 1
+            else:
+                b_count = Counter(b[j:y]).items()
+                for p, m in Counter(a[i:x]).items():
+                    for q, k in b_count:
+                        key = p << BITS | q
+                        pairs[key] = pairs.get(key, 0) + m * k
             i, j = x, y
-        return len(a), len(b), len(ends), ";".join(shown).encode(), sum(pairs.values()), array("q", pairs.keys()).tobytes(), array("q", pairs.values()).tobytes()
+        return n_a, n_b, len(ends), ";".join(shown).encode(), links, array("q", pairs).tobytes(), array("q", pairs.values()).tobytes()
 
     def document(self, text: str) -> tuple | None:
         """(A ids, B ids, groups, digest, links, distinct pairs, links of each), or None without tokens."""
@@ -94,9 +126,12 @@ class Aligner:
         try:
             if self.parts is None:
                 raise byte_bpe.Unsafe
-            parts = list(map(self.parts.__getitem__, text.split(" ")))
+            words = text.replace("\n", " \n").split(" ")
+            new = [w for w in dict.fromkeys(words) if w not in self.parts]
+            self.ready = dict(zip(new, self.b.encode(new, num_threads=1), strict=True)) if new else {}  # one call for all new parts
+            parts = list(map(self.parts.__getitem__, words))
         except byte_bpe.Unsafe:
-            parts = [self.aligned(text)]
+            parts = [self._aligned(" " + text, self.b.encode(text))]
         if None in parts:
             return None
         n_a, n_b, groups, shown, links, pairs, times = zip(*parts, strict=True)
