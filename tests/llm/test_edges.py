@@ -1,15 +1,18 @@
 """Extra columns with clashing names, null and repeated ids, ties and very long texts, for operators and pipeline stages."""
 
+import public_tokenizers as files
 import pytest
 
 import corpus_pipeline
-from strandline.llm import best_fit_packing, exact_dedup, html_extract, line_dedup, minhash_dedup, pitman_yor, quality_rules, queries, secret_scan, sentencepiece_bpe, store, url_filter
+from strandline.llm import best_fit_packing, cross_tokenizer, cutting_stock, exact_dedup, html_extract, line_dedup, minhash_dedup, periodic_runs, pitman_yor, quality_rules, queries, secret_scan, sentencepiece_bpe, store, url_filter
 
 #: Names that the operators use inside.
 CLASH = "id key n k tid fp lead comp cell block run own host path row m _m base_failed kept _kept _removed _found match_k kept_id shard cluster bytes _bytes low high text_ w lang_ a b sweep rule _rule".split()
 OPERATORS = {
     "line": line_dedup.line_dedup, "piece": lambda d: sentencepiece_bpe.encode_summary(d, queries.model_path()), "secret": secret_scan.secret_scan, "near": minhash_dedup.near_duplicates,
-    "quality": quality_rules.quality, "exact": exact_dedup.exact_dedup, "score": pitman_yor.scores,
+    "quality": quality_rules.quality, "exact": exact_dedup.exact_dedup, "score": pitman_yor.scores, "runs": periodic_runs.run_summary,
+    "align": lambda d: cross_tokenizer.cross_tokenizer(d, files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), queries.model_path()),
+    "stock": lambda d: cutting_stock.pack_tokens(d, files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken")),
     "pack": lambda d: best_fit_packing.pack_documents(d, best_fit_packing.word_count("text"), best_fit_packing.text_cluster("text")),
 }
 PAGES = {"url": url_filter.url_filter, "html": html_extract.extract}
