@@ -85,3 +85,26 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     many = X.chunks
     monkeypatch.setattr(X, "chunks", lambda *a: many(*a, most=5000))
     assert sorted(map(tuple, X.cross_tokenizer(docs, *FILES).collect())) == plain
+
+
+def test_new_parts_are_encoded_together(monkeypatch):
+    own, calls = X.Aligner(*FILES), []
+    ids = own.a.ids
+    monkeypatch.setattr(own.a, "ids", lambda text: calls.append(text) or ids(text))
+    texts = [" ".join(f"wort{i * j}x{j},\nzeile" for j in range(40)) for i in range(50)]
+    facts, digests, *_ = own.chunk(texts)
+    assert len(calls) == 1 and own.parts.n > 1000
+    groups = [split(Plain(), t) for t in texts[:5]]
+    assert [tuple(f) for f in facts[:5]] == [(sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(len(a) * len(b) for a, b in g)) for g in groups]
+    assert digests[:5] == [hashlib.sha256(";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g).encode()).hexdigest() for g in groups]
+
+
+def test_wide_groups_and_an_emptied_memo_change_nothing(monkeypatch):
+    texts = ["日本語の文書" * 20, "a b\nc", "<unk> x", "y" * 900, " two  spaces ", "ﬁ", "", "a b\nc d'été"]
+    plain = X.Aligner(*FILES).chunk(texts)
+    monkeypatch.setattr(X, "WIDE", 0)
+    monkeypatch.setattr(X, "MOST", 1)
+    own = X.Aligner(*FILES)
+    for _ in range(2):
+        for a, b in zip(plain, own.chunk(texts), strict=True):
+            assert np.array_equal(a, b)
