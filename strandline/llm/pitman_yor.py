@@ -17,7 +17,9 @@ spread over the columns and a frequent context over the rows, whatever their sha
 once has one table for good, so a sweep works on the others alone: cells send the tables of each context and word to shards by key,
 which add them up, seat the parent's customers and send the totals back. At the end all keys get their totals for each sample,
 and each cell answers a block with one probability for each of its pairs. Only sums over all words reach the driver.
-Every step's result is a table in the shared folder, deleted when nothing needs it any more.
+Every step's result is a table in the shared folder, deleted when nothing needs it any more. Cells are built and answer in turns, and
+blocks are scored in turns, so that shuffle files and what they were made from lie side by side for a part of the data only. At the
+end just the scores are left.
 
 Null and empty texts have the end token alone. A null doc_id counts as the empty text for the split, so it is held out.
 """
@@ -47,7 +49,7 @@ BURN, SAMPLES = 1, 3
 EXACT = 128
 #: Additive smoothing of the base score, a fixed value.
 ADD = 0.1
-#: Characters of a block, and for each cell of the grid; cells are built in so many turns, to keep what lies on disk at once small.
+#: Characters of a block, and for each cell of the grid; cells and blocks take so many turns, to keep what lies on disk at once small.
 BLOCK_CHARS, CELL_CHARS, TURNS = 8_000_000, 16_000_000, 4
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 #: The context at the start of a text; it sorts after every word.
@@ -99,6 +101,11 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], TYPES[c.split()[1]]) for c in ddl.split(", ")])
 
 
+def _turn(block: int) -> int:
+    """The turn in which a block is scored: a task's blocks, and the first blocks of all tasks, are dealt over the turns."""
+    return ((block >> 32) + block) % TURNS
+
+
 BLOCKS = "block bigint, cell bigint, words binary, fan binary, contexts binary, at binary, counts binary, doc_ids array<bigint>, train array<boolean>, lengths binary, places binary, kind string"
 
 
@@ -128,7 +135,7 @@ def _block(block: int, ids: list, train: list, texts: list[bytes], grid: Grid, h
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     w, u, cell, count = w[order], u[order], cell[order], count[order]
-    rows = [{"kind": "docs", "block": block, "doc_ids": ids, "train": train, "lengths": squeeze(n), "places": squeeze(place[inverse])}]
+    rows = [{"kind": f"docs{_turn(block)}", "block": block, "doc_ids": ids, "train": train, "lengths": squeeze(n), "places": squeeze(place[inverse])}]
     for a, b in edges(cell):
         mine, fan = np.unique(w[a:b], return_counts=True)
         others, where = np.unique(u[a:b], return_inverse=True)
@@ -367,7 +374,7 @@ def _last(models: dict[int, Model]):
     return run
 
 
-ANSWERS = "answer_block bigint, answer_cell bigint, logs binary, known binary"
+ANSWERS = "answer_block bigint, answer_cell bigint, logs binary, known binary, kind string"
 
 
 def _answer(models: dict[int, Model]):
@@ -388,7 +395,7 @@ def _answer(models: dict[int, Model]):
             total = total + (count - DISCOUNT * seats + (STRENGTH + DISCOUNT * _joined(mine, 0, "t")[context]) * parent[word]) / (STRENGTH + n)
         logs, known = np.log10(total / len(models)).astype(np.float32), _joined(customers, 1, "n")[word]
         places = [np.cumsum(spread(x)) for x in asked["places"].to_pylist()]
-        rows = [{"answer_block": b, "answer_cell": key[0].as_py(), "logs": logs[p].tobytes(), "known": squeeze(known[p])} for b, p in zip(asked["block"].to_pylist(), places, strict=True)]
+        rows = [{"answer_block": b, "answer_cell": key[0].as_py(), "logs": logs[p].tobytes(), "known": squeeze(known[p]), "kind": f"docs{_turn(b)}"} for b, p in zip(asked["block"].to_pylist(), places, strict=True)]
         return pa.Table.from_pylist(rows, schema=_schema(ANSWERS))
 
     return run
@@ -437,7 +444,7 @@ def scores(docs: DataFrame) -> DataFrame:
     c, t, n, known, c_rest, t_rest = _sums(first, "c_all", "t_all", "n_all", "known", "c_rest", "t_rest")
     model = Model(c, t, n, known)
     fixed = first.select("cell", "side", "shard", "once", "t", "root", F.lit(0).alias("sweep"))
-    last, sums, seats, models = fixed, [], [], {}
+    last, sums, seats, models, kept, done = fixed, [], [], {}, [], [first]
     for sweep in range(1, BURN + SAMPLES + 1):
         swept = shelf.put(active.groupBy("cell").cogroup(last.groupBy("cell")).applyInArrow(_sweep(model, sweep, grid), SWEPT), by="kind")
         moved = swept.filter("kind = 'sums'").drop("kind")
@@ -446,20 +453,46 @@ def scores(docs: DataFrame) -> DataFrame:
         model = Model(c + c_rest, t + t_rest, n, known)
         mine = swept.filter("kind = 'tables'").select("cell", "side", "shard", "t", F.lit(sweep).alias("sweep"))
         last = fixed.unionByName(totals.select("cell", "side", "shard", "t", "root", F.lit(sweep).alias("sweep")), allowMissingColumns=True).unionByName(mine, allowMissingColumns=True)
-        if sweep > BURN:
+        done.append(totals)
+        kept.append(swept)
+        if sweep <= BURN:
+            shelf.drop(swept, "kind=sums")
+        else:
             sums.append(moved.select("side", "shard", "cell", "keys", "t", F.lit(sweep).alias("sweep")))
             seats.append(mine)
             models[sweep] = model
         shelf.clean()
+    for x in done:
+        shelf.drop(x)
+    for x in turns:
+        shelf.drop(x, "kind=active")
     final = shelf.put(keys.groupBy("side", "shard").cogroup(reduce(DataFrame.union, sums).groupBy("side", "shard")).applyInArrow(_last(models), LAST))
     for r in final.groupBy("sweep").agg(F.sum("c_all").alias("c"), F.sum("t_all").alias("t")).filter("sweep > 0").collect():
         models[r.sweep] = Model(r.c or 0, r.t or 0, n, known)
-    facts = final.select("cell", "side", "shard", "n", "t", "root", "sweep")
-    for x in (built("state", "cell", "fan", "at", "counts").withColumns({"side": F.lit(-2), "sweep": F.lit(-1)}), *seats):
-        facts = facts.unionByName(x, allowMissingColumns=True)
-    answers = shelf.put(facts.groupBy("cell").cogroup(built("asked", "cell", "block", "places").groupBy("cell")).applyInArrow(_answer(models), ANSWERS))
-    for x in (*turns, final):
-        shelf.drop(x)
+    for x in turns:
+        shelf.drop(x, "kind=keys")
+    for x in kept:
+        shelf.drop(x, "kind=sums")
     shelf.clean()
-    texts = blocks.filter("kind = 'docs'").select("block", "doc_ids", "train", "lengths", "places")
-    return texts.groupBy("block").cogroup(answers.groupBy("answer_block")).applyInArrow(_score(model), SCORES)
+    answers = []
+    for turn, table in enumerate(turns):
+        facts = table.filter("kind = 'state'").select("cell", "fan", "at", "counts", F.lit(-2).alias("side"), F.lit(-1).alias("sweep"))
+        for x in (final.select("cell", "side", "shard", "n", "t", "root", "sweep"), *seats):
+            facts = facts.unionByName(x.filter(F.col("cell") % TURNS == turn), allowMissingColumns=True)
+        asked = table.filter("kind = 'asked'").select("cell", "block", "places")
+        answers.append(shelf.put(facts.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_answer(models), ANSWERS), by="kind"))
+        shelf.drop(table)
+        shelf.clean()
+    for x in (final, *kept):
+        shelf.drop(x)
+    out = []
+    for turn in range(TURNS):
+        mine = F.col("kind") == f"docs{turn}"
+        texts, found = blocks.filter(mine).select("block", "doc_ids", "train", "lengths", "places"), reduce(DataFrame.union, [x.filter(mine).drop("kind") for x in answers])
+        out.append(shelf.put(texts.groupBy("block").cogroup(found.groupBy("answer_block")).applyInArrow(_score(model), SCORES)))
+        for x in (blocks, *answers):
+            shelf.drop(x, f"kind=docs{turn}")
+        shelf.clean()
+    for x in (blocks, *answers):
+        shelf.drop(x)
+    return reduce(DataFrame.union, out)

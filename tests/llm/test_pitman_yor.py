@@ -1,5 +1,6 @@
 """The language model against its definition, against sampling seat by seat, and on edge rows."""
 
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 
 from conftest import SF
 from strandline.llm import pitman_yor as py
-from strandline.llm import queries
+from strandline.llm import queries, store
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -169,3 +170,25 @@ def test_edges(spark, ids):
     rows = [(ids[0], None), (ids[1], "A b\tc"), (None, ""), (None, "a b c"), (5, "x " * 30_000), (5, "x " * 30_000)]
     docs = spark.createDataFrame([(*r, "t", 1, "u") for r in rows], "doc_id long, text string, block string, cell long, places string")
     assert py.scores(docs).count() == len(rows) and py.scores(docs.filter("false")).count() == 0
+
+
+def test_tables_go_when_nothing_needs_them(spark, monkeypatch):
+    def kinds():
+        return [x for at, _, _ in os.walk(store.SHELVES[-1].removeprefix("file:")) for x in [os.path.basename(at)] if x.startswith("kind=")]
+
+    steps, put = [], store.Shelf.put
+
+    def watched(self, df, by=None):
+        before = kinds()
+        steps.append((df.columns, before))
+        return put(self, df, by)
+
+    monkeypatch.setattr(store.Shelf, "put", watched)
+    monkeypatch.setattr(py, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(py, "CELL_CHARS", 300)
+    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(120)]
+    got = py.scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    late = [before for columns, before in steps if "answer_block" in columns or "score" in columns]
+    assert len(late) == 2 * py.TURNS and not {"kind=keys", "kind=active", "kind=sums"} & {k for x in late for k in x}
+    assert [x.count("kind=state") for x in late] == [*range(py.TURNS, 0, -1), *[0] * py.TURNS]
+    assert not kinds() and got.count() == len(rows)  # just the scores are left
