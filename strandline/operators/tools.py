@@ -69,8 +69,9 @@ def resolved(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def unmapped(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(name): names that stand for no id."""
-    return resolved(names, aliases).filter("gene_id IS NULL").select("name")
+    """(name): names that stand for no id. A name is looked up, not joined with all its ids."""
+    known = aliases.filter("gene_id IS NOT NULL").select(F.upper("alias").alias("_a")).distinct()
+    return names.select("name").join(known, F.upper("name") == F.col("_a"), "left_anti")
 
 
 def annotated(annotation: DataFrame, feature: str, wanted: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
