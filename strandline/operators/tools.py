@@ -76,11 +76,14 @@ def unmapped(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def annotated(annotation: DataFrame, feature: str, wanted: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Rows of a feature (gene, transcript, exon, ...). wanted: only those of genes that these names (column name) stand for by the aliases
-    (alias, gene_id); their name column becomes the wanted one, the first in order where several names mean one gene."""
+    (alias, gene_id); their name column becomes the wanted one, the first in order where several names mean one gene. Names that differ in
+    case alone are one row before they meet the aliases, so an alias of many genes that is wanted many times makes no pairs."""
     rows = annotation.filter(F.col("feature") == feature)
     if wanted is None:
         return rows
-    ids = resolved(wanted, aliases).filter("gene_id IS NOT NULL").groupBy("gene_id").agg(F.min("name").alias("_wanted"))
+    names = wanted.groupBy(F.upper("name").alias("_a")).agg(F.min("name").alias("_wanted"))
+    look = aliases.filter("gene_id IS NOT NULL").select(F.upper("alias").alias("_a"), "gene_id")
+    ids = look.join(names, "_a").groupBy("gene_id").agg(F.min("_wanted").alias("_wanted"))
     return rows.join(ids, "gene_id").withColumn("name", F.col("_wanted")).drop("_wanted").select(annotation.columns)
 
 

@@ -31,3 +31,13 @@ def test_unmapped_names_make_no_pairs(spark):
     wanted, aliases = names(spark, 300)
     rows, most = most_rows(tools.unmapped(wanted, aliases))
     assert sorted((r.name for r in rows), key=str) == [None, "none"] and most < 2_000
+
+
+def annotation(spark, n):
+    return spark.createDataFrame([("exon", i % (n + 1), "x", "c1", i, i + 5, "+") for i in range(n + 1)], "feature string, gene_id long, name string, chrom string, initial long, final long, orientation string")
+
+
+def test_exons_of_a_gene_set_make_no_pairs(spark):
+    wanted, aliases = names(spark, 300)
+    rows, most = most_rows(tools.annotated(annotation(spark, 300), "exon", wanted, aliases))
+    assert sorted(r.gene_id for r in rows) == list(range(300)) and {r.name for r in rows} == {"Hot"} and most < 2_000
