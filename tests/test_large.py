@@ -41,3 +41,9 @@ def test_exons_of_a_gene_set_make_no_pairs(spark):
     wanted, aliases = names(spark, 300)
     rows, most = most_rows(tools.annotated(annotation(spark, 300), "exon", wanted, aliases))
     assert sorted(r.gene_id for r in rows) == list(range(300)) and {r.name for r in rows} == {"Hot"} and most < 2_000
+
+
+def test_promoters_of_a_gene_set_make_no_pairs(spark):
+    wanted, aliases = names(spark, 300)
+    rows, most = most_rows(tools.annotation_promoters(annotation(spark, 300), 10, 2, "exon", wanted, aliases))
+    assert sorted((r.initial, r.final) for r in rows) == [(i - 10, i + 3) for i in range(300)] and most < 2_000
