@@ -50,9 +50,10 @@ def curve(df: DataFrame, score: str, truth: Column, width: float) -> DataFrame:
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """(auc): trapezoids under a curve; each point knows the step from the one before, so no order is needed."""
+    """(auc): trapezoids under a curve; each point knows the step from the one before, so no order is needed. Null where all rows are true
+    or none is."""
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
-    return points.agg((area / (F.max("t_p") * F.max("t_n"))).alias("auc"))
+    return points.agg(F.try_divide(area, F.max("t_p").cast("double") * F.max("t_n")).alias("auc"))
 
 
 def moving_mean(x: Column, half: int) -> Column:

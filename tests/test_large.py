@@ -1,6 +1,10 @@
 """Work that grows with the rows, not with the pairs of rows: no step of a plan may make more rows than it needs."""
 
-from strandline.operators import tools
+import itertools
+import random
+
+from strandline.operators import binned, joins, signal, tools
+from test_intervals import df
 
 
 def most_rows(frame):
@@ -47,3 +51,28 @@ def test_promoters_of_a_gene_set_make_no_pairs(spark):
     wanted, aliases = names(spark, 300)
     rows, most = most_rows(tools.annotation_promoters(annotation(spark, 300), 10, 2, "exon", wanted, aliases))
     assert sorted((r.initial, r.final) for r in rows) == [(i - 10, i + 3) for i in range(300)] and most < 2_000
+
+
+def random_rows(rng, n, span, most):
+    return [(a, a + rng.randrange(most)) for a in (rng.randrange(-5, span) for _ in range(n))]
+
+
+def overlaps(x, y):
+    return x[0] < y[1] and y[0] < x[1]
+
+
+def test_totals_equal_all_pairs(spark):
+    """Rows over many bins, empty ones and equal ones among them."""
+    rng = random.Random(4)
+    a, b = random_rows(rng, 150, 300, 60) + [(50, 50)], random_rows(rng, 200, 300, 20) + [(50, 50), (49, 51), (3, 290)]
+    own = df(spark, a)
+    other = df(spark, b).withColumn("w", binned.F.col("_ord"))
+    got = {r._ord: (r.n, r.w) for r in binned.totals(own, other, ("_ord",), {"n": None, "w": "w"}, width=16).collect()}
+    want = {i: [j for j, y in enumerate(b) if overlaps(x, y)] for i, x in enumerate(a)}
+    assert got == {i: (len(js), sum(js)) for i, js in want.items() if js}
+
+
+def test_area_where_all_rows_are_true(spark):
+    points = signal.curve(spark.createDataFrame([(1, "Y"), (2, "Y")], "score int, hit string"), "score", binned.F.col("hit") == "Y", 10)
+    assert signal.auc(points).collect()[0].auc is None
+    assert most_rows(joins.semi(df(spark, [(i, 500) for i in range(300)]), df(spark, [(i, 600) for i in range(300)])))[1] < 2_000
