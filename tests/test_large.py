@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from strandline.operators import binned, joins, signal, tools
+from strandline.operators import binned, joins, signal, stats, tools
 from test_intervals import df
 
 
@@ -76,3 +76,13 @@ def test_area_where_all_rows_are_true(spark):
     points = signal.curve(spark.createDataFrame([(1, "Y"), (2, "Y")], "score int, hit string"), "score", binned.F.col("hit") == "Y", 10)
     assert signal.auc(points).collect()[0].auc is None
     assert most_rows(joins.semi(df(spark, [(i, 500) for i in range(300)]), df(spark, [(i, 600) for i in range(300)])))[1] < 2_000
+
+
+def crowd(spark, n=300):
+    """n rows that all overlap one another, with all columns of a view."""
+    return df(spark, [(i, 600 + i) for i in range(n)]).selectExpr("*", "'+' AS orientation", "_ord % 3 = 0 AS tail", "'n' || _ord % 7 AS name", "_ord AS score")
+
+
+def test_counts_make_no_pairs(spark):
+    rows, most = most_rows(stats.counts_per_region(crowd(spark), crowd(spark)))
+    assert {(r.n, r.full_bp) for r in rows} == {(300, 300 * 600)} and most < 2_000
