@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from .binned import totals
 from .islands import merge
 from .joins import overlap_join, subtract
 
@@ -34,7 +35,7 @@ def sequences(regions: DataFrame, chunks: DataFrame, size: int, ex: int = 0, str
 
 def overlap_profile(a: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
     """(reference, n): rows of a that overlap each reference, and under else those that overlap none."""
-    hits = [overlap_join(a.select("_ord", *PLACE), r.select(*PLACE)).select("_ord").distinct().withColumn("reference", F.lit(k)) for k, r in references.items()]
+    hits = [totals(a, r, ("_ord",), {"_n": None}).select("_ord").withColumn("reference", F.lit(k)) for k, r in references.items()]
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
@@ -182,8 +183,7 @@ def tail_counts(genes: DataFrame, reads: DataFrame, inside: int, beyond: int) ->
     reads). Genes without reads are left out."""
     plus = F.col("orientation") == "+"
     window = genes.withColumns({"initial": F.when(plus, F.col("final") - inside).otherwise(F.col("initial") - beyond), "final": F.when(plus, F.col("final") + beyond).otherwise(F.col("initial") + inside)})
-    met = overlap_join(window.select("_ord", "chrom", "initial", "final", "orientation"), reads.select("chrom", "initial", "final", "orientation", "tail"), on=F.col("orientation") == F.col("b_orientation"))
-    return met.groupBy("_ord").agg(F.count(F.lit(1)).alias("n"), F.count_if("b_tail").alias("tails"))
+    return totals(window, reads.withColumn("_t", F.when(F.col("tail"), 1).otherwise(0).cast("bigint")), ("_ord",), {"n": None, "tails": "_t"}, ("chrom", "orientation"))
 
 
 def trim_points(points: DataFrame, sizes: DataFrame, span: int) -> DataFrame:

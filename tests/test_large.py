@@ -86,3 +86,8 @@ def crowd(spark, n=300):
 def test_counts_make_no_pairs(spark):
     rows, most = most_rows(stats.counts_per_region(crowd(spark), crowd(spark)))
     assert {(r.n, r.full_bp) for r in rows} == {(300, 300 * 600)} and most < 2_000
+
+
+def test_profile_of_overlaps_makes_no_pairs(spark):
+    rows, most = most_rows(tools.overlap_profile(crowd(spark), {"x": crowd(spark), "y": crowd(spark).filter("_ord < 0")}))
+    assert [tuple(r) for r in rows] == [("x", 300)] and most < 2_000
