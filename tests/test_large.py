@@ -91,3 +91,8 @@ def test_counts_make_no_pairs(spark):
 def test_profile_of_overlaps_makes_no_pairs(spark):
     rows, most = most_rows(tools.overlap_profile(crowd(spark), {"x": crowd(spark), "y": crowd(spark).filter("_ord < 0")}))
     assert [tuple(r) for r in rows] == [("x", 300)] and most < 2_000
+
+
+def test_tails_make_no_pairs(spark):
+    rows, most = most_rows(tools.tail_counts(crowd(spark), crowd(spark), 100, 50))
+    assert {r._ord: (r.n, r.tails) for r in rows}[0] == (150 + 50 + 100, 100) and most < 2_000
