@@ -1,9 +1,8 @@
 """Work that grows with the rows, not with the pairs of rows: no step of a plan may make more rows than it needs."""
 
-import itertools
 import random
 
-from strandline.operators import binned, joins, signal, stats, tools
+from strandline.operators import binned, joins, placement, signal, stats, tools
 from test_intervals import df
 
 
@@ -96,3 +95,8 @@ def test_profile_of_overlaps_makes_no_pairs(spark):
 def test_tails_make_no_pairs(spark):
     rows, most = most_rows(tools.tail_counts(crowd(spark), crowd(spark), 100, 50))
     assert {r._ord: (r.n, r.tails) for r in rows}[0] == (150 + 50 + 100, 100) and most < 2_000
+
+
+def test_windows_near_crowded_regions_make_no_pairs(spark):
+    rows, most = most_rows(placement.close_windows(crowd(spark), crowd(spark).filter("_ord % 2 = 0").withColumn("final", binned.F.col("final") + 2000)))
+    assert len(rows) == 150 and all(r.initial >= 899 + 200 and r.fits for r in rows) and most < 2_000
