@@ -22,5 +22,5 @@ def gc_content(seq: Column) -> Column:
 def kmer_counts(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(kmer, n) over all sequences. Each of the k phases is cut in one pass, so cost is linear in length; counts are combined in
     each task before the shuffle."""
-    phases = [F.regexp_extract_all(F.substring(seq, i + 1, 1 << 30), F.lit(f"(.{{{k}}})"), F.lit(1)) for i in range(k)]
+    phases = [F.regexp_extract_all(F.substring(seq, i + 1, 1 << 30), F.lit(f"(?s)(.{{{k}}})"), F.lit(1)) for i in range(k)]
     return df.select(F.explode(F.flatten(F.array(*phases))).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import kmer_counts
 from .joins import overlap_join
 
 
@@ -18,11 +19,12 @@ def cut_sites(reads: DataFrame, forward: int = 0, reverse: int = 0) -> DataFrame
 
 
 def pileup(regions: DataFrame, cuts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(_ord, by, offset, n): cuts at each position of each region, positions without cuts left out. Cuts at one place are counted
-    before they meet the regions, so a hot place is a row."""
-    per = cuts.groupBy("chrom", "initial", "final", *by).agg(F.count(F.lit(1)).alias("n"))
-    met = overlap_join(regions.select("_ord", "chrom", "initial", "final"), per)
-    return met.groupBy("_ord", *(F.col(f"b_{c}").alias(c) for c in by), (F.col("b_initial") - F.col("initial")).alias("offset")).agg(F.sum("b_n").alias("n"))
+    """(_ord, by, offset, n): cuts at each position of each region, positions without cuts left out. Cuts are intervals of one position; those
+    at one place are counted before they meet the regions, so a hot place is a row, and a region and a place are a row of the result. Bins
+    are narrow, since most of what meets in one is tested in vain."""
+    per = cuts.groupBy("chrom", "initial", *by).agg(F.count(F.lit(1)).alias("n")).withColumn("final", F.col("initial") + 1)
+    met = overlap_join(regions.select("_ord", "chrom", "initial", "final"), per, 256)
+    return met.select("_ord", *(F.col(f"b_{c}").alias(c) for c in by), (F.col("b_initial") - F.col("initial")).alias("offset"), F.col("b_n").alias("n"))
 
 
 def dense(regions: DataFrame, piled: DataFrame) -> DataFrame:
@@ -96,13 +98,13 @@ def masked_mean(x: Column, window: int = 5, rank: int = 4) -> Column:
 def kmer_bias(cuts: DataFrame, sequences: DataFrame, key: str, k: int, most: int = 100) -> DataFrame:
     """(orientation, kmer, observed, expected, bias) for all k-mers of A, C, G, T that stand in the sequences: cuts (key, orientation, position)
     by the k-mer around them, at most so many at one place and strand, against all k-mers of the sequences; one is added to every count, and
-    bias is the ratio of the shares. Sequences (key, seq) are cut into k-mers once; only k-mers and their counts are shuffled."""
+    bias is the ratio of the shares. Sequences (key, seq) are cut into k-mers phase by phase, in time linear in their length; only k-mers and
+    their counts are shuffled."""
     half, word = k // 2, "^[ACGT]+$"
     places = cuts.groupBy(key, "orientation", "position").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"))
     at = places.join(sequences, key).withColumn("kmer", F.substr("seq", (F.col("position") - half + 1).cast("int"), F.lit(k)))
     seen = at.filter((F.col("position") >= half) & (F.length("kmer") == k) & F.col("kmer").rlike(word)).groupBy("orientation", "kmer").agg(F.sum("n").alias("n"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr("seq", i, F.lit(k)))
-    every = sequences.filter(F.length("seq") >= k).select(F.explode(pieces).alias("kmer")).filter(F.col("kmer").rlike(word)).groupBy("kmer").agg(F.count(F.lit(1)).alias("all"))
+    every = kmer_counts(sequences.filter(F.length("seq") >= k), k).filter(F.col("kmer").rlike(word)).withColumnRenamed("n", "all")
     both = every.select("*", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("orientation")).join(seen, ["orientation", "kmer"], "left").select("orientation", "kmer", (F.coalesce("n", F.lit(0)) + 1).alias("observed"), (F.col("all") + 1).alias("expected"))
     total = both.groupBy("orientation").agg(F.sum("observed").alias("o"), F.sum("expected").alias("e"))
     return both.join(total, "orientation").select("orientation", "kmer", "observed", "expected", ((F.col("observed") / F.col("o")) / (F.col("expected") / F.col("e"))).alias("bias"))

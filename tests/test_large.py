@@ -1,8 +1,10 @@
 """Work that grows with the rows, not with the pairs of rows: no step of a plan may make more rows than it needs."""
 
 import random
+import time
+from collections import Counter
 
-from strandline.operators import binned, joins, placement, signal, stats, tools
+from strandline.operators import association, binned, cuts, joins, motifs, placement, relations, signal, stats, tools, triplex
 from test_intervals import df
 
 
@@ -100,3 +102,12 @@ def test_tails_make_no_pairs(spark):
 def test_windows_near_crowded_regions_make_no_pairs(spark):
     rows, most = most_rows(placement.close_windows(crowd(spark), crowd(spark).filter("_ord % 2 = 0").withColumn("final", binned.F.col("final") + 2000)))
     assert len(rows) == 150 and all(r.initial >= 899 + 200 and r.fits for r in rows) and most < 2_000
+
+
+def test_bias_of_a_long_sequence_takes_linear_time(spark):
+    letters = "".join(random.Random(1).choices("ACGTN", k=400_000))
+    cuts_ = spark.createDataFrame([("x", "+", 7), ("x", "-", 1)], "doc string, orientation string, position long")
+    began = time.time()
+    rows = cuts.kmer_bias(cuts_, spark.createDataFrame([("x", letters)], "doc string, seq string"), "doc", 6).collect()
+    want = Counter(letters[i : i + 6] for i in range(len(letters) - 5))
+    assert time.time() - began < 30 and {r.kmer: r.expected - 1 for r in rows} == {k: n for k, n in want.items() if "N" not in k}
