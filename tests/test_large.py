@@ -125,3 +125,13 @@ def test_switches_of_crowded_hits_make_no_pairs(spark):
     every = sorted(hits(spark).collect(), key=lambda r: (r.rna_i, r.rna_f, r._ord))[:-2]
     near = [(a, b) for a in every for b in every if 0 < b.rna_i - a.rna_f < 20 and a.direction != b.direction and a.orientation == b.orientation and b.rna_i - a.rna_f > 400]
     assert len(rows) == 15 and sum(r.n for r in rows) == len(near) == 0 and most < 2_000
+
+
+def test_hits_by_crowded_region_make_no_pairs(spark):
+    rows, most = most_rows(triplex.by_region(hits(spark), crowd(spark, 700)))
+    every = hits(spark).collect()
+    for r in rows:
+        met = [h for h in every if overlaps((h.initial, h.final), (r._ord, 600 + r._ord))]
+        covered = set().union(*(range(max(h.initial, r._ord), min(h.final, 600 + r._ord)) for h in met))
+        assert (r.n_hits, r.n_sites, r.covered) == (len(met), len({(h.rna_i, h.rna_f) for h in met}), len(covered))
+    assert len(rows) == 700 and most < 4_000
