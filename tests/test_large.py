@@ -135,3 +135,8 @@ def test_hits_by_crowded_region_make_no_pairs(spark):
         covered = set().union(*(range(max(h.initial, r._ord), min(h.final, 600 + r._ord)) for h in met))
         assert (r.n_hits, r.n_sites, r.covered) == (len(met), len({(h.rna_i, h.rna_f) for h in met}), len(covered))
     assert len(rows) == 700 and most < 4_000
+
+
+def test_domains_of_crowded_hits_make_no_pairs(spark):
+    rows, most = most_rows(triplex.domain_counts(hits(spark), crowd(spark).withColumn("final", binned.F.col("final") + 900)))
+    assert {r.bound for r in rows} == {300} and most < 4_000
