@@ -140,3 +140,9 @@ def test_hits_by_crowded_region_make_no_pairs(spark):
 def test_domains_of_crowded_hits_make_no_pairs(spark):
     rows, most = most_rows(triplex.domain_counts(hits(spark), crowd(spark).withColumn("final", binned.F.col("final") + 900)))
     assert {r.bound for r in rows} == {300} and most < 4_000
+
+
+def test_domain_tests_of_crowded_hits_make_no_pairs(spark):
+    regions = crowd(spark).withColumn("final", binned.F.col("final") + 900)
+    rows, most = most_rows(triplex.domain_tests(hits(spark), regions.filter("_ord < 100"), regions.filter("_ord >= 100")))
+    assert {(r.a, r.b, r.c, r.d) for r in rows} == {(100, 0, 200, 0)} and most < 4_000
