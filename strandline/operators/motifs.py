@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import motif
 from ..lineage import written
+from .binned import label_hits
 from .joins import overlap_join
 from .significance import fisher
 from .stats import corrected
-from .tools import contingency
 
 PLACE = ("chrom", "initial", "final")
 
@@ -43,8 +43,8 @@ def enrichment(regions: DataFrame, sites: DataFrame, background: DataFrame, back
     """(motif, a, b, c, d, p, q, frequency, background_frequency, genes): for every motif with a site in either set, regions (unique _ord, name)
     with a site and without, background rows with one and without, the right tail of Fisher's exact test, corrected over the motifs, the
     shares, and the distinct names of regions with a site. A set without rows has a null share."""
-    own = contingency(regions, sites, label).select("motif", F.col("regions_hit").alias("a"), "genes")
-    other = contingency(background, background_sites, label).select("motif", F.col("regions_hit").alias("c"))
+    own = label_hits(regions, sites, label, names=True).select(F.col("label").alias("motif"), F.col("regions_hit").alias("a"), "genes")
+    other = label_hits(background, background_sites, label).select(F.col("label").alias("motif"), F.col("regions_hit").alias("c"))
     total = regions.agg(F.count(F.lit(1)).alias("n")).crossJoin(background.agg(F.count(F.lit(1)).alias("m")))  # two one-row counts
     rows = own.join(other, "motif", "full").fillna(0, ["a", "c", "genes"]).crossJoin(total)  # one row
     table = rows.select("motif", "a", (F.col("n") - F.col("a")).alias("b"), "c", (F.col("m") - F.col("c")).alias("d"), "genes", F.try_divide("a", "n").alias("frequency"), F.try_divide("c", "m").alias("background_frequency"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
-from .binned import totals
+from .binned import label_hits, totals
 from .islands import merge
-from .joins import overlap_join, subtract
+from .joins import subtract
 
 PLACE = ("chrom", "initial", "final")
 
@@ -47,8 +47,8 @@ def contingency(regions: DataFrame, sites: DataFrame, motif: str) -> DataFrame:
     """(motif, regions_hit, regions_not, genes, sites): by motif the regions with a site and without, the distinct names of the
     former, and the distinct sites inside regions."""
     total = regions.agg(F.count(F.lit(1)).alias("_n"))
-    hit = overlap_join(regions.select("_ord", "name", *PLACE), sites.select(*PLACE, F.col(motif).alias("m")))
-    per = hit.groupBy(F.col("b_m").alias("motif")).agg(F.countDistinct("_ord").alias("regions_hit"), F.countDistinct("name").alias("genes"), F.countDistinct("b_chrom", "b_initial", "b_final").alias("sites"))
+    met = totals(sites, regions, (motif, *PLACE), {"_c": None}).groupBy(F.col(motif).alias("label")).agg(F.count(F.lit(1)).alias("sites"))
+    per = label_hits(regions, sites, motif, names=True).join(met, "label").withColumnRenamed("label", "motif")
     return per.join(F.broadcast(total)).select("motif", "regions_hit", (F.col("_n") - F.col("regions_hit")).alias("regions_not"), "genes", "sites")  # one row
 
 

@@ -154,3 +154,24 @@ def test_pairs_inside_crowded_regions_make_no_pairs(spark):
     rows, most = most_rows(relations.pairs_inside(reads, regions, "pair"))
     assert sorted(r.pair for r in rows) == list(range(300)) and most < 4_000
     assert relations.pairs_inside(reads, df(spark, [(700, 720), (600, 710)]), "pair").collect() == [(i,) for i in ()] or sorted(r.pair for r in relations.pairs_inside(reads, df(spark, [(700, 720), (600, 710)]), "pair").collect()) == list(range(1, 10))
+
+
+def test_enrichment_of_crowded_sites_makes_no_pairs(spark):
+    sites = crowd(spark).withColumnRenamed("name", "motif")
+    rows, most = most_rows(motifs.enrichment(crowd(spark), sites, crowd(spark, 50), sites))
+    assert {(r.motif, r.a, r.c, r.genes) for r in rows} == {(f"n{k}", 300, 50, 7) for k in range(7)} and most < 2_000
+
+
+def test_label_hits_equal_all_pairs(spark):
+    """Labels of few and of many sites, rows longer than a bin, empty ones."""
+    rng = random.Random(7)
+    a, b = random_rows(rng, 150, 300, 40) + [(50, 50)], random_rows(rng, 120, 300, 20) + [(50, 50), (49, 51), (3, 290)]
+    left = df(spark, a).withColumn("name", binned.F.expr("'g' || _ord % 11"))
+    right = df(spark, b).withColumn("label", binned.F.expr("CASE WHEN _ord % 9 > 0 THEN 'n' || _ord % 17 END"))
+    for width in (8, 64):
+        got = {r.label: (r.regions_hit, r.genes) for r in binned.label_hits(left, right, "label", names=True, width=width).collect()}
+        want = {}
+        for i, x in enumerate(a):
+            for label in {f"n{j % 17}" for j, y in enumerate(b) if j % 9 and overlaps(x, y)}:
+                want.setdefault(label, []).append(i)
+        assert got == {k: (len(v), len({i % 11 for i in v})) for k, v in want.items()}
