@@ -175,3 +175,14 @@ def test_label_hits_equal_all_pairs(spark):
             for label in {f"n{j % 17}" for j, y in enumerate(b) if j % 9 and overlaps(x, y)}:
                 want.setdefault(label, []).append(i)
         assert got == {k: (len(v), len({i % 11 for i in v})) for k, v in want.items()}
+
+
+def test_sliding_bins_of_crowded_regions_make_no_pairs(spark):
+    regions, reads = df(spark, [(500 + i, 700 + i) for i in range(300)]), df(spark, [(550 + i % 50, 586 + i % 50) for i in range(900)])
+    rows, most = most_rows(stats.sliding_counts(regions, reads, 36))
+    want = Counter()
+    for i in range(300):
+        for s in (550 + j % 50 for j in range(900)):
+            if s < 900 + i and s + 36 > 300 + i:
+                want.update((i, k) for k in range(4) if s < 500 + i + 50 * k + 50 and s + 236 >= 500 + i + 50 * k - 50)
+    assert {(r._ord, r.k): r.n for r in rows} == want and most < 4_000
