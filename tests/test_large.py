@@ -186,3 +186,25 @@ def test_sliding_bins_of_crowded_regions_make_no_pairs(spark):
             if s < 900 + i and s + 36 > 300 + i:
                 want.update((i, k) for k in range(4) if s < 500 + i + 50 * k + 50 and s + 236 >= 500 + i + 50 * k - 50)
     assert {(r._ord, r.k): r.n for r in rows} == want and most < 4_000
+
+
+def test_names_of_crowded_regions_make_no_pairs(spark):
+    rows, most = most_rows(association.associate(crowd(spark), crowd(spark)))
+    assert len(rows) == 300 and {r.names for r in rows} == {":".join(f"n{i % 7}" for i in range(300))} and most < 2_000
+
+
+def test_names_equal_all_pairs(spark):
+    """Rows longer than a bin, empty ones and rows without a name among them."""
+    rng = random.Random(6)
+    a, b = random_rows(rng, 120, 300, 40) + [(50, 50)], random_rows(rng, 120, 300, 20) + [(50, 50), (49, 51), (3, 290)]
+    right = df(spark, b).withColumn("name", binned.F.expr("CASE WHEN _ord % 5 > 0 THEN 'n' || _ord % 13 END"))
+    name = lambda j: f"n{j % 13}" if j % 5 else None
+    for width in (8, 64):
+        for by_name in (False, True):
+            got = {r._ord: r.names for r in binned.gathered(df(spark, a), right, ":", by_name, width=width).collect()}
+            for i, x in enumerate(a):
+                met = [name(j) for _, j in sorted((y, j) for j, y in enumerate(b) if overlaps(x, y))]
+                words = [w for w in met if w]
+                assert got[i] == (":".join(sorted(words) if by_name else words) if met else None)
+        first = {r._ord: r.out for r in binned.first_row(df(spark, a), right, "_ord", "out", width=width).collect()}
+        assert first == {i: min(((*y, j) for j, y in enumerate(b) if overlaps(x, y)), default=(0, 0, None))[2] for i, x in enumerate(a)}
