@@ -208,3 +208,11 @@ def test_names_equal_all_pairs(spark):
                 assert got[i] == (":".join(sorted(words) if by_name else words) if met else None)
         first = {r._ord: r.out for r in binned.first_row(df(spark, a), right, "_ord", "out", width=width).collect()}
         assert first == {i: min(((*y, j) for j, y in enumerate(b) if overlaps(x, y)), default=(0, 0, None))[2] for i, x in enumerate(a)}
+
+
+def test_cuts_meet_regions_once(spark):
+    """A region and a place are one row where they meet: nothing is dealt out and grouped again after that."""
+    piled = cuts.pileup(df(spark, [(i, i + 100) for i in range(200)]), df(spark, [(i, i + 1) for i in range(300)] * 3))
+    assert {r.n for r in piled.collect()} == {3} and piled.count() == 200 * 100
+    text = piled._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join") < text.index("Aggregate")
