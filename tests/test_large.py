@@ -216,3 +216,8 @@ def test_cuts_meet_regions_once(spark):
     assert {r.n for r in piled.collect()} == {3} and piled.count() == 200 * 100
     text = piled._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("Join") < text.index("Aggregate")
+
+
+def test_sorted_names_of_crowded_regions_make_no_pairs(spark):
+    rows, most = most_rows(binned.gathered(crowd(spark), crowd(spark), ":", by_name=True))
+    assert {r.names for r in rows} == {":".join(sorted(f"n{i % 7}" for i in range(300)))} and most < 2_000
