@@ -221,3 +221,8 @@ def test_cuts_meet_regions_once(spark):
 def test_sorted_names_of_crowded_regions_make_no_pairs(spark):
     rows, most = most_rows(binned.gathered(crowd(spark), crowd(spark), ":", by_name=True))
     assert {r.names for r in rows} == {":".join(sorted(f"n{i % 7}" for i in range(300)))} and most < 2_000
+
+
+def test_first_name_of_crowded_regions_makes_no_pairs(spark):
+    rows, most = most_rows(relations.first_overlapping(crowd(spark).drop("name"), crowd(spark), "name", "name"))
+    assert {r.name for r in rows} == {"n0"} and len(rows) == 300 and most < 2_000
