@@ -232,3 +232,8 @@ def test_names_of_one_strand_make_no_pairs(spark):
     other = crowd(spark).withColumn("orientation", binned.F.expr("CASE WHEN _ord % 2 = 0 THEN '+' ELSE '-' END"))
     rows, most = most_rows(association.associate(crowd(spark), other, same_strand=True, show=True))
     assert {r.names for r in rows} == {":".join(f"n{i % 7}" for i in range(0, 300, 2))} and most < 2_000
+
+
+def test_first_strand_of_crowded_regions_makes_no_pairs(spark):
+    rows, most = most_rows(relations.first_overlapping(crowd(spark).drop("orientation"), crowd(spark), "orientation", "orientation"))
+    assert {r.orientation for r in rows} == {"+"} and len(rows) == 300 and most < 2_000
