@@ -6,15 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..lineage import written
+from . import binned
 from .islands import merge, with_islands
 from .joins import overlap_join, semi
 from .placement import hashed
-from .relations import with_runs
 from .stats import corrected
 
 
@@ -202,18 +203,88 @@ def _rank_rule(x: Column, y: Column) -> Column:
     return F.greatest(F.greatest(x, y) - F.log10(F.lit(2.0)), F.least(x, y))
 
 
+def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """_rank_rule on numbers; a missing p leaves the other."""
+    return np.fmax(np.fmax(x, y) - np.log10(2.0), np.fmin(x, y))
+
+
 def combined(a: DataFrame, b: DataFrame, stranded: bool = False) -> DataFrame:
     """(chrom, orientation, initial, final, name, p): every pair of overlapping peaks (unique _ord, name, p as -log10), of one strand only if
     stranded, at the place of the left one with the p of the rank rule. In order of place, pairs that follow one another on one strand and
-    overlap are joined to their hull: it keeps the first name, and its p and each next one are combined anew. The p of a hull are folded
-    in order, so they stand in one row, as numbers."""
+    overlap are joined to their hull: it keeps the first name, and its p and each next one are combined anew.
+
+    All pairs of a left peak stand in the bin that it begins in, where hulls are made and folded. Only hulls at the bin's
+    start, within the longest peak's length, and its last one may go on in another bin: they leave it with their p in order and are folded
+    once they are joined."""
     site = ("_ord", "chrom", "initial", "final", "orientation", "name", "p")
-    met = overlap_join(a.select(*site), b.select(*site), on=F.col("orientation") == F.col("b_orientation") if stranded else None)
-    rows = met.select("chrom", "initial", "final", "orientation", F.concat_ws(":", "name", "b_name").alias("name"), F.struct("_ord", "b__ord").alias("_ord"), _rank_rule(F.col("p"), F.col("b_p")).alias("p"))
-    keys = ("chrom", "orientation", "_run")
-    joined = with_islands(with_runs(rows, "orientation"), 0, keys).groupBy(*keys, "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.array_sort(F.collect_list(F.struct("initial", "final", "_ord", "name", "p"))).alias("all"))
-    p = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0))["p"], lambda s, x: _rank_rule(s, x["p"]))
-    return joined.select("chrom", "orientation", "initial", "final", F.get("all", F.lit(0))["name"].alias("name"), p.alias("p"))
+    most = binned.longest(a)
+    width = max(1 << 13, most)
+
+    def kernel(lo: int, r: pa.Table, s: pa.Table) -> pa.Table:
+        r, s = r.sort_by([(c, "ascending") for c in ("initial", "final", "_ord")]), s.sort_by("initial")
+        (a_i, a_f), (b_i, b_f) = binned.ends(r), binned.ends(s)
+        strand = binned.encoded(pa.chunked_array([*r["orientation"].chunks, *s["orientation"].chunks], pa.string()))[0]
+        strand, other = strand[: len(r)], strand[len(r) :]
+        rank = np.argsort(np.argsort(s["_ord"].to_numpy()))
+        x, y = (c["p"].to_numpy().astype(float) for c in (r, s))
+        of, with_, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for which, at in binned.stretches(np.searchsorted(np.maximum.accumulate(b_f), a_i, "right"), np.searchsorted(b_i, a_f, "left")) if len(r) and len(s) else ():
+            hit = b_f[at] > a_i[which]
+            if stranded:
+                hit &= (strand[which] == other[at]) & (strand[which] >= 0)
+            which, at = which[hit], at[hit]
+            order = np.argsort(which * len(s) + rank[at])
+            which, at = which[order], at[order]
+            of.append(which)
+            with_.append(at)
+            p.append(_fold(x[which], y[at]))
+        of, with_, p = (np.concatenate(c) for c in (of, with_, p))
+        rows, first = np.unique(of, return_index=True)  # left peaks with a pair, and their first ones
+        o, i, f = strand[rows], a_i[rows], a_f[rows]
+        turn = np.ones(len(rows), bool)
+        turn[1:] = o[1:] != o[:-1]
+        base, step = (i[0], f.max() - i[0] + 2) if len(rows) else (0, 1)
+        run = np.cumsum(turn) * step
+        top = np.maximum.accumulate(run + f - base)
+        turn[1:] |= (run + i - base)[1:] >= top[:-1]
+        begin = np.flatnonzero(turn)
+        n = len(begin)
+        last, start = np.append(begin[1:], len(rows))[:n] - 1, first[begin]
+        size = np.diff(np.append(start, len(of)))
+        # Peaks of earlier bins end before lo + most, so hulls of the bin's first run that begin there may be one with theirs, and with each other.
+        seq = np.where((np.cumsum(np.append([True], o[1:] != o[:-1]))[begin] == 1) & (i[begin] < lo + most), 0, -1) if n else begin
+        seq[-1:] = np.maximum(seq[-1:], 0) + (seq[-1:] < 0)
+        whole = np.flatnonzero(seq < 0)
+        whole = whole[np.argsort(-size[whole], kind="stable")]  # the longest first
+        folded = p[start] if n else p
+        for k in range(1, size[whole[0]] if len(whole) else 0):
+            on = whole[: np.searchsorted(-size[whole], -k, "left")]
+            folded[on] = _fold(folded[on], p[start[on] + k])
+        keep = np.where(seq >= 0, size, 1)
+        offsets = np.concatenate([[0], np.cumsum(keep)])
+        at = np.repeat(start - offsets[:-1], keep) + np.arange(offsets[-1])
+        values = np.where(np.repeat(seq < 0, keep), np.repeat(folded, keep), p[at])
+        lead, mate = pa.array(rows[begin]), pa.array(with_[start])
+        own = {c: r[c].take(lead) for c in ("chrom", "orientation", "initial")}
+        return pa.table({
+            **own, "final": pa.array(top[last] - run[begin] + base), "lo": pa.array(np.full(n, lo)), "k": pa.array(np.arange(n)), "seq": pa.array(seq), "name": r["name"].take(lead), "b_name": s["name"].take(mate),
+            "ps": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, from_pandas=True)),
+        })
+
+    schema = "chrom string, orientation string, initial bigint, final bigint, lo bigint, k bigint, seq bigint, name string, b_name string, ps array<double>"
+    hulls = written(binned.meet(binned.at_start(a.select(*site), width), binned.dealt_for(b.select(*site), most, width), kernel, schema, width=width))
+    name = lambda x, y: F.concat_ws(":", x, y).alias("name")
+    done = hulls.filter("seq < 0").select("chrom", "orientation", "initial", "final", name("name", "b_name"), F.get("ps", F.lit(0)).alias("p"))
+    along = Window.partitionBy("chrom").orderBy("lo", "k")
+    turn = (F.col("seq") == 1) | ~F.lag("orientation").over(along).eqNullSafe(F.col("orientation"))
+    runs = hulls.filter("seq >= 0").withColumn("_turn", F.when(turn, 1).otherwise(0)).withColumn("_run", F.sum("_turn").over(along))
+    inside = Window.partitionBy("chrom", "_run").orderBy("lo", "k")
+    before = F.max("final").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.withColumn("_new", F.when(before.isNull() | (F.col("initial") >= before), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(inside))
+    joined = marked.groupBy("chrom", "orientation", "_run", "_island").agg(F.min("initial").alias("initial"), F.max("final").alias("final"), F.array_sort(F.collect_list(F.struct("lo", "k", "name", "b_name", "ps"))).alias("all"))
+    ps = joined.withColumn("ps", F.flatten(F.transform("all", lambda s: s["ps"]))).withColumn("head", F.get("all", F.lit(0)))
+    p = F.aggregate(F.slice("ps", 2, F.greatest(F.size("ps") - 1, F.lit(0))), F.get("ps", F.lit(0)), _rank_rule)
+    return done.unionByName(ps.select("chrom", "orientation", "initial", "final", name(F.col("head.name"), F.col("head.b_name")), p.alias("p")))
 
 
 def negative_binomial_parameters(mean: Column, alpha: Column) -> tuple[Column, Column]:

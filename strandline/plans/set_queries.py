@@ -105,9 +105,9 @@ def trimmed_points(s, d):
 PEAKS = """peaks AS (SELECT _ord, chrom, initial, final, orientation, score + 1 AS plus, (score * 7) % 50 + 1 AS minus, pow((((_ord % 100003 * 7919) % 100003) + 1) / 100004.0::DOUBLE, 3) AS p FROM reg_a)"""
 
 
-def made_peaks(s, d):
+def made_peaks(s, d, *more):
     p = F.pow((((F.col("_ord") % 100003 * 7919) % 100003) + 1) / F.lit(100004.0), F.lit(3.0))
-    return V.reg_a(s, d).select("_ord", *COLS, "orientation", (F.col("score") + 1).alias("plus"), ((F.col("score") * 7) % 50 + 1).alias("minus"), p.alias("p"))
+    return V.reg_a(s, d).select("_ord", *COLS, "orientation", (F.col("score") + 1).alias("plus"), ((F.col("score") * 7) % 50 + 1).alias("minus"), p.alias("p"), *more)
 
 
 @query(f""", {PEAKS}, z AS (SELECT *, (ln(plus / minus) - avg(ln(plus / minus)) OVER ()) / stddev_pop(ln(plus / minus)) OVER () AS z, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM peaks),
@@ -129,7 +129,7 @@ i AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, run ORDER BY initial, final, _
 SELECT chrom, any_value(orientation) AS orientation, min(initial) AS initial, max(final) AS final, first(name ORDER BY initial, final, _ord, o2) AS name,
   round(list_reduce(list(lp ORDER BY initial, final, _ord, o2), lambda a, x: greatest(greatest(a, x) - log10(2), least(a, x))), 5) AS p FROM i GROUP BY chrom, run, g""")
 def combined_peaks(s, d):
-    rows = made_peaks(s, d).withColumn("p", -F.log10("p")).join(V.reg_a(s, d).select("_ord", "name"), "_ord")
+    rows = made_peaks(s, d, "name").withColumn("p", -F.log10("p"))
     return peaks.combined(rows.filter("_ord % 2 = 0"), rows.filter("_ord % 2 = 1")).withColumn("p", F.round("p", 5))
 
 

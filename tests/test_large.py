@@ -1,10 +1,13 @@
 """Work that grows with the rows, not with the pairs of rows: no step of a plan may make more rows than it needs."""
 
+import math
 import random
 import time
 from collections import Counter
 
-from strandline.operators import association, binned, cuts, joins, motifs, placement, relations, signal, stats, tools, triplex
+import pytest
+
+from strandline.operators import association, binned, cuts, joins, motifs, peaks, placement, relations, signal, stats, tools, triplex
 from test_intervals import df
 
 
@@ -242,3 +245,30 @@ def test_first_strand_of_crowded_regions_makes_no_pairs(spark):
 def test_permutations_of_crowded_regions_make_no_pairs(spark):
     rows, most = most_rows(triplex.permutation_tests(hits(spark), crowd(spark).withColumn("final", binned.F.col("initial") + 3000), 3, 3000))
     assert {(r.bound, r.mean, r.sd, r.p) for r in rows} == {(300, 300.0, 0.0, 1.0)} and most < 5_000
+
+
+@pytest.mark.parametrize("stranded", [False, True])
+def test_hulls_over_bins_equal_a_plain_pass(spark, stranded):
+    rng = random.Random(9)
+
+    def made(n):
+        return [(i, "c1", s, s + rng.randrange(40, 700), rng.choice("+++-"), f"n{i}", rng.randrange(1, 90) / 10) for i, s in enumerate(rng.randrange(40_000) for _ in range(n))]
+
+    a, b = made(500), [*made(300), (300, "c1", 8_100, 24_700, "+", "long", 3.0)]
+    a.append((500, "c1", 8_150, 8_800, "+", "over", 2.0))
+    frame = lambda rows: spark.createDataFrame(rows, "_ord long, chrom string, initial long, final long, orientation string, name string, p double")
+    rule = lambda x, y: max(max(x, y) - math.log10(2), min(x, y))
+    pairs = sorted((x[2], x[3], x[0], y[0], x[4], f"{x[5]}:{y[5]}", rule(x[6], y[6])) for x in a for y in b if overlaps(x[2:4], y[2:4]) and (not stranded or x[4] == y[4]))
+    want, side, top = [], None, 0
+    for i, f, _, _, o, name, p in pairs:
+        if o != side:
+            side, top = o, None
+        if top is None or i >= top:
+            want.append(["c1", o, i, f, name, p])
+            top = f
+        else:
+            want[-1][3], want[-1][5] = max(want[-1][3], f), rule(want[-1][5], p)
+        top = max(top, f)
+    rows, most = most_rows(peaks.combined(frame(a), frame(b), stranded))
+    got = sorted((r.chrom, r.orientation, r.initial, r.final, r.name, round(r.p, 9)) for r in rows)
+    assert got == sorted((*w[:5], round(w[5], 9)) for w in want) and most < len(pairs)
