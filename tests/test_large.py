@@ -272,3 +272,17 @@ def test_hulls_over_bins_equal_a_plain_pass(spark, stranded):
     rows, most = most_rows(peaks.combined(frame(a), frame(b), stranded))
     got = sorted((r.chrom, r.orientation, r.initial, r.final, r.name, round(r.p, 9)) for r in rows)
     assert got == sorted((*w[:5], round(w[5], 9)) for w in want) and most < len(pairs)
+
+
+def test_bins_of_one_side_alone(spark):
+    """Rows a bin and more apart: every kernel sees bins without rows of the other side."""
+    a = df(spark, [(10, 50), (400_000, 400_050)]).selectExpr("*", "'+' AS orientation", "'n' AS name", "1.0D AS p")
+    b = df(spark, [(20, 60), (800_000, 800_010)]).selectExpr("*", "'+' AS orientation", "'m' AS name", "2.0D AS p", "_ord AS rna_i", "_ord + 5 AS rna_f")
+    assert [(r._ord, r.n) for r in binned.totals(a, b, ("_ord",), {"n": None}).collect()] == [(0, 1)]
+    assert {r._ord: r.out for r in binned.first_row(a, b, "name", "out").collect()} == {0: "m", 1: None}
+    assert {r._ord: r.names for r in binned.gathered(a, b, ":").collect()} == {0: "m", 1: None}
+    assert [(r.label, r.regions_hit, r.genes) for r in binned.label_hits(a, b, "name", names=True).collect()] == [("m", 1, 1)]
+    assert [r._ord for r in binned.strictly_inside(df(spark, [(30, 40), (500_000, 500_001)]), b).collect()] == [0]
+    assert {(r._ord, r.k) for r in stats.sliding_counts(df(spark, [(100, 150), (600_000, 600_050)]), b, 36).collect()} == {(0, 0)}
+    assert {r._ord: (r.n_hits, r.covered) for r in triplex.by_region(b, a).collect()} == {0: (1, 30), 1: (0, 0)}
+    assert [(r.initial, r.final, r.name) for r in peaks.combined(a, b).collect()] == [(10, 50, "n:m")]
