@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from array import array
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import written
+from . import binned
 from .islands import BLOCK
 from .joins import complement, outside, overlap_join, semi
 
@@ -62,24 +70,86 @@ def place_apart(df: DataFrame, sizes: DataFrame, exclude: DataFrame, repeats: in
     In every round the rows without a place draw one each. A draw that overlaps a place given before is void; of draws that overlap
     one another one stays if no other that it overlaps has a smaller hash, and the rest draw again. The draw with the smallest hash always
     stays, so rounds go on until every row has a place; a row that was void in all of so many rounds has null places: no room was
-    found for it. Everything is a function of rep, _ord, round and seed, so partitioning changes nothing."""
-    keys, space = ["rep", "_ord"], written(free_space(sizes, exclude))
-    rows = written(df.select("_ord", "initial", "final").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))))
-    open_rows, done = rows, None
+    found for it. Everything is a function of rep, _ord, round and seed, so partitioning changes nothing.
+
+    A round is one shuffle: draws and places given before meet in bins, a draw in its own bin with all draws that it may overlap and all places that
+    those may. The free pieces go to every task, as three numbers each."""
+    keys, spark = ["rep", "_ord"], df.sparkSession
+    pieces = free_space(sizes, exclude).orderBy("offset").toArrow()
+    offset, begin, end = (pieces[c].to_numpy() for c in ("offset", "initial", "final"))
+    chroms = pieces["chrom"].combine_chunks().dictionary_encode() if len(pieces) else pa.array([], pa.string()).dictionary_encode()
+    name_of, names = chroms.indices.to_numpy(), np.array([*chroms.dictionary.to_pylist(), None], dtype=object)
+    total = int((end - begin).sum())
+    laid = [array("q", c.tolist()) for c in (offset, begin, end)]  # plain numbers: a draw looks up one piece at a time
+    most = binned.longest(df)
+    width = max(binned.WIDTH, most)
+    tasks = spark.sparkContext.defaultParallelism
+    rows = df.select(F.col("_ord").cast("bigint").alias("_ord"), (F.col("final") - F.col("initial")).cast("bigint").alias("size")).repartition(tasks, "_ord").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    empty = {"name": "string", "initial": "bigint", "final": "bigint"}
+    state = written(rows.select(*keys, "size", *(F.lit(None).cast(k).alias(c) for c, k in empty.items())))
+    columns = [*keys, "size", *empty]
+    schema = "rep int, _ord bigint, size bigint, name string, initial bigint, final bigint"
+
+    def draw(n: int):
+        def of(batches):
+            number = lambda text: int.from_bytes(hashlib.md5(text.encode()).digest()[:6], "big")
+            offset, begin, end = laid
+            for batch in batches:
+                rep, ids, size, given = (batch.column(c).to_pylist() for c in (*keys, "size", "initial"))
+                at, rank = np.full((len(ids), 2), -1, np.int64), np.full(len(ids), -1, np.int64)
+                for j, (r, o, long, place) in enumerate(zip(rep, ids, size, given, strict=True)):
+                    if place is not None or long is None:
+                        continue
+                    rank[j] = number(f"{r}:{o}:{seed}:{n}:rank")
+                    for k in range(1, tries + 1 if total else 0):
+                        x = number(f"{r}:{o}:{k}:{seed}:{n}") % total
+                        g = bisect_right(offset, x) - 1
+                        start = begin[g] + x - offset[g]
+                        if start + long <= end[g]:
+                            at[j] = g, start
+                            break
+                new = at[:, 0] >= 0
+                name = np.where(new, names[np.where(new, name_of[at[:, 0]] if len(name_of) else -1, -1)], np.asarray(batch.column("name").to_pylist(), dtype=object))
+                old = [np.asarray(pc.fill_null(batch.column(c), -1)) for c in ("initial", "final", "size")]
+                i, f = np.where(new, at[:, 1], old[0]), np.where(new, at[:, 1] + old[2], old[1])
+                none = i < 0
+                yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "_ord": batch.column("_ord"), "size": batch.column("size"), "name": pa.array(name, pa.string()), "initial": pa.array(i, mask=none), "final": pa.array(f, mask=none), "rank": pa.array(rank)})
+
+        return of
+
+    def settle(t: pa.Table) -> pa.Table:
+        """The bin's own rows, draws that are void or lost without a place."""
+        own, fresh = t["own"].to_numpy(zero_copy_only=False), t["rank"].to_numpy() >= 0
+        keep = np.ones(len(t), bool)
+        if t["initial"].null_count < len(t):
+            (i, f), rank, ids = binned.ends(t), t["rank"].to_numpy(), t["_ord"].to_numpy()
+            new = np.flatnonzero(fresh)
+            new = new[np.argsort(i[new], kind="stable")]
+            void = binned.tally(np.iinfo(np.int64).min, (i[new], f[new]), (i[~fresh], f[~fresh]), [np.ones((~fresh).sum(), np.int64)])[0] > 0
+            keep[new[void]] = False
+            live = new[~void]
+            mine = live[own[live]]
+            lost = np.zeros(len(mine), bool)
+            for which, at in binned.stretches(np.searchsorted(np.maximum.accumulate(f[live]), i[mine], "right"), np.searchsorted(i[live], f[mine], "left")) if len(mine) else ():
+                x, y = mine[which], live[at]
+                beats = (f[y] > i[x]) & ((rank[y] < rank[x]) | ((rank[y] == rank[x]) & (ids[y] < ids[x])))
+                lost[which[beats]] = True
+            keep[mine[lost]] = False
+        rest = pa.array(~keep)
+        t = pa.table({**{c: t[c] for c in (*keys, "size")}, **{c: pc.if_else(rest, pa.scalar(None, t[c].type), t[c]) for c in empty}, "own": t["own"]})
+        return t.filter(t["own"]).drop_columns("own")
+
     for n in range(rounds):
-        drawn = _drawn(open_rows, space, tries, f"{seed}:{n}").withColumn("_rank", hashed(F.col("rep").cast("string"), F.col("_ord").cast("string"), F.lit(f"{seed}:{n}:rank")))
-        draws = written(drawn.filter("chrom is not null").withColumn("_name", F.col("chrom")).withColumn("chrom", F.concat_ws(":", "rep", "chrom")))
-        if done is not None:
-            draws = semi(draws, done, anti=True)
-        beats = (F.col("b__rank") < F.col("_rank")) | ((F.col("b__rank") == F.col("_rank")) & (F.col("b__ord") < F.col("_ord")))
-        lost = overlap_join(draws, draws.select("chrom", "initial", "final", "_rank", "_ord"), on=beats).select(*keys).distinct()
-        won = draws.join(lost, keys, "left_anti").drop("_rank")
-        done = written(won if done is None else done.unionByName(won))
-        open_rows = rows.join(done.select(*keys), keys, "left_anti")
-        if open_rows.isEmpty():
+        drawn = state.mapInArrow(draw(n), schema + ", rank bigint")
+        reach = F.when(F.col("rank") < 0, 2 * most).otherwise(most)  # places given before, and draws
+        near = F.sequence(F.floor((F.col("initial") - reach) / width), F.floor((F.col("initial") + reach) / width))
+        alone = F.array(F.pmod(F.xxhash64("_ord"), F.lit(4 * tasks)))  # rows without a draw go along
+        each = drawn.withColumn("_bin", F.explode(F.when(F.col("initial").isNull(), alone).otherwise(near)))
+        each = each.withColumn("own", F.col("initial").isNull() | (F.floor(F.col("initial") / width) == F.col("_bin")))
+        state = written(each.groupBy("rep", "name", "_bin").applyInArrow(settle, schema))
+        if state.filter("initial IS NULL").isEmpty():
             break
-    out = done.select(*keys, F.col("_name").alias("chrom"), "initial", "final")
-    return out.unionByName(open_rows.select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in out.dtypes[2:])))
+    return state.select(*keys, F.col("name").alias("chrom"), "initial", "final")
 
 
 def close_windows(regions: DataFrame, background: DataFrame, least: int = 200, length: int = 100, seed: int = 1) -> DataFrame:

@@ -286,3 +286,12 @@ def test_bins_of_one_side_alone(spark):
     assert {(r._ord, r.k) for r in stats.sliding_counts(df(spark, [(100, 150), (600_000, 600_050)]), b, 36).collect()} == {(0, 0)}
     assert {r._ord: (r.n_hits, r.covered) for r in triplex.by_region(b, a).collect()} == {0: (1, 30), 1: (0, 0)}
     assert [(r.initial, r.final, r.name) for r in peaks.combined(a, b).collect()] == [(10, 50, "n:m")]
+
+
+def test_placement_rounds_are_one_shuffle(spark):
+    """Rows that crowd each other out: sixty rounds end in time, and no two places overlap."""
+    sizes = spark.createDataFrame([("c1", 30_000)], "chrom string, length long")
+    began = time.time()
+    rows = placement.place_apart(df(spark, [(0, 500 + i % 7) for i in range(300)]), sizes, df(spark, [(k * 5_000, k * 5_000 + 50) for k in range(6)]), rounds=20).collect()
+    found = sorted((r.initial, r.final) for r in rows if r.initial is not None)
+    assert len(rows) == 300 and len(found) > 25 and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False)) and time.time() - began < 60
